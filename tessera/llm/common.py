@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of at most about 32 bytes that may be broadcast (some 64 MB as a hash table).
 BROADCAST_ROWS = 1_000_000
@@ -32,13 +33,13 @@ def shared_folder(spark: SparkSession) -> str:
     return path
 
 
-def stash(df: DataFrame) -> DataFrame:
+def stash(df: DataFrame, codec: str = "lz4", group_bytes: int = 64 << 20) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage.
 
     The copy outlives any executor; ``sweep`` removes the copies of a session.
     """
     spark, path = df.sparkSession, shared_folder(df.sparkSession)
-    df.write.option("compression", "lz4").parquet(path)
+    df.write.option("compression", codec).option("parquet.block.size", group_bytes).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -76,3 +77,9 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 4 << 20) -
             at += int(size)
         if row < batch.num_rows:
             yield batch.slice(row)
+
+
+def appended(docs: DataFrame, name: str, kind: str) -> tuple[DataFrame, StructType]:
+    """``docs`` without a column ``name``, and the schema with that column last: a clashing one is replaced."""
+    left = docs.drop(*(c for c in docs.columns if c.lower() == name.lower()))
+    return left, StructType([*left.schema.fields, StructType().add(name, kind)[0]])
