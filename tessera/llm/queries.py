@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, mpeg_audio, ngram_jaccard, quality, secrets, toxicity, warc
+from tessera.llm import byte_bpe, fingerprints, mixing, mpeg_audio, ngram_jaccard, quality, secrets, token_files, toxicity, warc
 from tessera.llm.common import shared_folder, table
 
 
@@ -17,6 +18,16 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_folder(spark)
+    token_files.write_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), end=1)
+    return token_files.read_files(spark, path)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "shards")
 
@@ -27,6 +38,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read_records(spark, path)
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op8_mpeg_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mpeg_audio.features(mpeg_audio.stored(table(spark, sf_dir, "documents")))
 
@@ -49,5 +64,5 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, model).select("doc_id", (_remainder(4) == 2).alias("held_out"), score.alias("score"), (score >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_secrets, op5_mixing, op6_warc, op8_mpeg_audio, op9_toxicity, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_secrets, op3_byte_bpe, op4_token_files, op5_mixing, op6_warc, op7_fingerprints, op8_mpeg_audio, op9_toxicity, op10_quality)}
 ORACLE_SQL: dict[str, str] = {}

@@ -36,7 +36,7 @@ TRAIN_ROWS = 12_000
 CANDIDATES, LOG_ODDS, MOST_WEIGHT, THRESHOLD = 20_000, 3.0, 8.0, 0.7
 
 _FOLD = str.maketrans(HOMOGLYPHS | {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)} | dict.fromkeys(map(chr, (0x200B, 0x200C, 0x200D, 0xAD)), ""))
-_ODD = re.compile("[" + "".join(HOMOGLYPHS) + "！-～​-‍­]")
+_ODD = re.compile("[" + "".join(HOMOGLYPHS) + "\uff01-\uff5e\u200b-\u200d\u00ad]")
 _LEET = re.compile(r"(?<=[^\W\d_])[013457 8@$]+(?=[^\W\d_])|(?<!\w)[013457 8@$]+(?=[^\W\d_])".replace(" ", ""))
 _UNLEET = str.maketrans(SUBSTITUTES)
 _WORD = re.compile(r"[^\W\d_]+")
