@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_
     fp = ["n_shingles", "fp_a", "fp_b"]
     classes = base.where("n_shingles > 0 and id is not null").groupBy(*fp).agg(F.min("id").alias("first"), F.count("*").alias("copies"))
     classes = stash(classes.where("copies > 1").drop("copies"))
-    known = base.join(lookup(classes), fp, "left").withColumn("class_id", F.coalesce("first", "id"))
+    known = base.join(lookup(classes), fp, "left").withColumn("class_id", F.when(F.col("id").isNotNull(), F.coalesce("first", "id")))
     keys = known.where("class_id = id and n_shingles > 0").select(F.explode("keys").alias("key"), "id")
     shared = stash(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", "low"))
     edges = keys.join(lookup(shared), "key").where("id != low").select(F.col("low").alias("a"), F.col("id").alias("b"))

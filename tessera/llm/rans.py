@@ -104,6 +104,13 @@ class Table:
                 place += used
             state[:width] = x
         out = out[:count]
+        after = 16 + (k + 1) * (8 + 8 * LANES)
+        if first + count < n:  # a segment ends where the next begins, the last one with the states at rest
+            ends = struct.unpack_from("<I", block, after)[0], np.frombuffer(block, "<u8", LANES, after + 8)
+        else:
+            ends = len(words), np.full(LANES, _LOW)
+        if place != ends[0] or (state != ends[1]).any():
+            raise ValueError("a segment doesn't end at its checkpoint")
         if zlib.crc32(out.astype("<u4").tobytes()) != crc:
             raise ValueError("a segment's checksum differs")
         return out

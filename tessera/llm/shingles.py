@@ -70,11 +70,12 @@ def word_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def shingle_sets(texts: pa.Array, n: int) -> Iterator[tuple[int, np.ndarray]]:
     """(number of words, sorted distinct shingle hashes) of each text."""
+    place = mix(np.arange(1, n + 1, dtype=_U)) | _U(1)
     for _, data, at in chunks(texts):
         words, bounds = word_hashes(data, at)
         run = np.zeros(max(0, len(words) - n + 1), _U)
         for j in range(n):
-            run += words[j : j + len(run)] * _U((_BASE * (2 * j + 3) | 1) % 2**64)
+            run += words[j : j + len(run)] * place[j]
         run = mix(run)
         for i in range(len(at) - 1):
             lo, hi = int(bounds[i]), int(bounds[i + 1])

@@ -2,7 +2,7 @@
 
 Folding lower-cases, maps homoglyphs to Latin letters and digit substitutions inside words to the
 letters they stand for.  The lexicon holds words and word stems whose log-odds of appearing in toxic
-rather than clean training documents are high; of near copies (one minhash of word pairs) only one
+rather than clean training documents are high; of near copies (one minhash of five-word runs) only one
 document counts towards a pattern.  A document's feature is its hits' summed weights, exception
 phrases aside, over its length in words; one logistic curve turns that into a probability.
 """
@@ -109,8 +109,8 @@ def _patterns(words: set[str]) -> set[str]:
 
 
 def _copy_key(words: list[str]) -> int:
-    pairs = {f"{a} {b}" for a, b in zip(words, words[1:])} or {" ".join(words)}
-    return min(xxhash.xxh64_intdigest(p) for p in pairs) - (1 << 63)
+    runs = {" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    return min(xxhash.xxh64_intdigest(r) for r in runs) - (1 << 63)
 
 
 def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
