@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from tessera.plans import evidence, joins, quality, registry, scoring, serving, sets, streams, texts, trees, windows  # noqa: F401
+
 
 def queries() -> dict:
-    return {}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(registry.ORACLE_SQL)
