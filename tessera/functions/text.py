@@ -35,7 +35,8 @@ def masked(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Distinct retrieval tokens: a letter and three or more letters or digits, lower case, without stop words."""
-    found = F.regexp_extract_all(F.lower(text), F.lit(r"\b([a-z][a-z0-9]{3,})\b"), F.lit(1))
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
+    found = F.filter(words, lambda w: w.rlike("^[a-z][a-z0-9]{3,}$"))
     return F.array_except(found, F.array(*map(F.lit, STOPWORDS)))
 
 

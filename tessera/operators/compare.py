@@ -17,9 +17,9 @@ def jaccard(a: Column, b: Column) -> Column:
 def spearman(pairs: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
     """keys, n, rho: correlation of average ranks; 1 for one pair or less, and for two constant columns."""
     ranked = pairs.withColumn("__rx", average_rank(keys, F.desc(x), [x])).withColumn("__ry", average_rank(keys, F.desc(y), [y]))
-    sums = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("__rx", "__ry").alias("__c"), F.var_pop("__rx").alias("__vx"), F.var_pop("__ry").alias("__vy"))
+    sums = ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.covar_pop("__rx", "__ry").alias("__c"), F.var_pop("__rx").alias("__vx"), F.var_pop("__ry").alias("__vy"))
     flat = (F.col("__vx") == 0) | (F.col("__vy") == 0)
-    rho = F.when(F.col("n") <= 1, 1.0).when((F.col("__vx") == 0) & (F.col("__vy") == 0), 1.0).when(flat, 0.0).otherwise(F.bround("__c", 4))
+    rho = F.when(F.col("n") <= 1, 1.0).when((F.col("__vx") == 0) & (F.col("__vy") == 0), 1.0).when(flat, 0.0).otherwise(F.bround(F.col("__c") / F.sqrt(F.greatest(F.col("__vx") * F.col("__vy"), F.lit(1e-300))), 4))
     return sums.select(*keys, "n", rho.alias("rho"))
 
 

@@ -54,7 +54,7 @@ def t05_fuzzy_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", T.partial_ratio("item", "head").alias("partial"), T.token_set_ratio("item", "head").alias("token_set"))
 
 
-TOKENS = r"list_filter(list_distinct(regexp_extract_all(lower(text), '\b([a-z][a-z0-9]{3,})\b', 1)), lambda x: x NOT IN ('that', 'this', 'with', 'from', 'have', 'will', 'which', 'their', 'there', 'been', 'were'))"
+TOKENS = r"list_filter(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')), lambda x: regexp_full_match(x, '[a-z][a-z0-9]{3,}') AND x NOT IN ('that', 'this', 'with', 'from', 'have', 'will', 'which', 'their', 'there', 'been', 'were'))"
 
 
 @query(f"""WITH d AS (SELECT doc_id, unnest({TOKENS}) AS t FROM documents WHERE lang = 'en'), b AS (SELECT item_id, unnest({TOKENS}) AS t FROM benchmark)
