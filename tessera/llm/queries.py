@@ -65,4 +65,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_secrets, op3_byte_bpe, op4_token_files, op5_mixing, op6_warc, op7_fingerprints, op8_mpeg_audio, op9_toxicity, op10_quality)}
-ORACLE_SQL: dict[str, str] = {}
+#: The other queries rest on hashes, learned models, byte-pair merges or coders that SQL can't express, or are too slow in
+#: it on whole tables; tests hold them against brute force, the libraries and round trips.
+ORACLE_SQL = {
+    "op6_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages), m AS (SELECT *, max(page_id) OVER (PARTITION BY body) AS top FROM p)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest,
+  CASE WHEN strlen(body) >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN strlen(body) >= 1000 AND page_id <> top THEN top END AS refers_to FROM m""",
+}
