@@ -70,6 +70,7 @@ def contributions(tags: DataFrame, config: ScoringConfig) -> DataFrame:
         F.count_if(practice).alias("practice_count"),
         F.min(F.when(exam, F.col("attempt"))).alias("first_exam_attempt"),
         F.max(F.when(exam, F.col("attempt"))).alias("last_exam_attempt"),
+        F.collect_set(F.when(exam, F.col("attempt"))).alias("exam_attempts"),  # at most one a month
     )
 
 
@@ -84,6 +85,15 @@ def frequency_hits(seen: DataFrame, window: DataFrame) -> DataFrame:
     return seen.join(window, ["paper", "attempt"]).groupBy("paper", "leaf").agg(F.count_distinct("attempt").alias("freq_hits"))
 
 
+def with_frequency(leaves: DataFrame, window: DataFrame) -> DataFrame:
+    """``leaves`` (paper, exam_attempts) with freq_hits and freq_window, without another pass over the facts."""
+    by_paper = window.groupBy("paper").agg(F.collect_list("attempt").alias("__window"))
+    rows = leaves.join(by_paper, "paper", "left").withColumn("__window", F.coalesce("__window", F.array().cast("array<string>")))
+    attempts = F.coalesce("exam_attempts", F.array().cast("array<string>"))
+    hits = F.size(F.array_intersect(attempts, "__window")).cast("long")
+    return rows.withColumn("freq_hits", hits).withColumn("freq_window", F.size("__window").cast("long")).drop("__window")
+
+
 def section_prior(leaves: DataFrame, sections: DataFrame) -> DataFrame:
     """``leaves`` (paper, section, leaf, applicable) with weight_prior: the section's midpoint marks over its applicable leaves."""
     n = F.count_if("applicable").over(Window.partitionBy("section"))

@@ -18,20 +18,17 @@ def sums(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.contributions(M.tags(spark, sf_dir), CONFIG)
 
 
-def windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    exam = M.tags(spark, sf_dir).where("signal = 'exam' and age >= 0").select("paper", "leaf", "attempt")
-    window = S.frequency_window(exam.select("paper", "attempt").distinct(), CONFIG.window_attempts)
-    return window, S.frequency_hits(exam, window)
+def window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last exam attempts of each paper."""
+    exam = M.tags(spark, sf_dir).where("signal = 'exam' and age >= 0").select("paper", "attempt").distinct()
+    return S.frequency_window(exam, CONFIG.window_attempts)
 
 
 def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every leaf's evidence, prior, frequency and importance."""
-    window, hits = windows(spark, sf_dir)
+    """Every leaf's evidence, prior, frequency and importance: one pass for the sums and one for the windows."""
     prior = S.section_prior(M.leaf_rows(spark, sf_dir), M.sections(spark, sf_dir))
-    rows = prior.join(sums(spark, sf_dir), ["paper", "leaf"], "left").join(hits, ["paper", "leaf"], "left")
-    rows = rows.join(window.groupBy("paper").agg(F.count("*").alias("freq_window")), "paper", "left")
-    rows = rows.fillna(0, ["exam_score", "practice_score", "exam_marks_total", "exam_count", "practice_count", "freq_hits", "freq_window"])
-    return S.importance(rows, CONFIG)
+    rows = prior.join(sums(spark, sf_dir), ["paper", "leaf"], "left").fillna(0, ["exam_score", "practice_score", "exam_marks_total", "exam_count", "practice_count"])
+    return S.importance(S.with_frequency(rows, window(spark, sf_dir)), CONFIG)
 
 
 @query(f"""WITH {M.SUMS_SQL} SELECT paper, leaf, round_even(exam_score, 4) AS exam_score, round_even(exam_score / max(exam_score) OVER (PARTITION BY paper), 4) AS importance FROM sums
@@ -61,12 +58,13 @@ def a03_rows_and_occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {M.TAGS_SQL}, {M.WINDOW_SQL} SELECT paper, attempt FROM win")
 def w04_frequency_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows(spark, sf_dir)[0]
+    return window(spark, sf_dir)
 
 
 @query(f"WITH {M.TAGS_SQL}, {M.WINDOW_SQL} SELECT paper, leaf, freq_hits FROM hits")
 def w04_frequency_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return windows(spark, sf_dir)[1]
+    exam = M.tags(spark, sf_dir).where("signal = 'exam' and age >= 0").select("paper", "leaf", "attempt")
+    return S.frequency_hits(exam, window(spark, sf_dir))
 
 
 @query(f"WITH {M.SCORES_SQL} SELECT paper, leaf, section, applicable, round_even(weight_prior, 4) AS weight_prior FROM prior")
