@@ -33,7 +33,7 @@ EXCEPTIONS = ("clown fish", "clown car", "trash can", "trash bin", "trash bag",
 
 #: At most about so many labelled documents are read to learn the lexicon.
 TRAIN_ROWS = 12_000
-CANDIDATES, LOG_ODDS, MOST_WEIGHT, THRESHOLD = 20_000, 3.0, 8.0, 0.7
+CANDIDATES, LOG_ODDS, SURPRISE, MOST_WEIGHT, THRESHOLD = 20_000, 3.0, 11.5, 8.0, 0.7
 
 _FOLD = str.maketrans(HOMOGLYPHS | {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)} | dict.fromkeys(map(chr, (0x200B, 0x200C, 0x200D, 0xAD)), ""))
 _ODD = re.compile("[" + "".join(HOMOGLYPHS) + "\uff01-\uff5e\u200b-\u200d\u00ad]")
@@ -144,6 +144,12 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(w[0]), float(max(w[1], 0.0))
 
 
+def _surprise(toxic: int, clean: int, prior: float) -> float:
+    """Nats against such a split by chance (Chernoff's bound): rare words that fell to one class by luck have few."""
+    n = toxic + clean
+    return sum(k * math.log(k / n / q) for k, q in ((toxic, prior), (clean, 1 - prior)) if k)
+
+
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """Fit a lexicon to ``docs`` (doc_id, text) and ``labels`` (doc_id, label 0 or 1).
 
@@ -167,7 +173,8 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, exceptions
         clean = one.where("label = 0").select("text").mapInArrow(_counted(frozenset(t)), "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
         c = {r["pattern"]: r["n"] for r in clean.collect()}
         odds = {p: math.log((n + 0.5) / (n_toxic + 1)) - math.log((c.get(p, 0) + 0.5) / (n_clean + 1)) for p, n in t.items()}
-        good = {p: min(w, MOST_WEIGHT) for p, w in odds.items() if w >= LOG_ODDS}
+        prior = n_toxic / (n_toxic + n_clean)
+        good = {p: min(w, MOST_WEIGHT) for p, w in odds.items() if w >= LOG_ODDS and _surprise(t[p], c.get(p, 0), prior) >= SURPRISE}
         longest: dict[str, int] = {}
         for p in t:
             if not p.endswith("*"):
