@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from tessera.llm.common import stash
 
 
-def _toward_minimum(edges: DataFrame) -> DataFrame:
-    """Every edge (u, v), u > v, beside the least neighbour of u."""
-    least = stash(edges.groupBy("u").agg(F.min("v").alias("m")))
-    return edges.join(least, "u")
+def _stars(now: DataFrame) -> bool:
+    """Every u has one v, and no v is a u."""
+    ends = now.select(F.col("u").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(now.select("v", F.lit(0), F.lit(1)))
+    return ends.groupBy("id").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or out = 1 and into = 1").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -23,18 +23,13 @@ def components(edges: DataFrame) -> DataFrame:
     folder.  An empty input gives an empty result.
     """
     now = stash(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    state = None
-    while True:
-        both = stash(now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v"))))
+    while not _stars(now):
+        both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stash(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = stash(large.where("u != v").distinct())
-        near = _toward_minimum(large)
+        near = large.join(stash(large.groupBy("u").agg(F.min("v").alias("m"))), "u")
         small = near.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(near.select("u", F.col("m").alias("v")))
         now = stash(small.where("u != v").distinct())
-        seen = now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first()
-        if seen == state:
-            break
-        state = seen
     stars = now.select(F.col("u").alias("id"), F.col("v").alias("component"))
     return stash(stars.union(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()))

@@ -13,10 +13,10 @@
 4. Each such component is cut into size bands of ratio t, each band into blocks, and every pair of
    blocks that can hold a link is one tile.  In a tile, sets become bitmaps of at least twice as many
    bits; a + b - popcount(x xor y) bounds twice the overlap from above, pairs within the bound that
-   are not yet connected are intersected exactly as sorted arrays, and a union-find keeps one
-   spanning forest.  Components of the forests are the components of all links.
+   are not yet connected are intersected exactly as sorted arrays, and a union-find keeps the tile's
+   components.  Joined over all tiles, they are the components of all links.
 
-Nothing is capped or sampled; pairs are never rows, only forest edges are.
+Nothing is capped or sampled; pairs are never rows, only edges to a component's least member are.
 """
 
 from __future__ import annotations
@@ -109,13 +109,13 @@ def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
 
 
 def forest(ids: list[int], sets: list[np.ndarray], sides: list[int], num: int, den: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links in a tile; with sides 0 and 1, of the links between the two."""
+    """The components of a tile's links (with sides 0 and 1: of those between the two), as edges to each one's least id."""
     order = np.argsort([len(s) for s in sets], kind="stable")
     sets, ids, side = [sets[i] for i in order], [ids[i] for i in order], np.array([sides[i] for i in order])
     sizes = np.array([len(s) for s in sets])
     bits = max(64, 1 << int(2 * sizes[-1] - 1).bit_length())
     maps, two = bitmaps(sets, bits), bool(side.any())
-    group, out = np.arange(len(sets)), []
+    group = np.arange(len(sets))
     for i in range(1, len(sets)):
         low = int(np.searchsorted(sizes[:i], -(-sizes[i] * num // den)))
         other = np.flatnonzero(side[low:i] != side[i]) + low if two else np.arange(low, i)
@@ -129,11 +129,13 @@ def forest(ids: list[int], sets: list[np.ndarray], sides: list[int], num: int, d
             j = other[0]
             both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
             if den * both >= num * (len(sets[i]) + len(sets[j]) - both):
-                out.append((ids[i], ids[j]))
                 group[group == group[i]] = group[j]
             other = other[1:]
             other = other[group[other] != group[i]]
-    return out
+    least: dict[int, int] = {}
+    for g, i in zip(group.tolist(), ids):
+        least[g] = min(least.get(g, i), i)
+    return [(i, least[g]) for g, i in zip(group.tolist(), ids) if i != least[g]]
 
 
 def _tile_forests(num: int, den: int):
