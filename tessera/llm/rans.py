@@ -14,7 +14,7 @@ import zlib
 import numpy as np
 
 _U = np.uint64
-PRECISION, LANES, CHECKPOINT = 20, 256, 256
+PRECISION, LANES, CHECKPOINT = 20, 1024, 128
 MAGIC = b"TRB1"
 _LOW = _U(1 << 31)
 

@@ -10,25 +10,29 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 from tokenizers import Tokenizer
 
 from tessera.llm.common import slices, stash, text_column
 from tessera.llm.rans import Table, frequencies
 
 #: A block closes with the document that brings it to so many ids.
-BLOCK_IDS = 1 << 16
+BLOCK_IDS = 1 << 18
+#: Words in a generation of a worker's cache; two are kept.
 CACHE_WORDS = 400_000
 _WORD = re.compile(r"[^ \t\n\r]+")
+#: Other characters that str.split cuts at.
+_OTHER_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_MARKS = ".,;:!?)]}"
+#: What the model's tokens at the end of a pre-token end with.
+_END = "</w>"
 
 
 class Words:
@@ -43,22 +47,58 @@ class Words:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.cache: dict[str, bytes] = {}
-
-    def learn(self, words: set[str]) -> None:
-        fresh = list(words - self.cache.keys())
-        if len(self.cache) + len(fresh) > CACHE_WORDS:
-            self.cache = {w: self.cache[w] for w in words - set(fresh)}
-        for at in range(0, len(fresh), 20_000):
-            part = fresh[at : at + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.cache[w] = np.array(e.ids, "<u4").tobytes()
+        self.ends = np.zeros(self.size, bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = token.endswith(_END)
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _split(self, part: list[str]) -> list[bytes]:
+        """Ids of each word: of all at once if every word ends just one pre-token, else one by one."""
+        ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+        cut = np.flatnonzero(self.ends[ids]) + 1
+        if len(cut) == len(part) and all(w.isalpha() for w in part) and (not len(ids) or cut[-1] == len(ids)):
+            raw, cut = ids.tobytes(), (4 * cut).tolist()
+            return [raw[a:b] for a, b in zip([0, *cut], cut)]
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+
+    def learned(self, found: set[str]) -> dict[str, bytes]:
+        """Ids of the words, among others.
+
+        Letters and trailing marks are pieces of their own to the pre-tokenizer, so a word of letters and marks
+        is the ids of the two in turn; ASCII letters are looked up in lower case, as the normalizer has them.
+        """
+        fresh = found - self.young.keys()
+        older = fresh & self.old.keys()
+        if len(self.young) + len(fresh) > CACHE_WORDS:
+            self.old, self.young = self.young | {w: self.old[w] for w in older}, {w: self.young[w] for w in found - fresh}
+        young = self.young
+        young.update((w, self.old[w]) for w in older)
+        plan, need = [], set()
+        for w in fresh - older:
+            core = w.rstrip(_MARKS)
+            if not core.isalpha():
+                core = w
+            tail, low = w[len(core) :], core.lower() if core.isascii() else core
+            need.add(low)
+            if tail:
+                need.add(tail)
+            plan.append((w, low, tail))
+        ready = {w: young[w] for w in need & young.keys()}
+        rest = need - ready.keys()
+        letters = [w for w in rest if w.isalpha()]
+        for own in (letters, list(rest.difference(letters))):
+            for at in range(0, len(own), 500):
+                ready.update(zip(own[at : at + 500], self._split(own[at : at + 500])))
+        for w, low, tail in plan:
+            young[w] = ready[low] + ready[tail] if tail else ready[low]
+        return young
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
         """Little-endian 32-bit ids of each text, the end id last."""
-        pieces, last = [_WORD.findall(t) for t in texts], np.array([end], "<u4").tobytes()
-        self.learn(set().union(*pieces))
-        known = self.cache
+        pieces = [_WORD.findall(t) if _OTHER_SPACE.search(t) else t.split() for t in texts]
+        last = np.array([end], "<u4").tobytes()
+        known = self.learned(set().union(*pieces))
         return [b"".join([*map(known.__getitem__, own), last]) for own in pieces]
 
 
@@ -67,49 +107,35 @@ def words(path: str) -> Words:
     return Words(path)
 
 
-def counted(docs: DataFrame, path: str, end: int) -> DataFrame:
-    """(symbol, n) over all ids of all texts: each task adds up its own, at most a row a symbol."""
+def counted(blocks: DataFrame, size: int) -> np.ndarray:
+    """How often each symbol occurs in blocks of raw ids: each task adds up its own, at most a row a symbol."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, total = words(path), np.zeros(words(path).size, np.int64)
-        for batch in slices(batches, "text"):
-            seen: Counter = Counter()
-            for t in text_column(batch.column("text")):
-                seen.update(_WORD.findall(t))
-            own.learn(seen.keys())
-            total[end] += batch.num_rows
-            flat = b"".join([own.cache[w] for w in seen])
-            sizes = [len(own.cache[w]) // 4 for w in seen]
-            total += np.bincount(np.frombuffer(flat, "<u4"), np.repeat(list(seen.values()), sizes) if sizes else None, len(total)).astype(np.int64)
+        total = np.zeros(size, np.int64)
+        for batch in batches:
+            for raw in batch.column("payload").to_pylist():
+                total += np.bincount(np.frombuffer(raw, "<u4"), minlength=size)
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(total[held], pa.int64())], ["symbol", "n"])
 
-    return docs.mapInArrow(run, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n"))
-
-
-def write_files(docs: DataFrame, path: str, tokenizer_path: str, end: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encode every row's whole text (null: empty), append ``end``, and write the file set in id order.
-
-    Rows with a null id come first; equal ids keep any order among themselves.
-    """
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    size = words(tokenizer_path).size
     counts = np.zeros(size, np.int64)
-    for r in counted(texts.select("text"), tokenizer_path, end).collect():  # at most one row a symbol
+    for r in blocks.select("payload").mapInArrow(run, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).collect():
         counts[r["symbol"]] = r["n"]
-    freq = frequencies(counts)
-    docs.sparkSession.createDataFrame([(int(i), int(f)) for i, f in enumerate(freq)], "symbol long, frequency long").coalesce(1).write.parquet(f"{path}/table")
+    return counts
+
+
+def raw_blocks(docs: DataFrame, tokenizer_path: str, end: int) -> DataFrame:
+    """Blocks of whole documents in id order, their payload the plain ids; ``docs`` has id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, table, shard = words(tokenizer_path), Table(freq), TaskContext.get().partitionId()
+        own, shard = words(tokenizer_path), TaskContext.get().partitionId()
         ids, parts, held, block, start = [], [], 0, 0, 0
 
         def close() -> pa.RecordBatch:
-            symbols = np.frombuffer(b"".join(parts), "<u4")
-            row = [[shard], [block], [start], [ids], [[len(p) // 4 for p in parts]], [[zlib.crc32(p) for p in parts]], [table.encode(symbols)]]
+            row = [[shard], [block], [start], [ids], [[len(p) // 4 for p in parts]], [[zlib.crc32(p) for p in parts]], [b"".join(parts)]]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, _BLOCK_TYPES)], list(_BLOCK))
 
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 4 << 20):
             for i, part in zip(batch.column("id").to_pylist(), own.encode(text_column(batch.column("text")), end)):
                 ids.append(i)
                 parts.append(part)
@@ -120,11 +146,34 @@ def write_files(docs: DataFrame, path: str, tokenizer_path: str, end: int = 1, i
         if ids:
             yield close()
 
-    ordered = texts.repartitionByRange("id").sortWithinPartitions("id")
-    ordered.mapInArrow(run, ", ".join(f"{k} {v}" for k, v in _BLOCK.items())).write.option("compression", "none").option("parquet.block.size", 16 << 20).parquet(f"{path}/blocks")
+    ordered = docs.repartitionByRange("id").sortWithinPartitions("id")
+    return ordered.mapInArrow(run, _BLOCK_SCHEMA)
+
+
+def write_files(docs: DataFrame, path: str, tokenizer_path: str, end: int = 1, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Encode every row's whole text (null: empty), append ``end``, and write the file set in id order.
+
+    Texts are tokenized once into plain blocks in the shared folder; their counts make the shared table, with
+    which each block is then coded on its own.  Rows with a null id come first; equal ids keep any order among
+    themselves.
+    """
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    plain = stash(raw_blocks(texts, tokenizer_path, end), "zstd", 16 << 20)
+    freq = frequencies(counted(plain, words(tokenizer_path).size))
+    docs.sparkSession.createDataFrame([(int(i), int(f)) for i, f in enumerate(freq)], "symbol long, frequency long").coalesce(1).write.parquet(f"{path}/table")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = Table(freq)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                coded = table.encode(np.frombuffer(batch.column("payload")[i].as_py(), "<u4"))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in list(_BLOCK)[:-1]), pa.array([coded], pa.binary())], list(_BLOCK))
+
+    plain.mapInArrow(run, _BLOCK_SCHEMA).write.option("compression", "none").option("parquet.block.size", 16 << 20).parquet(f"{path}/blocks")
 
 
 _BLOCK = {"shard": "long", "block": "long", "start": "long", "doc_ids": "array<long>", "lengths": "array<long>", "crc32s": "array<long>", "payload": "binary"}
+_BLOCK_SCHEMA = ", ".join(f"{k} {v}" for k, v in _BLOCK.items())
 _BLOCK_TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary())
 
 
@@ -135,7 +184,7 @@ def read_files(spark: SparkSession, path: str, keep: bool = False) -> DataFrame:
     """
     table = spark.read.schema("symbol long, frequency long").parquet(f"{path}/table").orderBy("symbol").collect()  # one row a symbol
     freq = np.array([r["frequency"] for r in table], np.int64)
-    blocks = spark.read.schema(", ".join(f"{k} {v}" for k, v in _BLOCK.items())).parquet(f"{path}/blocks")
+    blocks = spark.read.schema(_BLOCK_SCHEMA).parquet(f"{path}/blocks")
     totals = blocks.select("shard", F.aggregate("lengths", F.lit(0).cast("long"), lambda a, b: a + b).alias("n")).groupBy("shard").agg(F.sum("n").alias("n"))
     bases = stash(totals.select("shard", F.coalesce(F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base")))  # one row a shard
 

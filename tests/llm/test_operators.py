@@ -193,7 +193,7 @@ def test_byte_bpe_cache_generations_and_decode(bpe, monkeypatch):
     assert own.decode([bpe.encode_ordinary(t) for t in ["", "é x", "abc"]]) == [b"", "é x".encode(), b"abc"]
 
 
-@pytest.mark.parametrize("n", [0, 1, 255, 256, 257, 70000, 140000])
+@pytest.mark.parametrize("n", [0, 1, 1023, 1024, 1025, 140000, 300000])
 def test_rans_round_trip_and_segments(n):
     rng = np.random.default_rng(n)
     symbols = np.minimum(rng.zipf(1.3, n) - 1, 49407).astype(np.uint32)
@@ -205,7 +205,7 @@ def test_rans_round_trip_and_segments(n):
         assert (table.decode(block, k) == symbols[k * size : (k + 1) * size]).all()
     if n:
         broken = bytearray(block)
-        broken[-1 if n > 300 else 40] ^= 0x55
+        broken[-1 if n > 1500 else 40] ^= 0x55
         with pytest.raises((ValueError, IndexError)):
             table.decode(bytes(broken))
 
