@@ -8,8 +8,8 @@
    near a level's end also take the next level's p).  At least p - h ranges hold equal subsets in
    both, so the h + 1 ranges that come first in an order on (subset size, hash) always include a
    common one: its hash is the tile key.  No link is lost and no frequency table is needed.
-3. Documents that share a key are connected through the key's least member; the components of
-   that graph (a superset of the real ones) bound what must be compared.
+3. Documents that share a key are connected through the key's least member, within each task before
+   the shuffle and then over all tasks, so a hot key sends one row a task; the components of that graph (a superset of the real ones) bound what must be compared.
 4. Each such component is cut into size bands of ratio t, each band into blocks, and every pair of
    blocks that can hold a link is one tile.  In a tile, sets become bitmaps of at least twice as many
    bits; a + b - popcount(x xor y) bounds twice the overlap from above, pairs within the bound that
@@ -36,6 +36,8 @@ _U = np.uint64
 _GOLD = 0x9E3779B97F4A7C15
 #: Sets of a block at least, blocks of a band before blocks grow, and sets of a block at most.
 BLOCK_LEAST, BLOCKS, BLOCK_MOST = 128, 8, 2048
+#: Keys that a task combines at once before the shuffle.
+COMBINE_ROWS = 2_000_000
 
 
 def tile_keys(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -84,6 +86,58 @@ def signed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, n_words long, n_shingles long, fp_a long, fp_b long, keys array<long>")
 
 
+def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, id, null) once for every key of this task's sets, by its least id, and (-, id, low) for each other id.
+
+    The shuffle then carries at most one row a key and task, however many sets share the key.
+    """
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def flush() -> pa.RecordBatch:
+        keys, ids = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((ids, keys))
+        keys, ids = keys[order], ids[order]
+        first = np.append(True, keys[1:] != keys[:-1])
+        low = np.repeat(ids[first], np.diff(np.append(np.flatnonzero(first), len(ids))))
+        shown = first | (ids != low)  # an id that repeats a key adds nothing
+        where = np.where(first, keys, mix(ids.view(_U)).view(np.int64))
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(where[shown]), pa.array(ids[shown]), pa.array(low[shown], mask=first[shown])], ["key", "id", "low"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = batch.column("keys")
+        sizes = np.diff(keys.offsets.to_numpy())
+        held.append((keys.flatten().to_numpy(), np.repeat(batch.column("id").to_numpy(), sizes)))
+        if sum(len(k) for k, _ in held) >= COMBINE_ROWS:
+            yield flush()
+    if held:
+        yield flush()
+
+
+def _key_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): each id with the least one of its key; rows come in order of key and id."""
+    last = None
+    for batch in batches:
+        keys, ids = batch.column("key").to_numpy(), batch.column("id").to_numpy()
+        ready = batch.column("low").is_valid().to_numpy(zero_copy_only=False)
+        a, b = [batch.column("low").drop_null().to_numpy()], [ids[ready]]
+        keys, ids = keys[~ready], ids[~ready]
+        if len(keys):
+            first = np.append(True, keys[1:] != keys[:-1])
+            low = np.repeat(ids[first], np.diff(np.append(np.flatnonzero(first), len(ids))))
+            if last is not None and last[0] == keys[0]:
+                low[keys == keys[0]] = last[1]
+            a.append(low[low != ids])
+            b.append(ids[low != ids])
+            last = keys[-1], low[-1]
+        a, b = np.concatenate(a), np.concatenate(b)
+        if len(a):
+            pairs = np.unique(np.stack([a, b], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0], pa.int64()), pa.array(pairs[:, 1], pa.int64())], ["a", "b"])
+
+
 def sets_of(docs: DataFrame, n: int, keep: list[str]) -> DataFrame:
     """``keep`` columns, n_shingles and the sorted set as binary."""
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
@@ -210,9 +264,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_
     classes = base.where("n_shingles > 0 and id is not null").groupBy(*fp).agg(F.min("id").alias("first"), F.count("*").alias("copies"))
     classes = stash(classes.where("copies > 1").drop("copies"))
     known = base.join(lookup(classes), fp, "left").withColumn("class_id", F.when(F.col("id").isNotNull(), F.coalesce("first", "id")))
-    keys = known.where("class_id = id and n_shingles > 0").select(F.explode("keys").alias("key"), "id")
-    shared = stash(keys.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("key", "low"))
-    edges = keys.join(lookup(shared), "key").where("id != low").select(F.col("low").alias("a"), F.col("id").alias("b"))
+    keys = known.where("class_id = id and n_shingles > 0").select("id", "keys")
+    combined = keys.mapInArrow(_combined, "key long, id long, low long")
+    edges = combined.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_key_edges, "a long, b long")
     candidates = components(edges)
     members = sets_of(texts.join(lookup(candidates), "id"), n, ["id", "component"])
     placed = tiles(stash(members), num, den)
