@@ -29,7 +29,7 @@ SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _CHUNK = re.compile(rf" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+")
 #: Words in a generation of a worker's cache (two are kept), words a query encodes at once, bytes above which a word counts as long,
 #: and bytes of text that are encoded together.
-CACHE_WORDS, BATCH_WORDS, LONG, SLICE_BYTES = 350_000, 20_000, 96, 6 << 20
+CACHE_WORDS, BATCH_WORDS, LONG, SLICE_BYTES = 200_000, 10_000, 96, 3 << 20
 
 #: Words as lists of ids; each round replaces one pair a word. Lists only get shorter, so the shortest is final.
 _ENCODE = """
@@ -90,7 +90,7 @@ class Tokenizer:
         self.bytes_id = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
         self.young: dict[str, str | tuple[str, bytes]] = {}
         self.old: dict[str, str | tuple[str, bytes]] = {}
-        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "256MB", "temp_directory": ""})
+        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "160MB", "temp_directory": ""})
         left, right, merged = [], [], []
         for token, rank in self.ranks.items():
             for i in range(1, len(token)):

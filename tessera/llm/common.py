@@ -15,10 +15,24 @@ from pyspark.sql.types import StructType
 #: Rows of at most about 32 bytes that may be broadcast (some 64 MB as a hash table).
 BROADCAST_ROWS = 1_000_000
 
+#: Rows of an Arrow batch.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 _scratch: list[str] = []
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Hand long texts to Python BATCH_ROWS rows at a time, unless the session sets a number of its own.
+
+    Spark's default of 10,000 rows makes batches of tens of megabytes on either side of the pipe.
+    """
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
