@@ -63,7 +63,8 @@ class Table:
                 words.append((x[full] & _U(0xFFFFFFFF)).astype("<u4")[::-1])
                 held += len(words[-1])
                 x = np.where(full, x >> _U(32), x)
-            state[:width] = (x // f << _U(self.precision)) + x % f + s
+            whole = x // f
+            state[:width] = (whole << _U(self.precision)) + (x - whole * f) + s
             if row % CHECKPOINT == 0:
                 heads.append((held, state.copy()))
         flat = np.concatenate(words)[::-1] if words else np.zeros(0, "<u4")

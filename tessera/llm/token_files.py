@@ -8,6 +8,7 @@ ranges of ids, so that (shard, block, place in the block) is the order of ids.
 
 from __future__ import annotations
 
+import gc
 import re
 import zlib
 from collections.abc import Iterator
@@ -74,24 +75,23 @@ class Words:
             self.old, self.young = self.young | {w: self.old[w] for w in older}, {w: self.young[w] for w in found - fresh}
         young = self.young
         young.update((w, self.old[w]) for w in older)
-        plan, need = [], set()
+        names, lows, tails = [], [], []
         for w in fresh - older:
-            core = w.rstrip(_MARKS)
-            if not core.isalpha():
+            core = w if w.isalpha() else w.rstrip(_MARKS)
+            tail = "" if len(core) == len(w) or not core.isalpha() else w[len(core) :]
+            if not tail:
                 core = w
-            tail, low = w[len(core) :], core.lower() if core.isascii() else core
-            need.add(low)
-            if tail:
-                need.add(tail)
-            plan.append((w, low, tail))
-        ready = {w: young[w] for w in need & young.keys()}
+            names.append(w)
+            lows.append(core.lower() if core.isascii() else core)
+            tails.append(tail)
+        need = {*lows, *tails} - {""}
+        ready = {w: young[w] for w in need & young.keys()} | {"": b""}
         rest = need - ready.keys()
         letters = [w for w in rest if w.isalpha()]
         for own in (letters, list(rest.difference(letters))):
             for at in range(0, len(own), 500):
                 ready.update(zip(own[at : at + 500], self._split(own[at : at + 500])))
-        for w, low, tail in plan:
-            young[w] = ready[low] + ready[tail] if tail else ready[low]
+        young.update((w, ready[low] + ready[tail] if tail else ready[low]) for w, low, tail in zip(names, lows, tails))
         return young
 
     def encode(self, texts: list[str], end: int) -> list[bytes]:
@@ -107,6 +107,11 @@ def words(path: str) -> Words:
     return Words(path)
 
 
+def _raw(size: int) -> str:
+    """The type of ids in plain blocks."""
+    return "<u2" if size <= 1 << 16 else "<u4"
+
+
 def counted(blocks: DataFrame, size: int) -> np.ndarray:
     """How often each symbol occurs in blocks of raw ids: each task adds up its own, at most a row a symbol."""
 
@@ -114,7 +119,7 @@ def counted(blocks: DataFrame, size: int) -> np.ndarray:
         total = np.zeros(size, np.int64)
         for batch in batches:
             for raw in batch.column("payload").to_pylist():
-                total += np.bincount(np.frombuffer(raw, "<u4"), minlength=size)
+                total += np.bincount(np.frombuffer(raw, _raw(size)), minlength=size)
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(held, pa.int64()), pa.array(total[held], pa.int64())], ["symbol", "n"])
 
@@ -128,11 +133,12 @@ def raw_blocks(docs: DataFrame, tokenizer_path: str, end: int) -> DataFrame:
     """Blocks of whole documents in id order, their payload the plain ids; ``docs`` has id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()  # millions of strings and no cycles
         own, shard = words(tokenizer_path), TaskContext.get().partitionId()
         ids, parts, held, block, start = [], [], 0, 0, 0
 
         def close() -> pa.RecordBatch:
-            row = [[shard], [block], [start], [ids], [[len(p) // 4 for p in parts]], [[zlib.crc32(p) for p in parts]], [b"".join(parts)]]
+            row = [[shard], [block], [start], [ids], [[len(p) // 4 for p in parts]], [[zlib.crc32(p) for p in parts]], [np.frombuffer(b"".join(parts), "<u4").astype(_raw(own.size)).tobytes()]]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, _BLOCK_TYPES)], list(_BLOCK))
 
         for batch in slices(batches, "text", 4 << 20):
@@ -145,6 +151,7 @@ def raw_blocks(docs: DataFrame, tokenizer_path: str, end: int) -> DataFrame:
                     start, block, ids, parts, held = start + held, block + 1, [], [], 0
         if ids:
             yield close()
+        gc.enable()
 
     ordered = docs.repartitionByRange("id").sortWithinPartitions("id")
     return ordered.mapInArrow(run, _BLOCK_SCHEMA)
@@ -159,14 +166,15 @@ def write_files(docs: DataFrame, path: str, tokenizer_path: str, end: int = 1, i
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     plain = stash(raw_blocks(texts, tokenizer_path, end), "zstd", 16 << 20)
-    freq = frequencies(counted(plain, words(tokenizer_path).size))
+    size = words(tokenizer_path).size
+    freq = frequencies(counted(plain, size))
     docs.sparkSession.createDataFrame([(int(i), int(f)) for i, f in enumerate(freq)], "symbol long, frequency long").coalesce(1).write.parquet(f"{path}/table")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = Table(freq)
         for batch in batches:
             for i in range(batch.num_rows):
-                coded = table.encode(np.frombuffer(batch.column("payload")[i].as_py(), "<u4"))
+                coded = table.encode(np.frombuffer(batch.column("payload")[i].as_py(), _raw(size)))
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, 1) for c in list(_BLOCK)[:-1]), pa.array([coded], pa.binary())], list(_BLOCK))
 
     plain.mapInArrow(run, _BLOCK_SCHEMA).write.option("compression", "none").option("parquet.block.size", 16 << 20).parquet(f"{path}/blocks")
