@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import difflib
 import re
 import unicodedata
 from html.parser import HTMLParser
 from urllib.parse import urldefrag, urljoin
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,29 +61,97 @@ def canonical_digest(*columns: str) -> Column:
     return F.sha2(F.to_json(F.struct(*sorted(columns))), 256)
 
 
+def _lcs(a: str, b: str) -> int:
+    """Length of the longest common subsequence, by one wide word whose zero bits mark it."""
+    short, long = sorted((a, b), key=len)
+    places: dict[str, int] = {}
+    for i, c in enumerate(short):
+        places[c] = places.get(c, 0) | 1 << i
+    full = (1 << len(short)) - 1
+    row = full
+    for c in long:
+        if at := places.get(c):
+            hit = row & at
+            row = (row + hit | row - hit) & full
+    return len(short) - row.bit_count()
+
+
+#: Code points of windows that are combed at once, at least one pair of them.
+_COMB = 1 << 20
+
+
+def _window_lcs(short: np.ndarray, long: np.ndarray) -> np.ndarray:
+    """The longest common subsequence of ``short`` with every window of its length in ``long``.
+
+    Semi-local alignment: ``long`` is cut into overlapping pieces of two lengths, and all pieces are combed together
+    along anti-diagonals.  A piece's strands that run from its top edge to its bottom edge then give all its windows
+    at once: each strand inside a window takes one from its length.  Time is the product of the lengths, memory
+    their sum.
+    """
+    m = len(short)
+    starts = len(long) - m + 1
+    pieces = -(-starts // m)
+    long = np.append(long, np.zeros(pieces * m + m - len(long), long.dtype))
+    kind = np.int16 if 3 * m < 2**15 else np.int32
+    back, out = short[::-1], []
+    for first in range(0, pieces, step := max(1, _COMB // m)):
+        rows = min(step, pieces - first)
+        piece = np.lib.stride_tricks.sliding_window_view(long[first * m : (first + rows + 1) * m], 2 * m)[::m].copy()
+        across = np.tile(np.arange(m, dtype=kind), (rows, 1))
+        down = np.tile(np.arange(m, 3 * m, dtype=kind), (rows, 1))
+        for d in range(3 * m - 1):
+            low, high = max(0, d - 2 * m + 1), min(m - 1, d)
+            h, v = across[:, m - 1 - high : m - low], down[:, d - high : d - low + 1]
+            bend = (back[m - 1 - high : m - low] == piece[:, d - high : d - low + 1]) | (h > v)
+            turned = np.where(bend, v, h)
+            v[:] = np.where(bend, h, v)
+            h[:] = turned
+        begin, end = down.astype(np.int64) - m, np.arange(2 * m)
+        since, until = np.maximum(0, end - m + 1) + np.zeros_like(begin), np.minimum(begin, m - 1)
+        row = np.arange(rows)[:, None] * (m + 1) + np.zeros_like(begin)
+        held = (begin >= 0) & (since <= until)
+        change = np.bincount((row + since)[held], minlength=rows * (m + 1)) - np.bincount((row + until + 1)[held], minlength=rows * (m + 1))
+        out.append(m - np.cumsum(change.reshape(rows, m + 1), axis=1)[:, :m].ravel())
+    return np.concatenate(out)[:starts]
+
+
+def _best_window(short: str, long: str) -> float:
+    if short in long:
+        return 1.0
+    m, n = len(short), len(long)
+    a, b = (np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in (short, long))
+    known = np.unique(a)
+    code = lambda t: np.where(known[np.minimum(np.searchsorted(known, t), len(known) - 1)] == t, np.searchsorted(known, t) + 1, 0).astype(np.int32)
+    none = np.zeros(m, np.int32)
+    common = _window_lcs(code(a), np.concatenate([none, code(b), none]))
+    start = np.arange(len(common)) - m
+    held = np.minimum(start + m, n) - np.maximum(start, 0)
+    return float(np.max(2 * common / (m + held)))
+
+
 def _partial(a: str, b: str) -> float:
-    """Best ratio of the shorter text with a window of the longer one, 0 to 100."""
+    """Best ratio of the shorter text with a window of the longer one (shorter ones at its ends), 0 to 100.
+
+    A ratio is twice the longest common subsequence over both lengths; every window of the whole text counts.
+    """
     short, long = sorted((a, b), key=len)
     if not short:
         return 100.0 if not long else 0.0
-    best = 0.0
-    matcher = difflib.SequenceMatcher(None, "", short, autojunk=False)
-    for i, _, _ in difflib.SequenceMatcher(None, long, short, autojunk=False).get_matching_blocks():
-        start = max(0, min(i, len(long) - len(short)))
-        matcher.set_seq1(long[start : start + len(short)])
-        best = max(best, matcher.ratio())
+    best = _best_window(short, long)
+    if len(short) == len(long):
+        best = max(best, _best_window(long, short))
     return round(100 * best, 4)
 
 
 def _token_set(a: str, b: str) -> float:
     """Ratio of the common words against each side's words, 0 to 100."""
     x, y = set(a.split()), set(b.split())
-    both = " ".join(sorted(x & y))
-    sides = [" ".join(filter(None, (both, " ".join(sorted(s))))) for s in (x - y, y - x)]
-    if both and (not x - y or not y - x):
+    if x & y and (not x - y or not y - x):
         return 100.0
-    pairs = [(both, sides[0]), (both, sides[1]), (sides[0], sides[1])]
-    return round(100 * max(difflib.SequenceMatcher(None, p, q, autojunk=False).ratio() if p or q else 0.0 for p, q in pairs), 4)
+    both, left, right = (" ".join(sorted(s)) for s in (x & y, x - y, y - x))
+    head = len(both) + 1 if both else 0  # what both sides begin with
+    sizes = [(len(both), head + len(left), len(both)), (len(both), head + len(right), len(both)), (head + len(left), head + len(right), head + _lcs(left, right))]
+    return round(100 * max(2 * common / (p + q) if p + q else 0.0 for p, q, common in sizes), 4)
 
 
 @pandas_udf(DoubleType())

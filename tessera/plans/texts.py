@@ -48,10 +48,10 @@ def t04_standalone_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def t05_fuzzy_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fuzzy scores of each benchmark item's and same-numbered document's beginnings."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.substring("text", 1, 120).alias("item"))
-    rows = docs(spark, sf_dir).join(items, "doc_id").withColumn("head", F.substring("text", 1, 400))
-    return rows.select("doc_id", T.partial_ratio("item", "head").alias("partial"), T.token_set_ratio("item", "head").alias("token_set"))
+    """Fuzzy scores of each benchmark item and the same-numbered document, whole texts both."""
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("item"))
+    rows = docs(spark, sf_dir).join(items, "doc_id")
+    return rows.select("doc_id", T.partial_ratio("item", "text").alias("partial"), T.token_set_ratio("item", "text").alias("token_set"))
 
 
 TOKENS = r"list_filter(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')), lambda x: regexp_full_match(x, '[a-z][a-z0-9]{3,}') AND x NOT IN ('that', 'this', 'with', 'from', 'have', 'will', 'which', 'their', 'there', 'been', 'were'))"

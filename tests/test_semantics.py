@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from tessera.operators import joins as J
 from tessera.operators import scoring as S
 from tessera.operators import tree
 from tessera.operators import windows as W
+from tessera.plans import texts
 from tessera.sources import sinks, tables
 from tessera.streaming import feed
 
@@ -109,6 +111,55 @@ def test_text_functions(spark):
     assert row["n"] == "fine  Text\n12" and row["m"] == "ﬁne  text\n#" and row["l"] == ["https://h/c", "https://o/p"] and row["p"] == 100 and row["s"] == 100
 
 
+def brute_lcs(a, b):
+    row = [0] * (len(b) + 1)
+    for c in a:
+        row, old = [0], row
+        for j, d in enumerate(b):
+            row.append(old[j] + 1 if c == d else max(old[j + 1], row[j]))
+    return row[-1]
+
+
+def brute_partial(a, b):
+    def best(short, long):
+        m, n = len(short), len(long)
+        windows = [long[max(0, i) : i + m] for i in range(1 - m, n)]
+        return max(2 * brute_lcs(short, w) / (m + len(w)) for w in windows)
+
+    short, long = sorted((a, b), key=len)
+    return round(100 * max([best(short, long)] + [best(long, short)] * (len(short) == len(long))), 4)
+
+
+def brute_token_set(a, b):
+    x, y = set(a.split()), set(b.split())
+    both = " ".join(sorted(x & y))
+    one, two = (" ".join([*sorted(x & y), *sorted(s)]) for s in (x - y, y - x))
+    ratio = lambda p, q: 2 * brute_lcs(p, q) / (len(p) + len(q)) if p or q else 0.0
+    if both and (one == both or two == both):
+        return 100.0
+    return round(100 * max(ratio(both, one), ratio(both, two), ratio(one, two)), 4)
+
+
+def test_fuzzy_ratios_match_brute_force_over_every_window():
+    rng = random.Random(3)
+    some = lambda n, letters="abc d": "".join(rng.choice(letters) for _ in range(n))
+    pairs = [(some(rng.randint(1, 14)), some(rng.randint(1, 60))) for _ in range(120)] + [(some(9), some(9)) for _ in range(10)] + [("é😀x", "ab😀éx y"), ("abc", "xyz"), ("a", "b")]
+    for a, b in pairs:
+        assert T._partial(a, b) == T._partial(b, a) == brute_partial(a, b)
+        assert T._token_set(a, b) == brute_token_set(a, b)
+    assert T._partial("", "") == 100 and T._partial("", "x") == 0
+
+
+def test_fuzzy_query_scores_whole_texts(spark, tmp_path):
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefghij ") for _ in range(n))
+    item, other = text(150), text(150)
+    spark.createDataFrame([(1, item), (2, item), (3, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, text(900) + item), (2, item[:120] + other[:30]), (3, "x")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["partial"] for r in texts.t05_fuzzy_ratios(spark, str(tmp_path)).collect()}
+    assert got[1] == 100 and got[2] < 100 and got[3] is None
+
+
 def test_nested(spark):
     shares = value(spark, N.split_shares(F.lit("a"), F.array(F.lit("b"), F.lit("c"))))
     assert [(s["node"], s["share"]) for s in shares] == [("a", 0.5), ("b", 0.25), ("c", 0.25)]
