@@ -12,11 +12,14 @@
    the shuffle and then over all tasks, so a hot key sends one row a task; the components of that graph (a superset of the real ones) bound what must be compared.
 4. Each such component is cut into size bands of ratio t, each band into blocks, and every pair of
    blocks that can hold a link is one tile.  In a tile, sets become bitmaps of at least twice as many
-   bits; a + b - popcount(x xor y) bounds twice the overlap from above, pairs within the bound that
-   are not yet connected are intersected exactly as sorted arrays, and a union-find keeps the tile's
-   components.  Joined over all tiles, they are the components of all links.
-
-Nothing is capped or sampled; pairs are never rows, only edges to a component's least member are.
+   bits; a + b - popcount(x xor y) bounds twice the overlap from above, and pairs within the bound
+   are intersected exactly.  A union-find keeps the tile's components, and each set adds up the
+   documents of the classes it links with.  Joined over all tiles, they are the components of all
+   links and each class's number of links.  Where only components are asked for, pairs already
+   connected are skipped.
+
+Nothing is capped or sampled; pairs are never rows, only edges to a component's least member and one
+count a set and tile are.
 """
 
 from __future__ import annotations
@@ -162,23 +165,55 @@ def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
     return out.view(_U)
 
 
-def forest(ids: list[int], sets: list[np.ndarray], sides: list[int], num: int, den: int) -> list[tuple[int, int]]:
-    """The components of a tile's links (with sides 0 and 1: of those between the two), as edges to each one's least id."""
+#: Side of the sets of a tile whose pairs are all compared; in other tiles, sets of side 0 meet those of side 1.
+WITHIN = 2
+
+
+def _numbered(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, int]:
+    """The sets end to end with their shingles numbered densely, where each starts, and how many numbers there are."""
+    starts = np.cumsum([0, *map(len, sets)])
+    known, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    return flat.astype(np.int32), starts, len(known)
+
+
+def tile_links(ids: list[int], copies: list[int], sets: list[np.ndarray], sides: list[int], num: int, den: int, counted: bool) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """A tile's components as edges to each one's least id, and (id, documents of the sets it links with).
+
+    The sets are not empty and unlike each other.  If not ``counted``, the second list is empty and pairs that are
+    already connected aren't compared.
+    """
     order = np.argsort([len(s) for s in sets], kind="stable")
     sets, ids, side = [sets[i] for i in order], [ids[i] for i in order], np.array([sides[i] for i in order])
+    weight, total = np.array([copies[i] for i in order], np.int64), np.zeros(len(sets), np.int64)
     sizes = np.array([len(s) for s in sets])
     bits = max(64, 1 << int(2 * sizes[-1] - 1).bit_length())
-    maps, two = bitmaps(sets, bits), bool(side.any())
-    group = np.arange(len(sets))
+    maps, two = bitmaps(sets, bits), bool((side != WITHIN).any())
+    group, numbered, mark = np.arange(len(sets)), None, None
     for i in range(1, len(sets)):
         low = int(np.searchsorted(sizes[:i], -(-sizes[i] * num // den)))
         other = np.flatnonzero(side[low:i] != side[i]) + low if two else np.arange(low, i)
-        other = other[group[other] != group[i]]
+        if not counted:
+            other = other[group[other] != group[i]]
         if not len(other):
             continue
         apart = np.bitwise_count(maps[other] ^ maps[i]).sum(axis=1, dtype=np.int64)
         near = apart * (den + num) <= (sizes[other] + sizes[i]) * (den - num)
         other = other[near][np.argsort(apart[near], kind="stable")]
+        if counted and len(other):
+            if numbered is None:
+                numbered = _numbered(sets)
+                mark = np.zeros(numbered[2], bool)
+            flat, starts, _ = numbered
+            own = flat[starts[i] : starts[i + 1]]
+            mark[own] = True
+            both = np.array([np.count_nonzero(mark[flat[starts[j] : starts[j + 1]]]) for j in other.tolist()], np.int64)
+            mark[own] = False
+            linked = other[den * both >= num * (sizes[i] + sizes[other] - both)]
+            total[i] += weight[linked].sum()
+            total[linked] += weight[i]
+            if len(linked):
+                group[np.isin(group, group[linked])] = group[i]
+            continue
         while len(other):
             j = other[0]
             both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
@@ -189,22 +224,26 @@ def forest(ids: list[int], sets: list[np.ndarray], sides: list[int], num: int, d
     least: dict[int, int] = {}
     for g, i in zip(group.tolist(), ids):
         least[g] = min(least.get(g, i), i)
-    return [(i, least[g]) for g, i in zip(group.tolist(), ids) if i != least[g]]
+    return [(i, least[g]) for g, i in zip(group.tolist(), ids) if i != least[g]], [(i, n) for i, n in zip(ids, total.tolist()) if n]
+
 
+def _tile_links(num: int, den: int, counted: bool):
+    """Rows (a, b, null) for the edges of a tile's components and (a, null, n) for its sets' links."""
 
-def _tile_forests(num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def close() -> Iterator[pa.RecordBatch]:
             if len(held) > 1:
-                found = forest([h[1] for h in held], [np.frombuffer(h[3], _U) for h in held], [h[2] for h in held], num, den)
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+                _, ids, copies, sides, sets = zip(*held)
+                edges, counts = tile_links(ids, copies, [np.frombuffer(x, _U) for x in sets], sides, num, den, counted)
+                if edges or counts:
+                    rows = [(a, b, None) for a, b in edges] + [(a, None, n) for a, n in counts]
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows)], ["a", "b", "n"])
             held.clear()
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("tile", "id", "side", "shingles"))):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("tile", "id", "copies", "side", "shingles"))):
                 if held and held[0][0] != row[0]:
                     yield from close()
                 held.append(row)
@@ -214,10 +253,11 @@ def _tile_forests(num: int, den: int):
 
 
 def tiles(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Rows (tile, id, side, shingles): every member of a component in each tile it belongs to.
+    """Rows (tile, id, copies, side, shingles): every member of a component in each tile it belongs to.
 
     A member's block pairs with its own band's blocks and with those of the next band; the smaller
-    block of a pair within a band, and the lower band of a pair across, is side 0.
+    block of a pair within a band, and the lower band of a pair across, is side 0.  A block with
+    itself, or a small component, is WITHIN.  So any two members meet in one tile at most.
     """
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / float(np.log(den / num)) + 1e-9) if num < den else F.col("n_shingles")
     rows = members.withColumn("band", band.cast("long"))
@@ -239,19 +279,20 @@ def tiles(members: DataFrame, num: int, den: int) -> DataFrame:
         return F.struct(tile.alias("tile"), (F.lit(side) if isinstance(side, int) else side).cast("int").alias("side"))
 
     block = F.col("block")
-    whole = F.array(place(name(F.lit("all")), 0))
-    own = each("blocks", lambda o: place(name(F.col("band"), F.least(block, o), F.greatest(block, o)), (block > o)))
+    whole = F.array(place(name(F.lit("all")), WITHIN))
+    own = each("blocks", lambda o: place(name(F.col("band"), F.least(block, o), F.greatest(block, o)), F.when(block == o, WITHIN).otherwise((block > o).cast("int"))))
     up = each("above", lambda o: place(name(F.col("band"), F.lit("up"), block, o), 0))
     down = each("below", lambda o: place(name(F.col("band") - 1, F.lit("up"), o, block), 1))
     spread = F.when(F.col("total") <= BLOCK_LEAST, whole).otherwise(F.concat(own, up, down))
-    return placed.select("id", "shingles", F.explode(spread).alias("x")).select(F.col("x.tile").alias("tile"), "id", F.col("x.side").alias("side"), "shingles")
+    return placed.select("id", "copies", "shingles", F.explode(spread).alias("x")).select(F.col("x.tile").alias("tile"), "id", "copies", F.col("x.side").alias("side"), "shingles")
 
 
-def near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", counted: bool = True) -> DataFrame:
     """Classes of documents whose n-word shingle sets have Jaccard similarity num / den or more.
 
     Returns one row per document: ``id_col``, n_shingles, component_id (least id reachable through
-    links, its own without any), class_id (least id with the same set) and n_words.  Null or empty
+    links, its own without any), class_id (least id with the same set), n_words and, if ``counted``,
+    n_links (other documents at that similarity or more, those of its own class included).  Null or empty
     texts, and texts of white space only, have the empty set and link with nothing.  Ids are to be
     distinct integers; a row whose id is null is returned with a null component and links with
     nothing.  Extra columns of ``docs`` are ignored, and an empty table gives an empty result.
@@ -262,18 +303,25 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_
     base = stash(signed(texts, n, num, den))
     fp = ["n_shingles", "fp_a", "fp_b"]
     classes = base.where("n_shingles > 0 and id is not null").groupBy(*fp).agg(F.min("id").alias("first"), F.count("*").alias("copies"))
-    classes = stash(classes.where("copies > 1").drop("copies"))
+    classes = stash(classes.where("copies > 1"))
     known = base.join(lookup(classes), fp, "left").withColumn("class_id", F.when(F.col("id").isNotNull(), F.coalesce("first", "id")))
+    known = known.withColumn("copies", F.when(F.col("id").isNotNull(), F.coalesce("copies", F.lit(1))).otherwise(1))
     keys = known.where("class_id = id and n_shingles > 0").select("id", "keys")
     combined = keys.mapInArrow(_combined, "key long, id long, low long")
     edges = combined.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_key_edges, "a long, b long")
     candidates = components(edges)
-    members = sets_of(texts.join(lookup(candidates), "id"), n, ["id", "component"])
+    of_class = lookup(classes.select(F.col("first").alias("id"), "copies"))
+    chosen = texts.join(lookup(candidates), "id").join(of_class, "id", "left").withColumn("copies", F.coalesce("copies", F.lit(1)).cast("long"))
+    members = sets_of(chosen, n, ["id", "component", "copies"])
     placed = tiles(stash(members), num, den)
-    linked = stash(placed.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tile_forests(num, den), "a long, b long"))
-    links = components(linked)
+    linked = stash(placed.repartition("tile").sortWithinPartitions("tile").mapInArrow(_tile_links(num, den, counted), "a long, b long, n long"))
+    links = components(linked.where("b is not null").select("a", "b"))
+    if counted:
+        counts = linked.where("n is not null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
+        links = stash(links.join(counts, "id"))
     named = known.join(lookup(links).withColumnRenamed("id", "class_id"), "class_id", "left")
-    return named.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "class_id").alias("component_id"), "class_id", "n_words")
+    shown = [F.col("id").alias(id_col), "n_shingles", F.coalesce("component", "class_id").alias("component_id"), "class_id", "n_words"]
+    return named.select(*shown, *([(F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")] if counted else []))
 
 
 def keep_one(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
@@ -281,5 +329,5 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFra
 
     Documents without a set (no words) are kept, as are rows with a null doc_id.
     """
-    found = near_duplicates(docs, n, num, den).where("component_id != doc_id").select(F.col("doc_id").alias("__drop"))
+    found = near_duplicates(docs, n, num, den, counted=False).where("component_id != doc_id").select(F.col("doc_id").alias("__drop"))
     return docs.join(found, docs["doc_id"] == found["__drop"], "left_anti")

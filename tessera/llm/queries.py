@@ -11,7 +11,7 @@ from tessera.llm.common import shared_folder, table
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard.near_duplicates(table(spark, sf_dir, "documents"), n=3, num=9, den=10).select("doc_id", "n_shingles", "component_id", "class_id")
+    return ngram_jaccard.near_duplicates(table(spark, sf_dir, "documents"), n=3, num=9, den=10).select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

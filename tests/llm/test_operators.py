@@ -89,6 +89,33 @@ def test_ngram_jaccard_cuts_large_groups_into_tiles(spark):
     assert got == brute_components(rows, 3, 9, 10)
 
 
+def brute_links(rows, n, num, den):
+    sets = {}
+    for i, text, *_ in rows:
+        words = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").split()
+        sets[i] = {tuple(words[k : k + n]) for k in range(len(words) - n + 1)} if len(words) >= n else {tuple(words)} - {()}
+    return {i: sum(den * len(a & b) >= num * len(a | b) for j, b in sets.items() if i != j and a and b) for i, a in sets.items()}
+
+
+def test_ngram_jaccard_counts_every_link_of_a_chain_and_of_copies(spark):
+    words = [f"w{i}" for i in range(102)]
+    text = lambda start: " ".join(words[start : start + 92])  # 90 shingles; four further on they share 86 of 94, eight on 82 of 98
+    rows = [(1, text(0)), (2, text(4)), (3, text(8)), (4, text(4)), (5, "alone"), (6, None), (7, "Alone"), (None, text(4))]
+    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in ngram_jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 9, 10).collect()}
+    assert got == {1: (1, 2), 2: (1, 3), 3: (1, 2), 4: (1, 3), 5: (5, 1), 6: (6, 0), 7: (5, 1), None: (None, 0)}
+
+
+@pytest.mark.parametrize("least", [4, 64])
+def test_ngram_jaccard_counts_links_over_tiles(spark, docs, monkeypatch, least):
+    rng = random.Random(9)
+    words = sentence(rng, 120).split()
+    rows = [(i, " ".join(x if rng.random() > 0.008 else f"x{rng.randrange(30)}" for x in words[: 120 - rng.randint(0, 25)])) for i in range(300)]
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_LEAST", least)
+    found = ngram_jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 9, 10)
+    assert {r["doc_id"]: r["n_links"] for r in found.collect()} == brute_links(rows, 3, 9, 10)
+    assert {r["doc_id"]: r["n_links"] for r in ngram_jaccard.near_duplicates(docs, 5, 4, 5).collect()} == brute_links(odd_rows(), 5, 4, 5)
+
+
 def test_ngram_jaccard_null_ids_empty_tables_and_keep_one(spark, docs, empty):
     assert ngram_jaccard.near_duplicates(empty).count() == 0
     frame = spark.createDataFrame([(None, "a b c d e"), (3, "a b c d e"), (4, "a b c d e")], "doc_id long, text string")
