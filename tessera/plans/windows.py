@@ -98,6 +98,18 @@ def q24_snapshot_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return W.retained(rows, "at", 7, 4, 6).select("id", F.date_format("at", "yyyy-MM-dd").alias("day"), "kept_by")
 
 
+@query("""WITH s AS (SELECT o_orderkey AS id, o_orderdate AS tm, strftime(o_orderdate, '%Y-%m-%d') AS d, isoyear(o_orderdate) * 100 + week(o_orderdate) AS w, strftime(o_orderdate, '%Y-%m') AS m FROM orders),
+k AS (
+  SELECT id, 'day' AS rule FROM (SELECT d, arg_max(id, (tm, id)) AS id FROM s GROUP BY d ORDER BY d DESC LIMIT 7)
+  UNION ALL SELECT id, 'week' FROM (SELECT w, arg_max(id, (tm, id)) AS id FROM s GROUP BY w ORDER BY w DESC LIMIT 4)
+  UNION ALL SELECT id, 'month' FROM (SELECT m, arg_max(id, (tm, id)) AS id FROM s GROUP BY m ORDER BY m DESC LIMIT 6))
+SELECT id, d AS day, string_agg(rule, ',' ORDER BY rule) AS kept_by FROM k JOIN s USING (id) GROUP BY ALL""")
+def q24_snapshot_retention_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``q24_snapshot_retention`` over every order; that one's SQL is fixed to each fiftieth key."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("at"))
+    return W.retained(rows, "at", 7, 4, 6).select("id", F.date_format("at", "yyyy-MM-dd").alias("day"), "kept_by")
+
+
 @query("""WITH k AS (SELECT strftime(o_orderdate, '%Y-%W') AS bucket, max(o_orderkey) AS id FROM orders GROUP BY 1) SELECT bucket, id FROM k ORDER BY bucket DESC LIMIT 8""")
 def w16_weekly_rotation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """%Y-%W weeks: days before the year's first Monday are week 00."""

@@ -14,7 +14,7 @@ from tessera.operators import joins as J
 from tessera.operators import scoring as S
 from tessera.operators import tree
 from tessera.operators import windows as W
-from tessera.plans import texts
+from tessera.plans import texts, windows
 from tessera.sources import sinks, tables
 from tessera.streaming import feed
 
@@ -71,6 +71,18 @@ def test_retention_keeps_a_snapshot_of_each_period(spark):
     assert sum("day" in k for k in kept.values()) == 7 and sum("week" in k for k in kept.values()) == 4 and sum("month" in k for k in kept.values()) == 3
 
 
+def test_retention_query_considers_every_order(spark, tmp_path):
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(days=i // 3)) for i in range(1, 271)]
+    spark.createDataFrame(rows, "o_orderkey long, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    want = {}
+    for rule, bucket, n in (("day", lambda t: t.date(), 7), ("week", lambda t: t.isocalendar()[:2], 4), ("month", lambda t: (t.year, t.month), 6)):
+        newest = {bucket(t): i for i, t in rows}
+        for b in sorted(newest, reverse=True)[:n]:
+            want.setdefault(newest[b], []).append(rule)
+    got = {r["id"]: r["kept_by"] for r in windows.q24_snapshot_retention_all(spark, str(tmp_path)).collect()}
+    assert got == {i: ",".join(sorted(v)) for i, v in want.items()}
+
+
 def test_tree(spark):
     nodes = spark.createDataFrame([("m", None, "module", "active"), ("c", "m", "chapter", "active"), ("s", "c", "subtopic", "active"), ("t", "c", "subtopic", "retired")], "id string, parent_id string, level string, status string")
     closed = tree.closure(nodes)
