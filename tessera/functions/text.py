@@ -40,6 +40,14 @@ def tokens(text: Column) -> Column:
     return F.array_except(found, F.array(*map(F.lit, STOPWORDS)))
 
 
+def phrases(text: Column) -> Column:
+    """Distinct pairs of retrieval tokens side by side, joined by a blank."""
+    words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
+    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
+    token = f"(?!(?:{'|'.join(STOPWORDS)})\\b)[a-z][a-z0-9]{{3,}}"
+    return F.array_distinct(F.filter(pairs, lambda p: p.rlike(f"^{token} {token}$")))
+
+
 def whole_phrase(text: Column, phrase: str) -> Column:
     """The phrase bounded by non-word characters."""
     return text.rlike(rf"(?<!\w){re.escape(phrase)}(?!\w)")
@@ -209,7 +217,7 @@ def stem(word: Column) -> Column:
 
 def search_vector(text: Column) -> Column:
     """Stems of all words in order."""
-    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9]+)"), F.lit(1)), stem)
+    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), stem)
 
 
 def search(vector: Column, q: str) -> Column:
@@ -219,7 +227,7 @@ def search(vector: Column, q: str) -> Column:
         if word == "or" and not sign:
             groups.append([])
             continue
-        stems = [stemmed(w) for w in re.findall(r"[a-z0-9]+", phrase or word)]
+        stems = [stemmed(w) for w in re.findall(r"[^\W_]+", phrase or word)]
         if not stems:
             continue
         if len(stems) == 1:

@@ -25,6 +25,12 @@ def t02_digit_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir, "lang").where("lang = 'en'").select("doc_id", F.md5(T.masked(F.col("text"))).alias("mask"))
 
 
+@query()
+def t02_digit_mask_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``t02_digit_mask`` over all languages; that one's SQL is fixed to English, where DuckDB folds case alike."""
+    return docs(spark, sf_dir).select("doc_id", F.md5(T.masked(F.col("text"))).alias("mask"))
+
+
 LINES = "lines AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS n, unnest(string_split(text, chr(10))) AS line, len(string_split(text, chr(10))) AS total, source FROM documents)"
 
 
@@ -70,6 +76,22 @@ def t09_candidate_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_per_key(hits, ["item_id"], [F.desc("overlap"), F.asc("doc_id")], 40)
 
 
+@query()
+def t09_candidate_retrieval_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lexical candidates among documents of all languages: the 40 of each item with most token overlap + 10 x phrase hits.
+
+    The tables have no lists of terms, so a phrase is two retrieval tokens side by side; one that both hold is a hit.
+    """
+    from tessera.operators.windows import top_per_key
+
+    found = lambda rows, key: rows.select(key, F.explode(F.concat(T.tokens(F.col("text")), T.phrases(F.col("text")))).alias("t"))
+    hits = found(table(spark, sf_dir, "benchmark"), "item_id").join(found(docs(spark, sf_dir), "doc_id"), "t")
+    phrase = F.col("t").contains(" ")
+    counts = hits.groupBy("item_id", "doc_id").agg(F.count_if(phrase).alias("phrases"), F.count_if(~phrase).alias("overlap"))
+    ranked = counts.withColumn("score", 10 * F.col("phrases") + F.col("overlap"))
+    return top_per_key(ranked, ["item_id"], [F.desc("score"), F.asc("doc_id")], 40)
+
+
 @query("SELECT doc_id, CASE n WHEN 0 THEN 'none_fits' WHEN 1 THEN 'matched' ELSE 'needs_review' END AS outcome FROM (SELECT doc_id, CAST(regexp_matches(text, '(^|[^\\w])the(\\W|$)') AS INT) + CAST(regexp_matches(text, '(^|[^\\w])der(\\W|$)') AS INT) + CAST(regexp_matches(text, '(^|[^\\w])les(\\W|$)') AS INT) + CAST(regexp_matches(text, '(^|[^\\w])los(\\W|$)') AS INT) AS n FROM documents)".replace("\\W|$", "[^\\w]|$"))
 def t11_phrase_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole-phrase matches of four terms: none, one or an ambiguity."""
@@ -79,8 +101,8 @@ def t11_phrase_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search of English documents with AND, OR, exclusion and a phrase; page one with the total."""
-    rows = docs(spark, sf_dir, "lang").where("lang = 'en'").withColumn("vector", T.search_vector(F.col("text")))
+    """Search of documents with AND, OR, exclusion and a phrase; page one with the total."""
+    rows = docs(spark, sf_dir).withColumn("vector", T.search_vector(F.col("text")))
     found = rows.where(T.search(F.col("vector"), 'the and -trash or "of the"')).select("doc_id")
     return found.withColumn("total", F.count("*").over(Window.partitionBy())).orderBy("doc_id").limit(25)
 
@@ -95,6 +117,12 @@ def t16_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir, "source", "lang").where("lang = 'en'").select("doc_id", T.fingerprint(F.col("source"), F.col("lang"), F.col("text")).alias("fingerprint"))
 
 
+@query()
+def t16_fingerprint_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``t16_fingerprint`` over all languages; a null source or language is left out of the joined text."""
+    return docs(spark, sf_dir, "source", "lang").select("doc_id", T.fingerprint(F.col("source"), F.col("lang"), F.col("text")).alias("fingerprint"))
+
+
 @query("""SELECT c_custkey, sha256('{"c_custkey":' || c_custkey || ',"c_mktsegment":"' || c_mktsegment || '","c_name":"' || c_name || '"}') AS digest FROM customer""")
 def t17_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", T.canonical_digest("c_name", "c_custkey", "c_mktsegment").alias("digest"))
@@ -107,6 +135,14 @@ def t19_duplicate_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("copies > 1")
 
 
+@query()
+def t19_duplicate_key_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``t19_duplicate_key`` over all languages; null texts repeat nothing."""
+    key = F.sha2(F.lower(T.collapsed(F.col("text"))), 256)
+    rows = docs(spark, sf_dir).where("text is not null").groupBy(key.alias("text_key")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"))
+    return rows.where("copies > 1")
+
+
 @query()
 def t22_html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")

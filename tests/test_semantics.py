@@ -1,8 +1,10 @@
 """Fixed values of the scoring model, trees, windows, text, sinks and the stream, on hand-made frames."""
 
 import datetime as dt
+import hashlib
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -172,6 +174,41 @@ def test_fuzzy_query_scores_whole_texts(spark, tmp_path):
     assert got[1] == 100 and got[2] < 100 and got[3] is None
 
 
+def test_text_queries_cover_all_languages(spark, tmp_path):
+    rows = [(1, "Étude 12 of the Tax law", "fr", "a"), (2, "étude  12 of the tax LAW", "fr", None), (3, "Étude 12 of the tax law", None, "a"), (4, "trash of the bin", "de", "b"), (5, None, "en", "b"), (6, None, "de", "b"), (7, "théorème", "fr", "b")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda q: q(spark, str(tmp_path)).collect()
+    folded = lambda t: re.sub(r"\s+", " ", t).strip().lower()
+    md5 = lambda t: None if t is None else hashlib.md5(re.sub(r"\d+", "#", t.lower()).encode()).hexdigest()
+    assert {r["doc_id"]: r["mask"] for r in run(texts.t02_digit_mask_all)} == {i: md5(t) for i, t, *_ in rows}
+    joined = lambda t, lang, source: "|".join(x for x in (source, lang, t and folded(t)) if x is not None)
+    assert {r["doc_id"]: r["fingerprint"] for r in run(texts.t16_fingerprint_all)} == {i: hashlib.sha1(joined(*x).encode()).hexdigest() for i, *x in rows}
+    assert [tuple(r) for r in run(texts.t19_duplicate_key_all)] == [(hashlib.sha256(folded(rows[0][1]).encode()).hexdigest(), 3, 1)]
+    assert [(r["doc_id"], r["total"]) for r in run(texts.q11_search)] == [(i, 4) for i in (1, 2, 3, 4)]
+
+
+def test_candidates_rank_by_phrases_then_overlap(spark, tmp_path):
+    rng = random.Random(2)
+    words = ["alpha", "beta", "gamma", "delta1", "the", "with", "of", "Omega", "été", "l2xx", "fall"]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    items, found = [(i, text(8)) for i in range(3)], [(i, text(rng.randint(0, 12)), rng.choice(["en", "de", None])) for i in range(70)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(found, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def parts(t):
+        all_words = re.findall(r"\w+", t.lower())
+        good = lambda w: re.fullmatch("[a-z][a-z0-9]{3,}", w) and w not in T.STOPWORDS
+        return {w for w in all_words if good(w)}, {p for p in zip(all_words, all_words[1:]) if all(map(good, p))}
+
+    want = set()
+    for i, t in items:
+        scores = [(len(parts(t)[1] & parts(u)[1]), len(parts(t)[0] & parts(u)[0]), d) for d, u, _ in found]
+        best = sorted((-10 * p - o, d, p, o) for p, o, d in scores if p or o)[:40]
+        want |= {(i, d, p, o, -s) for s, d, p, o in best}
+    got = texts.t09_candidate_retrieval_all(spark, str(tmp_path)).select("item_id", "doc_id", "phrases", "overlap", "score").collect()
+    assert {tuple(r) for r in got} == want
+
+
 def test_nested(spark):
     shares = value(spark, N.split_shares(F.lit("a"), F.array(F.lit("b"), F.lit("c"))))
     assert [(s["node"], s["share"]) for s in shares] == [("a", 0.5), ("b", 0.25), ("c", 0.25)]
