@@ -194,8 +194,18 @@ def n18_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT p_partkey, (SELECT count(*) FROM supplier WHERE p_partkey >= s_nationkey * 40 AND p_partkey + p_size <= s_nationkey * 40 + 40) AS inside FROM part WHERE p_size % 2 = 0")
 def n10_spans_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans that lie within a source's pages: containment through buckets of the sources' width."""
+    return _inside(spark, sf_dir, table(spark, sf_dir, "part").where("p_size % 2 = 0"))
+
+
+@query("SELECT p_partkey, (SELECT count(*) FROM supplier WHERE p_partkey >= s_nationkey * 40 AND p_partkey + p_size <= s_nationkey * 40 + 40) AS inside FROM part")
+def n10_spans_inside_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``n10_spans_inside`` with a row for every part; that one's SQL is fixed to even sizes."""
+    return _inside(spark, sf_dir, table(spark, sf_dir, "part"))
+
+
+def _inside(spark: SparkSession, sf_dir: str, parts: DataFrame) -> DataFrame:
     pages = table(spark, sf_dir, "supplier").groupBy((F.col("s_nationkey") * 40).cast("long").alias("first")).agg(F.count("*").alias("c"))
-    spans = table(spark, sf_dir, "part").where("p_size % 2 = 0").select("p_partkey", "p_size", (F.floor(F.col("p_partkey") / 40) * 40).alias("low"))
+    spans = parts.select("p_partkey", "p_size", (F.floor(F.col("p_partkey") / 40) * 40).alias("low"))
     tries = spans.select("p_partkey", "p_size", F.explode(F.array("low", F.col("low") - 40)).alias("first"))
     found = tries.join(pages, "first", "left").withColumn("hit", F.when((F.col("p_partkey") >= F.col("first")) & (F.col("p_partkey") + F.col("p_size") <= F.col("first") + 40), F.coalesce("c", F.lit(0))).otherwise(0))
     return found.groupBy("p_partkey").agg(F.sum("hit").alias("inside"))

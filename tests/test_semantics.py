@@ -1,5 +1,6 @@
 """Fixed values of the scoring model, trees, windows, text, sinks and the stream, on hand-made frames."""
 
+import collections
 import datetime as dt
 import hashlib
 import json
@@ -16,7 +17,7 @@ from tessera.operators import joins as J
 from tessera.operators import scoring as S
 from tessera.operators import tree
 from tessera.operators import windows as W
-from tessera.plans import texts, windows
+from tessera.plans import curation, joins, texts, windows
 from tessera.sources import sinks, tables
 from tessera.streaming import feed
 
@@ -85,6 +86,20 @@ def test_retention_query_considers_every_order(spark, tmp_path):
     assert got == {i: ",".join(sorted(v)) for i, v in want.items()}
 
 
+def test_identity_and_spans_cover_every_row(spark, tmp_path):
+    events = [(i, i % 3, ["view", "click", None][i % 7 % 3]) for i in range(80)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    key = lambda i, u, e: (u, None if e == "view" else e, i % 5 if i % 3 else None)
+    answers = collections.Counter(key(*e) for e in events if e[0] % 2 == 0)
+    want = {e[0]: answers[key(*e)] for e in events if e[0] % 2 and answers[key(*e)]}
+    assert {r["paper_id"]: r["answers"] for r in joins.j18_null_safe_identity_all(spark, str(tmp_path)).collect()} == want
+    parts, nations = [(i, i * 7 % 50 + 1) for i in range(200)], [0, 0, 2, 3]
+    spark.createDataFrame(parts, "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(i, n) for i, n in enumerate(nations)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    inside = {p: sum(n * 40 <= p and p + size <= n * 40 + 40 for n in nations) for p, size in parts}
+    assert {r["p_partkey"]: r["inside"] for r in curation.n10_spans_inside_all(spark, str(tmp_path)).collect()} == inside
+
+
 def test_tree(spark):
     nodes = spark.createDataFrame([("m", None, "module", "active"), ("c", "m", "chapter", "active"), ("s", "c", "subtopic", "active"), ("t", "c", "subtopic", "retired")], "id string, parent_id string, level string, status string")
     closed = tree.closure(nodes)
