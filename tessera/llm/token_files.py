@@ -16,22 +16,22 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-from tessera.llm.common import slices, stash, text_column
+from tessera.llm.common import slices, stash
 from tessera.llm.rans import Table, frequencies
 
 #: A block closes with the document that brings it to so many ids.
 BLOCK_IDS = 1 << 18
-#: Words in a generation of a worker's cache; two are kept.
-CACHE_WORDS = 400_000
-_WORD = re.compile(r"[^ \t\n\r]+")
-#: Other characters that str.split cuts at.
-_OTHER_SPACE = re.compile(r"[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
-_MARKS = ".,;:!?)]}"
+#: Words in a generation of a worker's cache (two are kept), and bytes of text that are encoded together.
+CACHE_WORDS, SLICE_BYTES = 400_000, 8 << 20
+#: Letters whose lower case is one letter and that neither compose nor decompose in NFC, and ASCII marks but the apostrophe:
+#: a run of such letters is one pre-token, marks behind it are another.
+_PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)")
 #: What the model's tokens at the end of a pre-token end with.
 _END = "</w>"
 
@@ -39,14 +39,16 @@ _END = "</w>"
 class Words:
     """A tokenizer that drops white space and works word by word, with its results by word in a bounded cache.
 
-    The library encodes every distinct run of characters between blanks, tabs and line ends once; ``whole``
-    lists tokenizers' normalizers and pre-tokenizers never look across those, which a test holds against
-    encoding whole texts.
+    The library encodes every distinct run of characters between white space once: its normalizers, pre-tokenizers
+    and added tokens never look across it, which a test holds against encoding whole texts.  Runs of plain letters
+    (``_PLAIN``) go to the same model without the normalizer, many at a time; all others through the whole library.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.letters = Tokenizer.from_file(path)
+        self.letters.normalizer = normalizers.Sequence([])
+        self.letters.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ends = np.zeros(self.size, bool)
         for token, i in self.tokenizer.get_vocab().items():
@@ -54,52 +56,64 @@ class Words:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _split(self, part: list[str]) -> list[bytes]:
-        """Ids of each word: of all at once if every word ends just one pre-token, else one by one."""
-        ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
-        cut = np.flatnonzero(self.ends[ids]) + 1
-        if len(cut) == len(part) and all(w.isalpha() for w in part) and (not len(ids) or cut[-1] == len(ids)):
-            raw, cut = ids.tobytes(), (4 * cut).tolist()
-            return [raw[a:b] for a, b in zip([0, *cut], cut)]
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-
-    def learned(self, found: set[str]) -> dict[str, bytes]:
-        """Ids of the words, among others.
-
-        Letters and trailing marks are pieces of their own to the pre-tokenizer, so a word of letters and marks
-        is the ids of the two in turn; ASCII letters are looked up in lower case, as the normalizer has them.
-        """
-        fresh = found - self.young.keys()
-        older = fresh & self.old.keys()
+    def _plain(self, lower: list[str]) -> list[bytes]:
+        """Ids of runs of plain letters in lower case; each is one pre-token and ends with a token that ends one."""
+        out = []
+        for e in self.letters.encode_batch_fast([" ".join(lower[at : at + 200]) for at in range(0, len(lower), 200)], add_special_tokens=False):
+            ids = np.array(e.ids, "<u4")
+            raw, cut = ids.tobytes(), (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            out += [raw[a:b] for a, b in zip([0, *cut], cut)]
+        if len(out) != len(lower):
+            raise ValueError("the model splits words otherwise")
+        return out
+
+    def _whole(self, runs: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
+
+    def learned(self, found: list[str]) -> list[bytes]:
+        """Ids of distinct runs."""
+        out = [self.young.get(w) for w in found]
+        fresh = [i for i, ids in enumerate(out) if ids is None]
+        older = self.old
         if len(self.young) + len(fresh) > CACHE_WORDS:
-            self.old, self.young = self.young | {w: self.old[w] for w in older}, {w: self.young[w] for w in found - fresh}
+            self.old, self.young = self.young, {w: ids for w, ids in zip(found, out) if ids is not None}
         young = self.young
-        young.update((w, self.old[w]) for w in older)
-        names, lows, tails = [], [], []
-        for w in fresh - older:
-            core = w if w.isalpha() else w.rstrip(_MARKS)
-            tail = "" if len(core) == len(w) or not core.isalpha() else w[len(core) :]
-            if not tail:
-                core = w
-            names.append(w)
-            lows.append(core.lower() if core.isascii() else core)
-            tails.append(tail)
-        need = {*lows, *tails} - {""}
-        ready = {w: young[w] for w in need & young.keys()} | {"": b""}
-        rest = need - ready.keys()
-        letters = [w for w in rest if w.isalpha()]
-        for own in (letters, list(rest.difference(letters))):
-            for at in range(0, len(own), 500):
-                ready.update(zip(own[at : at + 500], self._split(own[at : at + 500])))
-        young.update((w, ready[low] + ready[tail] if tail else ready[low]) for w, low, tail in zip(names, lows, tails))
-        return young
-
-    def encode(self, texts: list[str], end: int) -> list[bytes]:
-        """Little-endian 32-bit ids of each text, the end id last."""
-        pieces = [_WORD.findall(t) if _OTHER_SPACE.search(t) else t.split() for t in texts]
-        last = np.array([end], "<u4").tobytes()
-        known = self.learned(set().union(*pieces))
-        return [b"".join([*map(known.__getitem__, own), last]) for own in pieces]
+        plain, cores, tails, odd = [], [], [], []
+        for i in fresh:
+            w = found[i]
+            if (ids := older.get(w)) is not None:
+                out[i] = young[w] = ids
+            elif w.isascii() and w.isalpha():
+                plain.append(i)
+                cores.append(w.lower())
+                tails.append("")
+            elif m := _PLAIN.fullmatch(w):
+                plain.append(i)
+                core, tail = m.groups()
+                cores.append(core.lower())
+                tails.append(tail)
+            else:
+                odd.append(i)
+        ready = {w: ids for w in {*cores} if (ids := young.get(w) or older.get(w)) is not None}
+        need = list({*cores}.difference(ready))
+        ready.update(zip(need, self._plain(need)))
+        marks = list({*tails} - {""})
+        ends = {"": b""} | dict(zip(marks, self._whole(marks)))
+        for i, core, tail in zip(plain, cores, tails):
+            out[i] = young[found[i]] = ready[core] + ends[tail]
+        for i, ids in zip(odd, self._whole([found[i] for i in odd])):
+            out[i] = young[found[i]] = ids
+        return out
+
+    def encode(self, texts: pa.Array, end: int) -> list[bytes]:
+        """Little-endian 32-bit ids of each text (null: empty), the end id last."""
+        pieces = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        runs = pieces.flatten().dictionary_encode()
+        known = pa.array(self.learned(runs.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.large_binary())
+        _, stops, data = known.take(runs.indices).buffers()
+        cuts = np.frombuffer(stops, np.int64)[pieces.offsets.to_numpy() - pieces.offsets[0].as_py()].tolist()
+        last, data = np.array([end], "<u4").tobytes(), memoryview(data or b"")
+        return [b"".join([data[a:b], last]) for a, b in zip(cuts, cuts[1:])]
 
 
 @lru_cache(maxsize=2)
@@ -133,7 +147,7 @@ def raw_blocks(docs: DataFrame, tokenizer_path: str, end: int) -> DataFrame:
     """Blocks of whole documents in id order, their payload the plain ids; ``docs`` has id and text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # millions of strings and no cycles
+        gc.disable()  # many strings and no cycles
         own, shard = words(tokenizer_path), TaskContext.get().partitionId()
         ids, parts, held, block, start = [], [], 0, 0, 0
 
@@ -141,8 +155,8 @@ def raw_blocks(docs: DataFrame, tokenizer_path: str, end: int) -> DataFrame:
             row = [[shard], [block], [start], [ids], [[len(p) // 4 for p in parts]], [[zlib.crc32(p) for p in parts]], [np.frombuffer(b"".join(parts), "<u4").astype(_raw(own.size)).tobytes()]]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, _BLOCK_TYPES)], list(_BLOCK))
 
-        for batch in slices(batches, "text", 4 << 20):
-            for i, part in zip(batch.column("id").to_pylist(), own.encode(text_column(batch.column("text")), end)):
+        for batch in slices(batches, "text", SLICE_BYTES):
+            for i, part in zip(batch.column("id").to_pylist(), own.encode(batch.column("text"), end)):
                 ids.append(i)
                 parts.append(part)
                 held += len(part) // 4
@@ -153,7 +167,7 @@ def raw_blocks(docs: DataFrame, tokenizer_path: str, end: int) -> DataFrame:
             yield close()
         gc.enable()
 
-    ordered = docs.repartitionByRange("id").sortWithinPartitions("id")
+    ordered = docs.repartitionByRange("id").sortWithinPartitions("id", "text")
     return ordered.mapInArrow(run, _BLOCK_SCHEMA)
 
 
@@ -161,8 +175,8 @@ def write_files(docs: DataFrame, path: str, tokenizer_path: str, end: int = 1, i
     """Encode every row's whole text (null: empty), append ``end``, and write the file set in id order.
 
     Texts are tokenized once into plain blocks in the shared folder; their counts make the shared table, with
-    which each block is then coded on its own.  Rows with a null id come first; equal ids keep any order among
-    themselves.
+    which each block is then coded on its own.  Rows with a null id come first; equal ids are ordered by text.
+    Literals of the tokenizer's special tokens are those tokens, as the library has them.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     plain = stash(raw_blocks(texts, tokenizer_path, end), "zstd", 16 << 20)

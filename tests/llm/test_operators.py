@@ -241,8 +241,7 @@ def test_token_files_equal_the_library(spark, tmp_path, empty):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(WORD_BPE)
-    library.encode_special_tokens = True
-    texts = odd_texts() + [None, "x" * 70000]
+    texts = odd_texts() + [None, "x" * 70000, "EVİ.", "<|endoftext|> hi", "x<|endoftext|>y."]
     ids = [i * 7 - 20 for i in range(len(texts))]
     frame = spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string").repartition(4)
     token_files.write_files(frame, f"{tmp_path}/a", WORD_BPE)
@@ -258,6 +257,28 @@ def test_token_files_equal_the_library(spark, tmp_path, empty):
     assert token_files.read_files(spark, f"{tmp_path}/b").count() == 0
 
 
+def test_token_files_equal_the_library_on_random_strings(monkeypatch):
+    from tokenizers import Tokenizer
+
+    library, rng = Tokenizer.from_file(WORD_BPE), random.Random(5)
+    letters = list("abEIz'sStT é.,;!?)<|>&#  \t\n\x0b\x0c\x1c\x85\xa0\u2028\u3000 12_`") + ["İ", "ı", "\u0301", "\u0307", "ß", "ẞ", "Σ", "ﬁ", "Å", "À", "漢", "\u200b", "<|endoftext|>", "<|startoftext|>", "'s", "'RE", "Ǆ", "ª", "µ", "×", "</w>"]
+    texts = [None, ""] + ["".join(rng.choices(letters, k=rng.randint(0, 24))) for _ in range(20000)]
+    monkeypatch.setattr(token_files, "CACHE_WORDS", 5000)
+    own = token_files.Words(WORD_BPE)
+    for at in range(0, len(texts), 700):
+        part = texts[at : at + 700]
+        for text, got in zip(part, own.encode(pa.array(part, pa.string()), 1)):
+            assert np.frombuffer(got, "<u4").tolist() == library.encode(text or "", add_special_tokens=False).ids + [1], text
+
+
+def test_token_files_null_and_repeated_ids_agree_between_runs(spark, tmp_path):
+    rows = [(None, "a b"), (3, "c"), (3, "a a a"), (None, None), (3, "c"), (1, "")]
+    for k in (1, 3):
+        token_files.write_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(k), f"{tmp_path}/{k}", WORD_BPE)
+    found = [sorted(map(str, token_files.read_files(spark, f"{tmp_path}/{k}").collect())) for k in (1, 3)]
+    assert found[0] == found[1] and len(found[0]) == 6
+
+
 def water_level(sizes):
     names = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + ([None] if None in sizes else [])
     weight, full, total = {s: i % 3 + 1 for i, s in enumerate(names)}, set(), sum(sizes.values())
