@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -216,8 +217,36 @@ def test_byte_bpe_cache_generations_and_decode(bpe, monkeypatch):
     rng = random.Random(1)
     for _ in range(6):
         texts = [sentence(rng, 60) for _ in range(3)] + ["the cat sat"]
-        assert [ids for ids, _, _ in own.encode(texts)] == [",".join(map(str, bpe.encode_ordinary(t))) for t in texts]
-    assert own.decode([bpe.encode_ordinary(t) for t in ["", "é x", "abc"]]) == [b"", "é x".encode(), b"abc"]
+        assert [ids.tolist() for _, ids in own.encode(texts)] == [bpe.encode_ordinary(t) for t in texts]
+    assert own.decode([np.array(bpe.encode_ordinary(t), np.int32) for t in ["", "é x", "abc"]]) == [b"", "é x".encode(), b"abc"]
+
+
+def test_byte_bpe_long_words_equal_the_library_in_good_time(bpe):
+    own, rng = byte_bpe.tokenizer(RANKS, public_tokenizers.PATTERN), random.Random(6)
+    texts = ["".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(20000)), "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=20000)), "a" * 20000]
+    start = time.perf_counter()
+    found = own.encode(texts)
+    assert time.perf_counter() - start < 10
+    for letters, n in (("abcdefghijklmnopqrstuvwxyzABCDE", 150), ("abe", 60), ("=-#*", 60), (["the", "in", "er", "ion", "ü", "漢", "ж", "и", "😀", "0"], 80)):
+        texts += ["".join(rng.choices(letters, k=rng.randint(97, 300))) for _ in range(n)]
+    for text, (written, ids) in zip(texts, found + own.encode(texts[3:])):
+        assert ids.tolist() == bpe.encode_ordinary(text)
+        assert written.decode() == ",".join(map(str, ids))
+
+
+def test_byte_bpe_decoded_digest_comes_from_the_ids(spark, bpe):
+    own = byte_bpe.tokenizer(RANKS, public_tokenizers.PATTERN)
+    ids = own.encode(["one two three"])[0][1].copy()
+    assert own.decode([ids]) == [b"one two three"]
+    ids[1] += 1
+    assert own.decode([ids]) != [b"one two three"]
+
+
+def test_byte_bpe_empty_table_and_clashing_columns(spark, empty, bpe):
+    assert byte_bpe.encoded(empty, RANKS, public_tokenizers.PATTERN).count() == 0
+    frame = spark.createDataFrame([(7, "a b", 9, "x"), (None, "a b", None, None), (7, None, 1, "y")], "doc_id long, text string, n_tokens long, ids_sha256 string")
+    found = sorted(((r["doc_id"], r["n_tokens"]) for r in byte_bpe.encoded(frame, RANKS, public_tokenizers.PATTERN).collect()), key=str)
+    assert found == sorted([(7, len(bpe.encode_ordinary("a b"))), (None, len(bpe.encode_ordinary("a b"))), (7, 0)], key=str)
 
 
 @pytest.mark.parametrize("n", [0, 1, 1023, 1024, 1025, 140000, 300000])
