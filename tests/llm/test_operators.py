@@ -339,21 +339,80 @@ def test_mixing_meets_targets(spark, docs, empty):
     assert [(r["size"], r["taken"], r["target"]) for r in mixing.mixed(nothing).collect()] == [(0, 0, 0.0)] * 2
 
 
+def tree(quotas, shards, **more):
+    dealt = list(mixing.splitting_tree(quotas, shards, **more))
+    return np.array([own for _, _, own in dealt]), dealt
+
+
 def test_splitting_tree_is_exact_and_fair():
     quotas = np.array([1000, 0, 37, 5000])
-    dealt = mixing.splitting_tree(quotas, 7)
+    dealt, rows = tree(quotas, 7)
     assert (dealt.sum(axis=0) == quotas).all() and np.ptp(dealt.sum(axis=1)) <= 1 and (dealt >= 0).all()
     assert np.abs(dealt[:, 3] / dealt.sum(axis=1) - 5000 / 6037).max() < 0.05
-    assert (mixing.splitting_tree(quotas, 7) == dealt).all()
-    huge = np.array([3_000_000_000, 2_000_000_000])
-    assert (mixing.splitting_tree(huge, 4).sum(axis=0) == huge).all()
-
-
-def test_draws_are_disjoint_and_whole(docs):
-    pieces = mixing.draws(*mixing.placed(docs)).where("shard is not null").collect()
-    seen = collections.Counter((p["doc_id"], w) for p in pieces for w in range(p["from_word"], p["from_word"] + p["words"]))
-    size = {p["doc_id"]: p["size"] for p in pieces}
-    assert max(seen.values()) <= 3 and all(0 <= w < size[i] for i, w in seen)
+    assert (tree(quotas, 7)[0] == dealt).all() and (tree(quotas, 7, seed=1)[0] != dealt).any()
+    assert [s for s, _, _ in rows] == list(range(7)) and all((start == dealt[:s].sum(axis=0)).all() for s, start, _ in rows)
+    part = list(mixing.splitting_tree(quotas, 7, low=2, high=5))
+    assert [(s, list(a), list(b)) for s, a, b in part] == [(s, list(a), list(b)) for s, a, b in rows[2:5]]
+    huge = np.array([30_000_000_000, 20_000_000_000, 5])
+    assert (tree(huge, 4)[0].sum(axis=0) == huge).all()
+
+
+def test_hypergeometric_draws_beyond_the_bound_have_the_same_distribution(monkeypatch):
+    rng = np.random.default_rng(3)
+    for good, bad, draws in ((30, 50, 20), (500, 90, 300), (7, 4000, 2500), (100, 100, 150)):
+        own = np.array([mixing._ratio_of_uniforms(rng, good, bad, draws) for _ in range(20000)])
+        want = rng.hypergeometric(good, bad, draws, 20000)
+        assert abs(own.mean() - want.mean()) < 5 * want.std() / 141 + 1e-9 and abs(own.std() / want.std() - 1) < 0.05
+        assert own.min() >= max(0, draws - bad) and own.max() <= min(good, draws)
+    big = np.array([mixing.hypergeometric(rng, 4_000_000_000, 6_000_000_000, 5_000_000_000) for _ in range(3000)])
+    assert abs(big.mean() - 2e9) < 5 * big.std() / 55 and abs(big.std() / np.sqrt(5e9 * 0.24 * 0.5) - 1) < 0.1
+
+
+def test_shards_are_disjoint_whole_and_what_is_taken(spark, docs, tmp_path):
+    rows, sources = mixing.placed(docs)
+    mixing.write_shards(rows, sources, f"{tmp_path}/m", shard_blocks=4)
+    pieces = mixing.read_shards(spark, f"{tmp_path}/m").collect()
+    seen = collections.Counter((p["id"], p["pass"], w) for p in pieces for w in range(p["from_word"], p["from_word"] + p["words"]))
+    size = {r["id"]: r["size"] for r in rows.collect()}
+    assert max(seen.values()) == 1 and all(0 <= w < size[i] and 0 <= k < 3 for i, k, w in seen)
+    taken = collections.Counter(i for i, _, _ in seen)
+    shards = collections.defaultdict(set)
+    for p in pieces:
+        shards[p["id"]].add(p["shard"])
+    assert len({p["shard"] for p in pieces}) > 3
+    for r in mixing.mixed(docs, shard_blocks=4).collect():
+        assert (r["taken"], r["shards"]) == (taken[r["doc_id"]], len(shards[r["doc_id"]]))
+
+
+def test_a_seed_changes_the_mix_but_not_its_targets(docs):
+    one, two = ({r["doc_id"]: r for r in mixing.mixed(docs, seed=k).collect()} for k in (29, 30))
+    assert {i: r["target"] for i, r in one.items()} == {i: r["target"] for i, r in two.items()}
+    assert any(one[i]["taken"] != two[i]["taken"] for i in one)
+    for rows in (one, two):
+        taken, target = collections.Counter(), {}
+        for r in rows.values():
+            taken[r["source"]] += r["taken"]
+            target[r["source"]] = r["target"]
+        assert all(abs(taken[s] - target[s]) <= 1 for s in target)
+
+
+def test_mixed_documents_keep_null_and_repeated_ids_and_clashing_columns(spark, empty):
+    rows = [(None, f"n{i} b c", "s", i, i) for i in range(100)] + [(7, "x y z", "s", 1, 1)] * 3 + [(7, "other text", "t", 2, 2), (8, None, "t", 3, 3), (9, "", None, 4, 4)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string, shard int, times int")
+    found = mixing.mixed(frame).collect()
+    assert len(found) == len(rows) and sum(r["size"] for r in found) == 311
+    out = mixing.mixed_documents(frame)
+    kept = [tuple(r) for r in out.collect()]
+    assert out.columns == frame.columns and set(kept) <= set(rows)
+    taken = collections.Counter()
+    for r in found:
+        taken[r["source"]] += r["taken"]
+    words = collections.Counter()
+    for r in kept:
+        words[r[2]] += len(r[1].split())
+    assert all(abs(words[s] - taken[s]) <= 3 for s in taken) and any(r[0] is None for r in kept)
+    assert sorted(kept, key=str) == sorted((tuple(r) for r in mixing.mixed_documents(frame.repartition(7)).collect()), key=str)
+    assert mixing.mixed_documents(empty).count() == 0
 
 
 def page_rows():
