@@ -10,34 +10,40 @@ class CycleError(ValueError):
     """A node is its own ancestor."""
 
 
-def closure(nodes: DataFrame, max_depth: int = 8) -> DataFrame:
+def closure(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
     """(ancestor, id, depth): every node with itself (depth 0) and all its ancestors.
 
-    One join a level, none of them beyond the tree's depth; deeper than ``max_depth`` raises CycleError.
-    A missing parent ends the chain.
+    Depths double from round to round, so rounds follow the logarithm of the tree's depth, each a join with a table of topics;
+    a node that comes back to itself or lies deeper than ``max_depth`` raises CycleError.  A missing parent ends the chain.
     """
-    edges = nodes.where("parent_id is not null").select(F.col("id").alias("child"), F.col("parent_id").alias("up")).cache()
-    now = nodes.select(F.col("id").alias("ancestor"), "id", F.lit(0).alias("depth"))
-    out, depth = now, 0
+    own = nodes.select("id").distinct()
+    now = nodes.where("parent_id is not null").select("id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("depth")).join(own.select(F.col("id").alias("ancestor")), "ancestor", "left_semi")
+    reach = 1
     while True:
-        depth += 1
-        now = now.join(edges, F.col("ancestor") == F.col("child")).select(F.col("up").alias("ancestor"), "id", F.lit(depth).alias("depth"))
-        if now.isEmpty():
-            return out
-        if depth > max_depth:
-            raise CycleError(f"deeper than {max_depth}")
-        out = out.union(now)
-
-
-def known_closure(nodes: DataFrame, depth: int) -> DataFrame:
-    """``closure`` of a tree of known depth as one lazy plan, without an action."""
-    edges = nodes.where("parent_id is not null").select(F.col("id").alias("child"), F.col("parent_id").alias("up"))
-    now = nodes.select(F.col("id").alias("ancestor"), "id", F.lit(0).alias("depth"))
-    out = now
-    for d in range(1, depth + 1):
-        now = now.join(edges, F.col("ancestor") == F.col("child")).select(F.col("up").alias("ancestor"), "id", F.lit(d).alias("depth"))
-        out = out.union(now)
-    return out
+        last = now.where(F.col("depth") == reach).select("id", "ancestor")
+        if last.isEmpty():
+            break
+        if reach >= max_depth or not last.where("id = ancestor").isEmpty():
+            raise CycleError(f"a cycle, or deeper than {max_depth}")
+        ahead = now.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("further"), F.col("depth").alias("more"))
+        now = now.unionByName(last.join(ahead, "ancestor").select("id", F.col("further").alias("ancestor"), (F.col("more") + reach).alias("depth")))
+        reach *= 2
+    return own.select(F.col("id").alias("ancestor"), "id", F.lit(0).alias("depth")).union(now.select("ancestor", "id", "depth"))
+
+
+def chased(pointers: DataFrame, most: int = 40) -> DataFrame:
+    """(id, origin, hops): pointers (id, origin, hops; at itself where a chain ends) followed to the end, in doubling steps.
+
+    Stops when no pointer moves; chains of more than 2^most hops, or a cycle, raise CycleError.
+    """
+    now = pointers
+    for _ in range(most):
+        step = now.select(F.col("id").alias("origin"), F.col("origin").alias("next"), F.col("hops").alias("more"))
+        further = now.join(step, "origin", "left").select("id", F.coalesce("next", "origin").alias("origin"), F.when(F.col("origin") == F.col("id"), F.lit(0)).otherwise(F.coalesce("more", F.lit(0))).alias("more"), "hops")
+        if further.where("more > 0").isEmpty():
+            return now
+        now = further.select("id", "origin", (F.col("hops") + F.col("more")).alias("hops"))
+    raise CycleError("a cycle of pointers")
 
 
 def chains(closed: DataFrame, separator: str = "/") -> DataFrame:

@@ -23,7 +23,7 @@ def named(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT part, 'IndAS' AS instrument, CAST(s AS VARCHAR) AS ref_key FROM t WHERE paper IN ('P1', 'P6') UNION ALL SELECT part, 'SA', CAST(sa AS VARCHAR) FROM t WHERE paper IN ('P3', 'P6') AND sa < 1000
 UNION ALL SELECT part, 'ITA1961', CAST(s AS VARCHAR) FROM t WHERE paper IN ('P4', 'P6') UNION ALL SELECT part, act, CAST(s AS VARCHAR) FROM t WHERE paper IN ('P5', 'P6')""")
 def t08_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = named(spark, sf_dir).select("part", F.explode(X.anchors("text", "paper")).alias("a"))
+    rows = named(spark, sf_dir).select("part", F.explode(X.anchors(F.col("text"), F.col("paper"))).alias("a"))
     return rows.select("part", "a.instrument", "a.ref_key")
 
 
@@ -37,13 +37,15 @@ def t20_inferred_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_orderkey", X.attempt_of(F.col("name")).alias("attempt"), X.paper_of(F.col("name")).alias("paper"), X.doc_type_of(F.col("name")).alias("doc_type"))
 
 
-@query()
+@query("""WITH p AS (SELECT regexp_extract(p_brand, '(\\d+)', 1) AS number, p_brand, p_partkey, p_size, p_name, CAST(regexp_extract(p_brand, '(\\d+)', 1) AS BIGINT) * 1000000 + p_partkey // 500 AS doc_id FROM part)
+SELECT doc_id, 0 AS n, 'chapter' AS kind, number, any_value(p_brand) AS title, CAST(NULL AS VARCHAR) AS reference, CAST(NULL AS INT) AS parent, false AS missing_prefix FROM p GROUP BY doc_id, number
+UNION ALL SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY p_partkey) AS INT), 'topic', number || '.' || p_size, p_name, CAST(p_partkey AS VARCHAR), 0, true FROM p""")
 def t25_contents_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contents lines made from parts: a chapter a brand, numbered topics below."""
-    part = table(spark, sf_dir, "part").where("p_size <= 9")
+    """Contents pages made from parts: one of at most 500 keys of a brand, a chapter heading with numbered topics below."""
     number = F.regexp_extract("p_brand", r"(\d+)", 1)
-    lines = part.select(F.lit(1).cast("long").alias("doc_id"), (number.cast("long") * 100_000 + F.col("p_partkey") + 1).alias("line_no"), F.concat(number, F.lit("."), F.col("p_size").cast("string"), F.lit(" "), F.col("p_name"), F.lit(" ..... "), F.col("p_partkey").cast("string")).alias("line"))
-    heads = part.select(F.lit(1).cast("long").alias("doc_id"), (number.cast("long") * 100_000).alias("line_no"), F.concat(F.lit("Chapter "), number, F.lit(": "), F.col("p_brand")).alias("line")).distinct()
+    part = table(spark, sf_dir, "part").withColumn("number", number).withColumn("doc_id", number.cast("long") * 1_000_000 + F.floor(F.col("p_partkey") / 500))
+    lines = part.select("doc_id", F.col("p_partkey").cast("long").alias("line_no"), F.concat("number", F.lit("."), F.col("p_size").cast("string"), F.lit(" "), F.col("p_name"), F.lit(" ..... "), F.col("p_partkey").cast("string")).alias("line"))
+    heads = part.groupBy("doc_id", "number", "p_brand").agg(F.lit(-1).cast("long").alias("line_no")).select("doc_id", "line_no", F.concat(F.lit("Chapter "), "number", F.lit(": "), "p_brand").alias("line"))
     return X.contents(heads.unionByName(lines))
 
 

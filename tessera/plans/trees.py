@@ -10,13 +10,12 @@ from tessera.plans import model as M
 from tessera.plans.registry import query
 from tessera.sources.tables import table
 
-DEPTH = 2
 REC = f"WITH RECURSIVE {M.NODES_SQL}"
 
 
 def closed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     nodes = M.nodes(spark, sf_dir)
-    return nodes, T.known_closure(nodes, DEPTH)
+    return nodes, T.closure(nodes)
 
 
 @query(f"{REC} SELECT ancestor, id, CAST(depth AS INT) AS depth FROM closure")
@@ -108,14 +107,11 @@ SELECT id, arg_max(origin, hops) AS origin, CAST(max(hops) AS INT) AS hops FROM
 def r11_supersession_origin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pointer chase to each document's origin; a pointer only leads to a smaller id, so chains end.
 
-    Pointers jump in doubling steps: rounds grow with the logarithm of the longest chain.
+    Pointers jump in doubling steps until none moves: rounds grow with the logarithm of the longest chain.
     """
     link = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.max("l_partkey").alias("old"))
     now = link.select("id", F.when(F.col("old") < F.col("id"), F.col("old")).otherwise(F.col("id")).alias("origin"), (F.col("old") < F.col("id")).cast("int").alias("hops"))
-    for _ in range(6):
-        step = now.select(F.col("id").alias("origin"), F.col("origin").alias("next"), F.col("hops").alias("more"))
-        now = now.join(step, "origin", "left").select("id", F.coalesce("next", "origin").alias("origin"), (F.col("hops") + F.when(F.col("origin") != F.col("id"), F.coalesce("more", F.lit(0))).otherwise(0)).alias("hops"))
-    return now.select("id", "origin", F.col("hops").cast("int").alias("hops"))
+    return T.chased(now).select("id", "origin", F.col("hops").cast("int").alias("hops"))
 
 
 @query("""WITH best AS (SELECT l_orderkey AS root, CASE WHEN l_linenumber <= 2 THEN 'g' || l_linenumber ELSE '#' || row_number() OVER () END AS slot, l_quantity AS marks FROM lineitem)

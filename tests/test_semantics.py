@@ -104,7 +104,6 @@ def test_tree(spark):
     nodes = spark.createDataFrame([("m", None, "module", "active"), ("c", "m", "chapter", "active"), ("s", "c", "subtopic", "active"), ("t", "c", "subtopic", "retired")], "id string, parent_id string, level string, status string")
     closed = tree.closure(nodes)
     assert {r["id"]: r["path"] for r in tree.chains(closed).collect()} == {"m": "m", "c": "m/c", "s": "m/c/s", "t": "m/c/t"}
-    assert closed.exceptAll(tree.known_closure(nodes, 2)).isEmpty()
     assert {r["id"] for r in tree.applicable(closed, nodes, nodes.where("id = 'c'").select("id")).collect()} == {"m"}
     with pytest.raises(tree.CycleError):
         tree.closure(spark.createDataFrame([("a", "b"), ("b", "a")], "id string, parent_id string"))
@@ -264,3 +263,30 @@ def test_stream_of_streaks_equals_batch(spark, tmp_path):
     feed.streaks(stream, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
     got = {(r["user_id"], r["leaf"]): r["k"] for r in feed.merged_streaks(spark, f"{tmp_path}/out").collect()}
     assert got == {(r["user_id"], r["leaf"]): r["k"] for r in W.streak(frame, ["user_id", "leaf"], ["ts", "event_id"], "ok", "shaky").collect()}
+
+
+def test_closures_of_deep_trees_and_long_pointer_chains(spark):
+    deep = spark.createDataFrame([(f"n{i}", f"n{i - 1}" if i else None) for i in range(11)] + [("lost", "gone")], "id string, parent_id string")
+    got = {(r["ancestor"], r["id"], r["depth"]) for r in tree.closure(deep).collect()}
+    assert got == {(f"n{j}", f"n{i}", i - j) for i in range(11) for j in range(i + 1)} | {("lost", "lost", 0)}
+    with pytest.raises(tree.CycleError):
+        tree.closure(spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("d", "a")], "id string, parent_id string"))
+    chain = spark.createDataFrame([(i, max(0, i - 1), int(i > 0)) for i in range(150)], "id long, origin long, hops int")
+    assert {(r["id"], r["origin"], r["hops"]) for r in tree.chased(chain).collect()} == {(i, 0, i) for i in range(150)}
+
+
+def test_the_core_stands_without_the_optional_subpackage(tmp_path):
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    ignore = shutil.ignore_patterns("llm", ".git", "__pycache__", "spark-warehouse")
+    ask = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), any(k.startswith('op1_') or k == 'pipeline' for k in e.queries()))"
+    for leave_pipeline in (False, True):
+        copy = shutil.copytree(root, tmp_path / str(leave_pipeline), ignore=ignore)
+        if not leave_pipeline:
+            os.remove(copy / "corpus_pipeline.py") if (copy / "corpus_pipeline.py").exists() else None
+        out = subprocess.run([sys.executable, "-c", ask], cwd=copy, capture_output=True, text=True, check=True).stdout.split()
+        assert int(out[0]) > 150 and int(out[1]) > 150 and out[2] == "False"
