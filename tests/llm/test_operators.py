@@ -5,6 +5,7 @@ import collections
 import hashlib
 import random
 import re
+import string
 import time
 import zlib
 
@@ -169,16 +170,42 @@ def test_secrets_base_kinds_match_brute_force(spark):
         assert got[i]["n_hex"] == want.count("hex:") and got[i]["n_assign"] == want.count("assign:") and got[i]["n_access"] == want.count("access:")
 
 
-def test_secret_models_tell_random_strings_from_identifiers():
-    noise, plain = secrets.labelled_samples(1500, seed=77)
-    assert np.mean([secrets.ratio(x) >= secrets.THRESHOLD for x in noise]) > 0.99
-    assert np.mean([secrets.ratio(x) >= secrets.THRESHOLD for x in plain]) < 0.005
+SURROUNDINGS = (("see ", " now"), ("https://api.example.com/users/session/", "/profile/view"), ("config_value_for_service=", ""), ("my-service-name-", "-prod"), ("getUserToken_", ""))
+
+
+@pytest.mark.parametrize("letters", [string.ascii_letters + string.digits, string.ascii_letters, string.ascii_lowercase, string.ascii_uppercase + string.digits, string.ascii_lowercase + string.digits, string.ascii_letters + string.digits + "+/"])
+def test_secret_models_find_random_strings_wherever_they_stand(letters):
+    rng = random.Random(len(letters))
+    for before, behind in SURROUNDINGS:
+        found = 0
+        for _ in range(150):
+            key = "".join(rng.choices(letters, k=rng.randint(20, 40)))
+            spans = secrets.spans(before + key + behind)
+            found += sum(max(0, min(e, len(before) + len(key)) - max(s, len(before))) for _, s, e in spans) >= 0.7 * len(key)
+        assert found >= 0.9 * 150, (before, found)
+
+
+def test_secret_models_leave_ordinary_names_alone():
+    noise, plain = secrets.labelled_samples(4000, seed=77)
+    assert np.mean([bool(secrets.spans(x)) for x in plain]) <= 0.005
+    assert all(np.mean([bool(secrets.spans(x)) for x in own[:500]]) > 0.9 for own in noise)
     assert [k for k, *_ in secrets.spans("see Zk93hQ0sVb1LmXy72TqRw8 now")] == ["markov"]
-    assert secrets.spans("internationalization_of_the_settings_2024_page") == []
+    names = ["internationalization_of_the_settings_2024_page", "Donaudampfschifffahrtsgesellschaft", "https://www.example.org/articles/2024/05/understanding-distributed-systems", "4493434194505928", "=" * 80, "z" * 40, "2024-05-06/2024-07-08", "getApplicationContextConfiguration", "_" * 30]
+    assert [secrets.spans(x) for x in names] == [[]] * len(names)
     text = 'x password="hunter22" y'
     assert secrets.redacted(text, secrets.spans(text)) == 'x [SECRET]" y'
 
 
+def test_secrets_of_long_texts_empty_tables_and_clashing_columns(spark, empty):
+    assert secrets.scan(empty).count() == 0 and secrets.redact(empty).count() == 0
+    key = "Zk93hQ0sVb1LmXy72TqRw8"
+    rows = [(1, "word " * 200000 + key, 5, "s"), (1, None, None, None), (None, key, 7, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, n_hex int, spans string")
+    found = sorted(((r["doc_id"], r["n_markov"], r["spans"]) for r in secrets.scan(frame).collect()), key=str)
+    assert found == sorted([(1, 1, f"markov:1000000:{1000000 + len(key)}"), (1, 0, ""), (None, 1, f"markov:0:{len(key)}")], key=str)
+    assert sorted((tuple(r) for r in secrets.redact(frame).collect()), key=str) == sorted([(1, "word " * 200000 + "[SECRET]", 5, "s"), (1, None, None, None), (None, "[SECRET]", 7, "")], key=str)
+
+
 def test_redact_keeps_columns_and_clean_texts(docs):
     assert sorted(secrets.redact(docs).collect(), key=str) == sorted(docs.collect(), key=str)
 
