@@ -3,7 +3,8 @@
 Folding lower-cases, maps homoglyphs to Latin letters and digit substitutions inside words to the
 letters they stand for.  The lexicon holds words and word stems whose log-odds of appearing in toxic
 rather than clean training documents are high; of near copies (one minhash of five-word runs) only one
-document counts towards a pattern.  A document's feature is its hits' summed weights, exception
+document counts towards a pattern.  Phrases of a lexicon word and a neighbour that are found in clean
+documents alone, more often than chance lets them, are exceptions.  A document's feature is its hits' summed weights, exception
 phrases aside, over its length in words; one logistic curve turns that into a probability.
 """
 
@@ -33,7 +34,9 @@ EXCEPTIONS = ("clown fish", "clown car", "trash can", "trash bin", "trash bag",
 
 #: At most about so many labelled documents are read to learn the lexicon.
 TRAIN_ROWS = 12_000
-CANDIDATES, LOG_ODDS, SURPRISE, MOST_WEIGHT, THRESHOLD = 20_000, 3.0, 11.5, 8.0, 0.7
+LOG_ODDS, SURPRISE, MOST_WEIGHT, THRESHOLD = 3.0, 11.5, 8.0, 0.7
+#: Nats against a phrase's being clean by chance, given how often its lexicon word is, that make it an exception.
+SPARED = 7.0
 
 _FOLD = str.maketrans(HOMOGLYPHS | {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)} | dict.fromkeys(map(chr, (0x200B, 0x200C, 0x200D, 0xAD)), ""))
 _ODD = re.compile("[" + "".join(HOMOGLYPHS) + "\uff01-\uff5e\u200b-\u200d\u00ad]")
@@ -153,7 +156,8 @@ def _surprise(toxic: int, clean: int, prior: float) -> float:
 def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, exceptions: tuple[str, ...] = EXCEPTIONS) -> Lexicon:
     """Fit a lexicon to ``docs`` (doc_id, text) and ``labels`` (doc_id, label 0 or 1).
 
-    About ``rows`` labelled documents, chosen by a hash of their id, are read; nulls are left out.
+    About ``rows`` labelled documents, chosen by a hash of their id, are read, whole and with all their patterns;
+    null ids and labels other than 0 and 1 are left out, null texts count as empty, repeated ids as documents each.
     Without both classes the lexicon is empty and every score is the prior's.
     """
     marked = labels.where("doc_id is not null and label in (0, 1)").select("doc_id", F.col("label").cast("long").alias("label"))
@@ -169,7 +173,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, exceptions
     if n_toxic and n_clean:
         least = max(3, n_toxic // 300)
         toxic = one.where("label = 1").select("text").mapInArrow(_counted(None), "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        t = {r["pattern"]: r["n"] for r in toxic.orderBy(F.desc("n"), "pattern").limit(CANDIDATES).collect()}
+        t = {r["pattern"]: r["n"] for r in toxic.collect()}  # bounded by the sample's documents
         clean = one.where("label = 0").select("text").mapInArrow(_counted(frozenset(t)), "pattern string, n long").groupBy("pattern").agg(F.sum("n").alias("n"))
         c = {r["pattern"]: r["n"] for r in clean.collect()}
         odds = {p: math.log((n + 0.5) / (n_toxic + 1)) - math.log((c.get(p, 0) + 0.5) / (n_clean + 1)) for p, n in t.items()}
@@ -186,6 +190,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, exceptions
                 best = max((q for q in good if q.endswith("*") and q.startswith(p[:-1]) and t[q] >= 0.9 * t[p]), key=lambda q: (len(q), q))
                 out.stems[best[:-1]] = good[best]
         out.words = {p: w for p, w in good.items() if not p.endswith("*") and not any(p.startswith(s) for s in out.stems)}
+        out.exceptions = (*exceptions, *_exceptions(one, out, t, c))
     seen = kept.select("label", "text").mapInArrow(_features(out), "x double, label long").toPandas()
     if n_toxic and n_clean:
         out.bias, out.slope = _logistic(seen["x"].to_numpy(), seen["label"].to_numpy(float))
@@ -194,6 +199,33 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, exceptions
     return out
 
 
+def _exceptions(one: DataFrame, lexicon: Lexicon, toxic: dict[str, int], clean: dict[str, int]) -> list[str]:
+    """Phrases of two words around a hit that no toxic document has and that clean ones have against its word's odds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        for batch in batches:
+            for text, label in zip(text_column(batch.column("text")), batch.column("label").to_pylist()):
+                own = set()
+                for start, end, _ in lexicon.hits(text):
+                    stop = next((m.end() for m in [_WORD.match(text, start)] if m), end)
+                    key = text[start:stop] if text[start:stop] in lexicon.words else next((f"{s}*" for s in lexicon.stems if text.startswith(s, start)), "")
+                    before, behind = re.search(r"[^\W\d_]+ $", text[max(0, start - 40) : start]), re.match(r" [^\W\d_]+", text[stop : stop + 40])
+                    own |= {(text[start - len(before[0]) : stop], key)} if before else set()
+                    own |= {(text[start : stop + len(behind[0])], key)} if behind else set()
+                seen.update((phrase, key, label) for phrase, key in own)
+        rows = list(seen)
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.string(), pa.int64()))] + [pa.array(list(seen.values()), pa.int64())], ["phrase", "pattern", "label", "n"])
+
+    counts = one.select("text", "label").mapInArrow(run, "phrase string, pattern string, label long, n long").groupBy("phrase", "pattern").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("clean"))
+    found = []
+    for r in counts.where("toxic = 0 and clean >= 3").collect():
+        share = toxic.get(r["pattern"], 0) / max(1, toxic.get(r["pattern"], 0) + clean.get(r["pattern"], 0))
+        if -r["clean"] * math.log(max(1 - share, 1e-9)) >= SPARED:
+            found.append(r["phrase"])
+    return sorted(found)
+
+
 def _features(lexicon: Lexicon):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,7 +2,8 @@
 
 An archive is a folder of two tables.  ``payloads`` (digest, payload) has every distinct payload once;
 ``records`` (page_id, digest, header) the exact header bytes of every record, in WARC/1.1.  A reader
-recomputes each payload's digest, joins it to the headers, and fails on a mismatch.
+recomputes each payload's digest, joins it to the headers, and fails on a mismatch; records are parsed from
+their reconstructed bytes, a revisit's payload is that of the record it refers to.
 """
 
 from __future__ import annotations
@@ -71,29 +72,56 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumn("payload", F.when(right, F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), "digest"))))
 
 
-def _field(name: str, pattern: str) -> F.Column:
-    found = F.regexp_extract(F.col("header").cast("string"), rf"\r\n{name}: {pattern}\r\n", 1)
-    return F.when(found != "", found)
+def reconstruct(spark: SparkSession, path: str) -> DataFrame:
+    """page_id, record: the exact bytes of every record (a revisit's block is empty).
 
+    Payloads join only the records that hold them.
+    """
+    heads = spark.read.schema("page_id long, digest string, header binary").parquet(f"{path}/records")
+    again = F.col("header").cast("string").contains(f"{CRLF}WARC-Type: revisit{CRLF}WARC-Record-ID: ")
+    end = F.lit(CRLF * 2).cast("binary")
+    full = heads.where(~again).join(read_payloads(spark, path), "digest", "left")
+    payload = F.coalesce("payload", F.raise_error(F.concat(F.lit("no payload for "), "digest")).cast("binary"))
+    return full.select("page_id", F.concat("header", payload, end).alias("record")).unionByName(heads.where(again).select("page_id", F.concat("header", end).alias("record")))
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, record_type, refers_to, payload_digest and payload_bytes of every record.
 
-    Fields come from the header bytes; length and SHA-1 from the stored payload that the digest joins,
-    and the two SHA-1 must agree.
+def parsed(records: DataFrame) -> DataFrame:
+    """page_id, record_type, refers_to, stated (the SHA-1 in the header), sha1 and n (of the block) of ``record`` bytes.
+
+    The header ends at the first empty line, the block has Content-Length bytes, and two line ends close the record.
     """
-    heads = spark.read.schema("page_id long, digest string, header binary").parquet(f"{path}/records")
-    facts = read_payloads(spark, path).select("digest", F.sha1("payload").alias("sha1"), F.length("payload").cast("long").alias("payload_bytes"))
-    rows = heads.select(_field("WARC-Record-ID", "<urn:page:(-?\\d+)>").cast("long").alias("page_id"), "digest", _field("WARC-Type", "(\\w+)").alias("record_type"), _field("WARC-Refers-To", "<urn:page:(-?\\d+)>").cast("long").alias("refers_to"), _field("WARC-Payload-Digest", "sha1:([0-9a-f]+)").alias("stated"))
-    joined = rows.join(facts, "digest", "left")
-    same = F.col("stated") == F.col("sha1")
-    return joined.select("page_id", "payload_bytes", F.when(same, F.col("sha1")).otherwise(F.raise_error(F.concat(F.lit("no payload for "), "digest"))).alias("payload_digest"), "record_type", "refers_to")
+    rows = records.select("record", F.expr("instr(decode(record, 'ISO-8859-1'), '\\r\\n\\r\\n')").alias("gap"))
+    rows = rows.withColumn("header", F.expr("decode(substring(record, 1, gap + 1), 'UTF-8')"))
 
+    def value(name: str, pattern: str) -> F.Column:
+        found = F.regexp_extract("header", rf"\r\n{name}: {pattern}\r\n", 1)
+        return F.when(found != "", found)
 
-def reconstruct(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, record: the exact bytes of every record (a revisit's block is empty)."""
-    heads = spark.read.schema("page_id long, digest string, header binary").parquet(f"{path}/records")
-    again = _field("WARC-Type", "(revisit)").isNotNull()
-    rows = heads.withColumn("again", again).join(read_payloads(spark, path), "digest")
-    block = F.when(F.col("again"), F.lit("").cast("binary")).otherwise(F.col("payload"))
-    return rows.select("page_id", F.concat("header", block, F.lit(CRLF * 2).cast("binary")).alias("record"))
+    rows = rows.withColumn("size", value("Content-Length", r"(\d+)").cast("long")).withColumn("block", F.expr("substring(record, cast(gap + 4 as int), cast(size as int))"))
+    whole = (F.length("record") == F.col("gap") + 3 + F.col("size") + 4) & (F.expr("substring(record, -4)") == F.lit(CRLF * 2).cast("binary"))
+    kind = F.when(whole, value("WARC-Type", r"(\w+)")).otherwise(F.raise_error(F.lit("a record's length differs")))
+    return rows.select(
+        value("WARC-Record-ID", r"<urn:page:(-?\d+)>").cast("long").alias("page_id"), kind.alias("record_type"), value("WARC-Refers-To", r"<urn:page:(-?\d+)>").cast("long").alias("refers_to"),
+        value("WARC-Payload-Digest", "sha1:([0-9a-f]+)").alias("stated"), F.sha1("block").alias("sha1"), F.length("block").cast("long").alias("n"),
+    )
+
+
+def read_records(spark: SparkSession, path: str) -> DataFrame:
+    """page_id, record_type, refers_to, payload_digest and payload_bytes of every record, from its reconstructed bytes.
+
+    A response's payload is its block, a revisit's the block of the response that it refers to; the SHA-1 in the
+    header must be the payload's.  Repeated and null ids stay rows of their own; an empty archive gives none.
+    """
+    rows = stash(parsed(reconstruct(spark, path)))
+    differs = lambda what: F.raise_error(F.concat(F.lit(f"{what} "), F.coalesce(F.col("stated"), F.lit("-"))))
+    held = rows.where("record_type != 'revisit'").withColumn("payload_digest", F.when(F.col("stated") == F.col("sha1"), F.col("sha1")).otherwise(differs("another payload than")))
+    named = held.where(F.col("n") >= REVISIT_BYTES).select(F.col("page_id").alias("refers_to"), F.col("payload_digest").alias("stated"), F.col("n").alias("payload_bytes")).distinct()
+    again = rows.where("record_type = 'revisit'").join(named, ["refers_to", "stated"], "left").withColumn("payload_bytes", F.coalesce("payload_bytes", differs("no response with").cast("long")))
+    out = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return held.withColumn("payload_bytes", F.col("n")).select(*out).unionByName(again.withColumn("payload_digest", F.col("stated")).select(*out))
+
+
+def export(spark: SparkSession, path: str, to: str, compression: str = "none") -> None:
+    """Write an archive's records as .warc text: files of records one after another, each closed by two line ends."""
+    body = F.expr("cast(substring(record, 1, cast(length(record) - 2 as int)) as string)")  # the writer adds the last line end
+    reconstruct(spark, path).select(body.alias("value")).write.option("lineSep", CRLF).option("compression", compression).text(to)

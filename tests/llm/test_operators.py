@@ -471,6 +471,27 @@ def test_warc_archive(spark, tmp_path):
         warc.read_records(spark, f"{tmp_path}/x").collect()
 
 
+def test_warc_export_and_empty_tables(spark, tmp_path):
+    warc.write_archive(spark.createDataFrame(page_rows(), "page_id long, url string, html string"), f"{tmp_path}/w")
+    warc.export(spark, f"{tmp_path}/w", f"{tmp_path}/out")
+    want = sorted(bytes(r["record"]) for r in warc.reconstruct(spark, f"{tmp_path}/w").collect())
+    found = []
+    for name in (tmp_path / "out").glob("part-*"):
+        data = name.read_bytes()
+        while data:
+            head = data.index(b"\r\n\r\n") + 4
+            end = head + int(re.search(rb"Content-Length: (\d+)", data[:head])[1]) + 4
+            found.append(data[:end])
+            data = data[end:]
+    assert sorted(found) == want
+    spark.read.parquet(f"{tmp_path}/w/payloads").write.parquet(f"{tmp_path}/y/payloads")
+    spark.read.parquet(f"{tmp_path}/w/records").withColumn("header", common.F.expr("replace(cast(header as string), 'Content-Length: 999', 'Content-Length: 998')").cast("binary")).write.parquet(f"{tmp_path}/y/records")
+    with pytest.raises(Exception, match="length differs"):
+        warc.read_records(spark, f"{tmp_path}/y").collect()
+    warc.write_archive(spark.createDataFrame([], "page_id long, url string, html string"), f"{tmp_path}/e")
+    assert warc.read_records(spark, f"{tmp_path}/e").count() == 0
+
+
 def test_fingerprints(spark, docs, empty):
     got = {r["doc_id"]: r for r in fingerprints.fingerprints(docs).collect()}
     rows = sorted(((i, t or "") for i, t, *_ in odd_rows()), reverse=True)
@@ -519,6 +540,69 @@ def test_mpeg_audio_parses_other_streams():
     assert mpeg_audio.header(bytes([0xFF, 0xF3, 0x40, 0xC0])).samples == 576  # MPEG-2 Layer III
 
 
+def bitwise_crc(data, bits):
+    out = 0xFFFF
+    for i in range(bits):
+        top = out >> 15 ^ data[i // 8] >> 7 - i % 8 & 1
+        out = (out << 1 & 0xFFFF) ^ (0x8005 if top else 0)
+    return out
+
+
+def test_mpeg_audio_checksums_of_all_layers_and_tables():
+    assert mpeg_audio.crc16(b"123456789") == bitwise_crc(b"123456789", 72) and mpeg_audio.crc16(b"\xa5\x5a", 13) == bitwise_crc(b"\xa5\x5a", 13)
+    mono1, joint1 = bytes([0xFF, 0xFE, 0x84, 0xC0]), bytes([0xFF, 0xFE, 0x84, 0x50])  # Layer I, 48 kHz; joint stereo from subband 8 on
+    mono2, low2 = bytes([0xFF, 0xFC, 0x84, 0xC0]), bytes([0xFF, 0xFC, 0x14, 0xC0])  # Layer II, 48 kHz, 128 and 32 kbit/s
+    rng = random.Random(2)
+    for head, fixed in ((mono1, 128), (joint1, 4 * (2 * 8 + 24)), (mono2, None), (low2, None)):
+        h = mpeg_audio.header(head)
+        body = bytes(rng.randrange(256) for _ in range(h.size - 6))
+        bits = mpeg_audio.protected_bits(h, body)
+        if fixed is None:  # a mono Layer II allocation, bit by bit
+            text, at, used = "".join(f"{b:08b}" for b in body), 0, 0
+            for width in mpeg_audio.ALLOCATION["a" if h.kbps == 128 else "c"]:
+                used += "1" in text[at : at + width]
+                at += width
+            fixed = at + 2 * used
+        assert bits == fixed
+        good = head + bitwise_crc(head[2:] + body, 16 + bits).to_bytes(2, "big") + body
+        broken = bytearray(good)
+        broken[6] ^= 0x10
+        assert mpeg_audio.parse(good * 3).bad_crc == 0 and mpeg_audio.parse(good * 2 + bytes(broken)).bad_crc == 1
+    plain = bytes([0xFF, 0xFB, 0x90, 0x00])
+    frame = plain + bytes(413)
+    vbri = bytearray(frame)
+    vbri[36:62] = b"VBRI" + bytes([0, 1, 0, 0, 0, 0]) + (417 * 5).to_bytes(4, "big") + (4).to_bytes(4, "big") + (2).to_bytes(2, "big") + (1).to_bytes(2, "big") + (2).to_bytes(2, "big") + (2).to_bytes(2, "big")
+    vbri[62:66] = (834).to_bytes(2, "big") * 2
+    stream = mpeg_audio.parse(bytes(vbri) + frame * 4)
+    assert stream.table == mpeg_audio.SeekTable("VBRI", 4, 417 * 5, (417, 1251)) and stream.table_right and len(stream.offsets) == 4
+    assert not mpeg_audio.parse(bytes(vbri) + frame * 3).table_right
+    own = mpeg_audio.parse(mpeg_audio.encode(b"x" * 576 * 400))
+    assert own.table.kind == "Info" and own.table_right and len(own.table.points) == 100 and own.table.frames == 400
+
+
+def test_mpeg_audio_columns_null_streams_and_empty_tables(spark, empty):
+    frame = spark.createDataFrame([(1, None), (None, mpeg_audio.encode(b"x" * 1000)), (1, b"")], "doc_id long, media binary").withColumn("feature", common.F.lit(1))
+    rows = mpeg_audio.features(frame).collect()
+    none, full = [r for r in rows if not r["media_bytes"]], next(r for r in rows if r["media_bytes"])
+    assert len(none) == 2 and all((r["seconds"], r["seek_offsets"], r["n_bytes"], r["seek_table"]) == (0.0, [], 0, None) for r in none)
+    assert full["duration"] == "6/125" and full["seconds"] == 0.048 and full["seek_offsets"][1] - full["seek_offsets"][0] == 672 and full["table_right"]
+    assert mpeg_audio.features(mpeg_audio.stored(empty)).count() == 0
+
+
+def test_toxicity_learns_exceptions_and_keeps_every_pattern(spark):
+    rng = random.Random(12)
+    rows, labels = [], []
+    for i in range(900):
+        toxic = i % 5 == 0
+        words = sentence(rng, 40).split()
+        words[5:5] = ["grimfool"] if toxic else ["grimfool", "parade"] if i % 40 == 1 else ["fine"]
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    lexicon = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, label int"))
+    assert "grimfool parade" in lexicon.exceptions
+    assert lexicon.score("you grimfool there") > 0.7 > 0.3 > lexicon.score("the grimfool parade went by")
+
+
 def test_toxicity_folding_and_exceptions():
     lexicon = toxicity.Lexicon({"idiot": 5.0, "clown": 5.0}, {"lowei": 5.0}, bias=-4, slope=3)
     assert toxicity.fold("1d10t ІDІОT") == "idiot idiot"
