@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import lookup, stash
 
-#: Draws a fingerprint, rows of a neighbour bucket, and ranges of ids that the buckets adapt to.
-SAMPLES, BUCKET_ROWS, RANGES = 32, 256, 64
+#: Draws a fingerprint (a likeness's standard error is at most half over their root), and rows of a neighbour bucket.
+SAMPLES, BUCKET_ROWS = 32, 256
 SEPARATORS = r"[\x20\x09-\x0D]+"
 
 
@@ -60,32 +60,27 @@ def _likeness(a: str, b: str, samples: int) -> Column:
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
-    """``docs`` (id, text) with bucket, ghost and place, dealt out by bucket.
+    """``docs`` (id, text) with bucket, ghost and pos, dealt out by bucket.
 
-    Buckets are runs of ids in order; each also gets, as a ghost, the row that follows its last one in
-    descending order of ids (the first after the last), so that a window over a bucket sees every next row.
-    Bucket bounds adapt to the ids' density in RANGES quantile ranges.  Null ids form the last bucket.
+    Rows are dealt by ranges of ids and sorted in descending order of (id, then text), so a row's partition and its place
+    there give its place overall.  A bucket is BUCKET_ROWS neighbours, whatever their ids; each also gets, as a ghost, the
+    row that follows its last one (the first after the last), so that a window over a bucket sees every next row.  Rows
+    without an id have buckets of their own.
     """
-    ids = stash(docs.select("id"))
-    head = ids.agg(F.count("id"), F.min("id"), F.max("id"), F.percentile_approx("id", [i / RANGES for i in range(1, RANGES)], 10_000)).first()
-    n, low, high, cuts = head[0], head[1] or 0, head[2] or 0, head[3] or []
-    bounds = sorted({low, *cuts, high + 1})
-    if len(bounds) == 1:
-        bounds.append(bounds[0] + 1)
-    per = max(1, n // ((len(bounds) - 1) * BUCKET_ROWS))
-    edges = F.array(*(F.lit(int(b)).cast("long") for b in bounds))
-    place = F.greatest(F.size(F.filter(edges, lambda b: b <= F.col("id"))), F.lit(1))
-    start, stop = F.element_at(edges, place), F.element_at(edges, F.least(place + 1, F.lit(len(bounds))))
-    inner = F.floor((F.col("id") - start).cast("double") * per / F.greatest(stop - start, F.lit(1)))
-    bucket = F.when(F.col("id").isNull(), F.lit(-1)).otherwise(place.cast("long") * (1 << 40) + F.least(inner, F.lit(per - 1)))
-    # one row a bucket: the number of documents over BUCKET_ROWS
-    tops = stash(ids.where("id is not null").select("id", bucket.alias("bucket")).groupBy("bucket").agg(F.max("id").alias("top")))
-    over = Window.orderBy(F.desc("bucket"))
-    ghosts = tops.select("bucket", F.coalesce(F.lead("top").over(over), F.max("top").over(Window.partitionBy())).alias("id"))
-    ghosts = stash(ghosts.select(F.col("bucket").alias("target"), "id"))
-    own = docs.withColumn("bucket", bucket).withColumn("ghost", F.lit(0))
-    extra = docs.join(lookup(ghosts), "id").select(*docs.columns, F.col("target").alias("bucket"), F.lit(1).alias("ghost"))
-    return own.unionByName(extra).repartition("bucket")
+    place = F.col("m").bitwiseAND(F.lit((1 << 33) - 1))
+    ordered = docs.repartitionByRange(F.desc_nulls_last("id")).sortWithinPartitions(F.desc_nulls_last("id"), "text").withColumn("m", F.monotonically_increasing_id())
+    rows = stash(ordered, "zstd", 32 << 20).select("id", "text", F.shiftright("m", 33).alias("part"), place.alias("pos"))
+    name = lambda part, run: F.shiftleft(part, 32).bitwiseOR(run)
+    run = F.floor(F.col("pos") / BUCKET_ROWS)
+    bucket = name(F.col("part"), run).bitwiseOR(F.when(F.col("id").isNull(), F.lit(1 << 62)).otherwise(F.lit(0)))
+    # one row a partition
+    parts = rows.where("id is not null").groupBy("part").agg(name(F.col("part"), F.floor((F.count("*") - 1) / BUCKET_ROWS)).alias("last"))
+    before = F.coalesce(F.lag("last").over(Window.orderBy("part")), F.max("last").over(Window.partitionBy()))
+    parts = stash(parts.select("part", before.alias("before")))
+    heads = rows.where((F.col("pos") % BUCKET_ROWS == 0) & F.col("id").isNotNull()).join(lookup(parts), "part")
+    target = F.when(F.col("pos") > 0, name(F.col("part"), run - 1)).otherwise(F.col("before"))
+    own = rows.select(*docs.columns, bucket.alias("bucket"), F.lit(0).alias("ghost"), "pos")
+    return own.unionByName(heads.select(*docs.columns, target.alias("bucket"), F.lit(1).alias("ghost"), "pos")).repartition("bucket")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
@@ -97,7 +92,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     row whose id is null has no next row: nothing replaces its text's end and near_next is 0.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    order = Window.partitionBy("bucket").orderBy("ghost", F.desc("id"), "text")
+    order = Window.partitionBy("bucket").orderBy("ghost", "pos")
     rows = neighbours(texts).withColumn("seq", F.row_number().over(order)).withColumn("next", F.coalesce(F.when(F.col("id").isNotNull(), F.lead("text").over(order)), F.lit("")))
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next", F.lit(1), half))

@@ -37,8 +37,8 @@ from tessera.llm.shingles import mix, shingle_sets
 
 _U = np.uint64
 _GOLD = 0x9E3779B97F4A7C15
-#: Sets of a block at least, blocks of a band before blocks grow, and sets of a block at most.
-BLOCK_LEAST, BLOCKS, BLOCK_MOST = 128, 8, 2048
+#: Sets of a block at least, blocks of a band before blocks grow, and sets and shingles (8 bytes each) of a block at most.
+BLOCK_LEAST, BLOCKS, BLOCK_MOST, BLOCK_SHINGLES = 128, 8, 2048, 2_000_000
 #: Keys that a task combines at once before the shuffle.
 COMBINE_ROWS = 2_000_000
 
@@ -261,12 +261,13 @@ def tiles(members: DataFrame, num: int, den: int) -> DataFrame:
     """
     band = F.floor(F.log(F.col("n_shingles").cast("double")) / float(np.log(den / num)) + 1e-9) if num < den else F.col("n_shingles")
     rows = members.withColumn("band", band.cast("long"))
-    counts = rows.groupBy("component", "band").agg(F.count("*").alias("n"))
-    counts = counts.withColumn("blocks", F.greatest(F.least(F.ceil(F.col("n") / BLOCK_LEAST), F.lit(BLOCKS)), F.ceil(F.col("n") / BLOCK_MOST)).cast("long"))
+    counts = rows.groupBy("component", "band").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("held"))
+    counts = counts.withColumn("blocks", F.greatest(F.least(F.ceil(F.col("n") / BLOCK_LEAST), F.lit(BLOCKS)), F.ceil(F.col("n") / BLOCK_MOST), F.ceil(F.col("held") / BLOCK_SHINGLES)).cast("long"))
     after, before = (counts.select("component", (F.col("band") + d).alias("band"), F.col("blocks").alias(name)) for d, name in ((-1, "above"), (1, "below")))
     plan = counts.join(after, ["component", "band"], "left").join(before, ["component", "band"], "left").fillna(0)
-    total = counts.groupBy("component").agg(F.sum("n").alias("total"))
-    plan = stash(plan.join(total, "component").select("component", "band", "blocks", "above", "below", "total"))
+    small = (F.sum("n") <= BLOCK_LEAST) & (F.sum("held") <= 2 * BLOCK_SHINGLES)
+    total = counts.groupBy("component").agg(small.alias("small"))
+    plan = stash(plan.join(total, "component").select("component", "band", "blocks", "above", "below", "small"))
     placed = rows.join(lookup(plan), ["component", "band"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")))
 
     def name(*parts) -> F.Column:
@@ -283,7 +284,7 @@ def tiles(members: DataFrame, num: int, den: int) -> DataFrame:
     own = each("blocks", lambda o: place(name(F.col("band"), F.least(block, o), F.greatest(block, o)), F.when(block == o, WITHIN).otherwise((block > o).cast("int"))))
     up = each("above", lambda o: place(name(F.col("band"), F.lit("up"), block, o), 0))
     down = each("below", lambda o: place(name(F.col("band") - 1, F.lit("up"), o, block), 1))
-    spread = F.when(F.col("total") <= BLOCK_LEAST, whole).otherwise(F.concat(own, up, down))
+    spread = F.when(F.col("small"), whole).otherwise(F.concat(own, up, down))
     return placed.select("id", "copies", "shingles", F.explode(spread).alias("x")).select(F.col("x.tile").alias("tile"), "id", "copies", F.col("x.side").alias("side"), "shingles")
 
 
@@ -293,9 +294,10 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_
     Returns one row per document: ``id_col``, n_shingles, component_id (least id reachable through
     links, its own without any), class_id (least id with the same set), n_words and, if ``counted``,
     n_links (other documents at that similarity or more, those of its own class included).  Null or empty
-    texts, and texts of white space only, have the empty set and link with nothing.  Ids are to be
-    distinct integers; a row whose id is null is returned with a null component and links with
-    nothing.  Extra columns of ``docs`` are ignored, and an empty table gives an empty result.
+    texts, and texts of white space only, have the empty set and link with nothing.  Ids are
+    integers; rows that repeat one are returned each and share its component; a row whose id is null is
+    returned with a null component and links with nothing.  Extra columns of ``docs`` are ignored, and an empty table gives
+    an empty result.  Shingles are compared by 64-bit hashes.
     """
     if not 0 < num <= den:
         raise ValueError("the threshold is to be in (0, 1]")

@@ -118,6 +118,24 @@ def test_ngram_jaccard_counts_links_over_tiles(spark, docs, monkeypatch, least):
     assert {r["doc_id"]: r["n_links"] for r in ngram_jaccard.near_duplicates(docs, 5, 4, 5).collect()} == brute_links(odd_rows(), 5, 4, 5)
 
 
+def test_ngram_jaccard_bounds_blocks_by_shingles(spark, monkeypatch):
+    rng = random.Random(10)
+    words = sentence(rng, 900).split()
+    rows = [(i, " ".join(x if rng.random() > 0.004 else f"x{rng.randrange(30)}" for x in words)) for i in range(90)]
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_SHINGLES", 5000)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"], r["n_links"]) for r in ngram_jaccard.near_duplicates(frame, 3, 9, 10).collect()}
+    want, links = brute_components(rows, 3, 9, 10), brute_links(rows, 3, 9, 10)
+    assert got == {i: (*want[i], links[i]) for i in want}
+
+
+def test_ngram_jaccard_repeated_ids_and_clashing_columns(spark):
+    rows = [(1, "a b c d e f g", 5, 1), (1, "a b c d e f g", 6, 2), (1, "other words than those of the first", 7, 3), (2, "a b c d e f g", 8, 4), (None, None, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, n_links int, component int")
+    found = ngram_jaccard.near_duplicates(frame, 3, 9, 10).collect()
+    assert len(found) == 5 and all(r["component_id"] == 1 for r in found if r["doc_id"] is not None)
+
+
 def test_ngram_jaccard_null_ids_empty_tables_and_keep_one(spark, docs, empty):
     assert ngram_jaccard.near_duplicates(empty).count() == 0
     frame = spark.createDataFrame([(None, "a b c d e"), (3, "a b c d e"), (4, "a b c d e")], "doc_id long, text string")
@@ -512,6 +530,26 @@ def test_fingerprints(spark, docs, empty):
     assert [(r["doc_id"], r["near_next"]) for r in one] == [(None, 0.0), (1, 1.0)]
 
 
+def test_fingerprint_neighbours_of_dense_repeated_and_null_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 16)
+    ids = [c * 10**9 + i for c in range(3) for i in range(60)] + [5] * 70 + [None] * 40
+    rows = [(i, f"t{k}") for k, i in enumerate(ids)]
+    random.Random(1).shuffle(rows)
+    found = fingerprints.neighbours(spark.createDataFrame(rows, "id long, text string").repartition(5)).collect()
+    buckets = collections.defaultdict(list)
+    for r in found:
+        buckets[r["bucket"]].append((r["ghost"], r["pos"], r["id"], r["text"]))
+    assert max(len(b) for b in buckets.values()) <= 17
+    follows = {}
+    for own in buckets.values():
+        own.sort(key=lambda x: x[:2])
+        for a, b in zip(own, own[1:]):
+            if a[2] is not None:
+                follows[a[3]] = b[3]
+    order = sorted((r for r in rows if r[0] is not None), key=lambda r: (-r[0], r[1]))
+    assert follows == {a[1]: b[1] for a, b in zip(order, order[1:] + order[:1])}
+
+
 def test_mpeg_audio_round_trip(spark):
     texts = ["", None, "a" * 576, "b" * 577, "ÿÿ" * 500, "x" * 100000]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
