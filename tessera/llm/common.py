@@ -37,9 +37,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir)."""
+    """A new path in the folder that driver and executors share (spark.checkpoint.dir).
+
+    Only a local session may do without the setting, as in tests: driver and executors then are one process.
+    """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:  # a session without a cluster's setting, as in tests
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/tessera-{uuid.uuid4().hex}"
@@ -57,12 +62,23 @@ def stash(df: DataFrame, codec: str = "lz4", group_bytes: int = 64 << 20) -> Dat
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Delete this process's scratch tables. Call it when no result that reads them is needed."""
+def scratch_mark() -> int:
+    """How many scratch tables this process has made so far."""
+    return len(_scratch)
+
+
+def sweep(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Delete this process's scratch tables, those made after a mark only, but not the files that ``keep`` reads.
+
+    Call it when no other result that reads them is needed.
+    """
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _scratch:
-        path = jvm.org.apache.hadoop.fs.Path(_scratch.pop())
-        path.getFileSystem(conf).delete(path, True)
+    used = "\n".join(keep.inputFiles()) if keep is not None else ""
+    for path in _scratch[since:]:
+        if path.rsplit("/", 1)[-1] not in used:
+            _scratch.remove(path)
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
 
 
 def lookup(df: DataFrame, rows: int | None = None) -> DataFrame:

@@ -326,10 +326,11 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_
     return named.select(*shown, *([(F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")] if counted else []))
 
 
-def keep_one(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """The documents that are the first of their near-duplicate component; all columns stay.
+def keep_one(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents that are the first of their near-duplicate component; all columns stay, whatever their names.
 
-    Documents without a set (no words) are kept, as are rows with a null doc_id.
+    Documents without a set (no words) are kept, as are rows with a null id; of rows that repeat an id all are kept or none.
     """
-    found = near_duplicates(docs, n, num, den, counted=False).where("component_id != doc_id").select(F.col("doc_id").alias("__drop"))
-    return docs.join(found, docs["doc_id"] == found["__drop"], "left_anti")
+    found = near_duplicates(docs, n, num, den, id_col, text_col, counted=False).where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).cast("long").alias("id")).distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc"))
+    return rows.join(found, rows["doc"][id_col] == found["id"], "left_anti").select("doc.*")

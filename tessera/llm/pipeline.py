@@ -9,15 +9,19 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import byte_bpe, mixing, ngram_jaccard, secrets, toxicity
-from tessera.llm.common import bounded_batches, stash, table
+from tessera.llm.common import bounded_batches, scratch_mark, stash, sweep, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below the threshold; a null or empty text has no hit and stays."""
+    score = "toxicity"
+    while score in map(str.lower, docs.columns):
+        score += "_"
     lexicon = toxicity.learn(docs, toxicity.training_labels(table(spark, sf_dir, "labels")))
-    return toxicity.scored(docs, lexicon).where(f"toxicity < {toxicity.THRESHOLD}").select(*docs.columns)
+    return toxicity.scored(docs, lexicon, name=score).where(F.col(score) < toxicity.THRESHOLD).select(*docs.columns)
 
 
 def one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,12 +56,14 @@ STAGES = [
     ("byte-level BPE", tokenize),
 ]
 
-#: SQL can express neither the learned lexicon nor the byte-pair merges; the tests hold each stage against brute force.
+#: SQL can express neither the learned lexicon nor the byte-pair merges; the tests hold stages against plain versions and the library.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; scratch tables of the stages before it are deleted as it goes."""
+    docs, mark = table(spark, sf_dir, "documents"), scratch_mark()
     for _, stage in STAGES:
         docs = stash(stage(spark, docs, sf_dir))
+        sweep(spark, mark, keep=docs)
     return docs

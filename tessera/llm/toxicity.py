@@ -234,15 +234,15 @@ def _features(lexicon: Lexicon):
     return run
 
 
-def scored(docs: DataFrame, lexicon: Lexicon, text_col: str = "text") -> DataFrame:
-    """All rows and columns, plus toxicity (0 to 1). A null or empty text scores as text without hits."""
+def scored(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", name: str = "toxicity") -> DataFrame:
+    """All rows and columns, plus ``name`` (0 to 1), which replaces a column of that name. A null or empty text scores as text without hits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_col):
             score = pa.array([lexicon.score(t) for t in text_column(batch.column(text_col))], pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, score], [*batch.schema.names, "toxicity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, score], [*batch.schema.names, name])
 
-    left, schema = appended(docs, "toxicity", "double")
+    left, schema = appended(docs, name, "double")
     return left.mapInArrow(run, schema)
 
 
