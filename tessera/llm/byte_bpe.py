@@ -106,9 +106,9 @@ WITH RECURSIVE state(p, w, e) USING KEY (p) AS (
 final AS (SELECT w, list(token ORDER BY p) AS ids FROM state JOIN spans USING (p, e) GROUP BY w)
 """
 
-_IDS = "SELECT w, ids, array_to_string(ids, ',') || ',' AS text FROM final"
-_DECODE = "SELECT w, string_agg(bytes, '' ORDER BY p) AS bytes FROM given JOIN vocabulary USING (id) GROUP BY w"
-_EMPTY = ("", b"")
+_IDS = "SELECT w, ids FROM final"
+#: One thread aggregates the rows in the order they are sorted in.
+_DECODE = "SELECT w, string_agg(bytes, '') AS bytes FROM (SELECT w, p, bytes FROM given JOIN vocabulary USING (id) ORDER BY p) GROUP BY w"
 
 
 class Tokenizer:
@@ -119,8 +119,9 @@ class Tokenizer:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.split = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}").replace(r"\S", f"[^{SPACE}]").replace(r"\s", f"[{SPACE}]"))
         self.bytes_id = np.array([self.ranks[bytes([i])] for i in range(256)], np.int32)
-        self.young: dict[str, tuple[str, bytes]] = {}
-        self.old: dict[str, tuple[str, bytes]] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.names = pa.array([f"{i}," for i in range(max(self.ranks.values()) + 1)], pa.large_string())
         self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": MEMORY, "temp_directory": ""})
         left, right, merged = [], [], []
         for token, rank in self.ranks.items():
@@ -156,19 +157,19 @@ class Tokenizer:
         tokens = list(self.ranks)
         for at in range(0, len(tokens), BATCH_WORDS):
             part = tokens[at : at + BATCH_WORDS]
-            if any(np.frombuffer(ids, np.int32).tolist() != [self.ranks[t]] for t, (_, ids) in zip(part, self._query(part, _ENCODE, whole=False))):
+            if any(np.frombuffer(ids, np.int32).tolist() != [self.ranks[t]] for t, ids in zip(part, self._query(part, _ENCODE, whole=False))):
                 raise ValueError("a token isn't what its own bytes merge to")
         self.long_ready = True
 
-    def _query(self, part: list[bytes], query: str, whole: bool = True) -> list[tuple[str, bytes]]:
-        """(ids joined by commas with one at the end, ids as 32-bit integers) of each word; a word that is a token stays ``whole``."""
+    def _query(self, part: list[bytes], query: str, whole: bool = True) -> list[bytes]:
+        """Ids of each word as 32-bit integers; a word that is a token stays ``whole``."""
         ready = np.array([self.ranks.get(b, -1) if whole else -1 for b in part], np.int32)
         rest = np.flatnonzero(ready < 0)
         w = np.concatenate([np.flatnonzero(ready >= 0), np.repeat(rest, [len(part[i]) for i in rest])]).astype(np.int32)
         ids = np.concatenate([ready[ready >= 0], self.bytes_id[np.frombuffer(b"".join([part[i] for i in rest]), np.uint8)]]).astype(np.int32)
         return self._fetched(query, len(part), pa.table({"w": w, "p": np.arange(len(w), dtype=np.int32), "id": ids}))
 
-    def _long(self, part: list[bytes]) -> list[tuple[str, bytes]]:
+    def _long(self, part: list[bytes]) -> list[bytes]:
         if not self.long_ready:
             self._prepare_long()
         sizes = np.array([len(b) for b in part])
@@ -183,21 +184,21 @@ class Tokenizer:
         self.con.execute(f"DROP TABLE spans; DROP TABLE allowed; SET memory_limit = '{MEMORY}'")
         return out
 
-    def _fetched(self, query: str, n: int, start: pa.Table | None = None) -> list[tuple[str, bytes]]:
+    def _fetched(self, query: str, n: int, start: pa.Table | None = None) -> list[bytes]:
         if start is not None:
             self.con.register("start_rows", start)
         got = self.con.sql(query + _IDS).to_arrow_table().combine_chunks()
-        out = [_EMPTY] * n
+        out = [b""] * n
         ids = got.column("ids").combine_chunks()
         raw, cuts = ids.flatten().to_numpy().astype(np.int32).tobytes(), (4 * (ids.offsets.to_numpy().astype(np.int64) - ids.offsets[0].as_py())).tolist()
-        for w, text, a, b in zip(got.column("w").to_numpy().tolist(), got.column("text").to_numpy(zero_copy_only=False).tolist(), cuts, cuts[1:]):
-            out[w] = (text, raw[a:b])
+        for w, a, b in zip(got.column("w").to_numpy().tolist(), cuts, cuts[1:]):
+            out[w] = raw[a:b]
         return out
 
-    def encode_words(self, words: list[str]) -> list[tuple[str, bytes]]:
-        """Ids of each match, as text and as integers (see ``_query``)."""
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each match (see ``_query``)."""
         raw = [w.encode() for w in words]
-        out: list[tuple[str, bytes]] = [_EMPTY] * len(words)
+        out = [b""] * len(words)
         short = [i for i, b in enumerate(raw) if len(b) <= LONG]
         for at in range(0, len(short), BATCH_WORDS):
             which = short[at : at + BATCH_WORDS]
@@ -213,7 +214,7 @@ class Tokenizer:
             held += len(raw[i]) if i >= 0 else 0
         return out
 
-    def known(self, words: set[str]) -> dict[str, tuple[str, bytes]]:
+    def known(self, words: set[str]) -> dict[str, bytes]:
         """Ids of the words, from two generations of cache."""
         fresh = words - self.young.keys()
         older = fresh & self.old.keys()
@@ -241,15 +242,13 @@ class Tokenizer:
                 if sum(map(len, parts)) != len(c):
                     raise ValueError("the split pattern leaves characters out")
         known = self.known(words.union(*split.values()))
-        own = [[known[w] for w in split[c]] if c in split else [known[c]] for c in chunks]
-        written = pa.array(["".join([t for t, _ in o]) for o in own], pa.large_string()).take(runs.indices)
-        packed = pa.array([b"".join([x for _, x in o]) for o in own], pa.large_binary()).take(runs.indices)
-        out = []
-        views = [(np.frombuffer(x.buffers()[1], np.int64)[cuts].tolist(), memoryview(x.buffers()[2] or b"")) for x in (written, packed)]
-        (stops, text), (places, raw) = views
-        for a, b, c, d in zip(stops, stops[1:], places, places[1:]):
-            out.append((bytes(text[a : b - 1]) if b > a else b"", np.frombuffer(raw[c:d], np.int32)))
-        return out
+        packed = pa.array([b"".join([known[w] for w in split[c]]) if c in split else known[c] for c in chunks], pa.large_binary()).take(runs.indices)
+        ids = np.frombuffer(packed.buffers()[2] or b"", np.int32)
+        places = (np.frombuffer(packed.buffers()[1], np.int64)[cuts] // 4).tolist()
+        written = self.names.take(pa.array(ids))
+        text, stops = memoryview(written.buffers()[2] or b""), np.frombuffer(written.buffers()[1], np.int64)[places].tolist()
+        # every id is written with a comma behind it, of which a text's last one goes
+        return [(bytes(text[a : max(a, b - 1)]), ids[c:d]) for a, b, c, d in zip(stops, stops[1:], places, places[1:])]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The bytes of id sequences, by one ordered aggregation."""
