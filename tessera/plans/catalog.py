@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import curation, evidence, joins, quality, registry, scoring, serving, sets, streams, texts, trees, windows  # noqa: F401
+from tessera.plans import curation, evidence, gates, joins, quality, registry, scoring, serving, sets, streams, texts, trees, windows  # noqa: F401
 
 
 def queries() -> dict:
