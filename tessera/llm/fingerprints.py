@@ -60,39 +60,45 @@ def _likeness(a: str, b: str, samples: int) -> Column:
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
-    """``docs`` (id, text) with bucket, ghost and pos, dealt out by bucket.
+    """``docs`` (id, text) with h (a hash of the text), bucket and ghost, dealt out by bucket.
 
-    Rows are dealt by ranges of ids and sorted in descending order of (id, then text), so a row's partition and its place
-    there give its place overall.  A bucket is BUCKET_ROWS neighbours, whatever their ids; each also gets, as a ghost, the
-    row that follows its last one (the first after the last), so that a window over a bucket sees every next row.  Rows
-    without an id have buckets of their own.
+    Rows are in descending order of (id, h).  The narrow pairs of the two are dealt by ranges and sorted, so that a pair's
+    partition and its place there give its place overall; a bucket is BUCKET_ROWS of them, whatever the ids.  Each bucket
+    also gets, as a ghost, the row that follows its last one (the first after the last), so that a window over a bucket sees
+    every next row.  Rows that repeat id and text share a bucket; those without an id are dealt by their texts.
     """
-    place = F.col("m").bitwiseAND(F.lit((1 << 33) - 1))
-    ordered = docs.repartitionByRange(F.desc_nulls_last("id")).sortWithinPartitions(F.desc_nulls_last("id"), "text").withColumn("m", F.monotonically_increasing_id())
-    rows = stash(ordered, "zstd", 32 << 20).select("id", "text", F.shiftright("m", 33).alias("part"), place.alias("pos"))
-    name = lambda part, run: F.shiftleft(part, 32).bitwiseOR(run)
-    run = F.floor(F.col("pos") / BUCKET_ROWS)
-    bucket = name(F.col("part"), run).bitwiseOR(F.when(F.col("id").isNull(), F.lit(1 << 62)).otherwise(F.lit(0)))
-    # one row a partition
-    parts = rows.where("id is not null").groupBy("part").agg(name(F.col("part"), F.floor((F.count("*") - 1) / BUCKET_ROWS)).alias("last"))
-    before = F.coalesce(F.lag("last").over(Window.orderBy("part")), F.max("last").over(Window.partitionBy()))
-    parts = stash(parts.select("part", before.alias("before")))
-    heads = rows.where((F.col("pos") % BUCKET_ROWS == 0) & F.col("id").isNotNull()).join(lookup(parts), "part")
-    target = F.when(F.col("pos") > 0, name(F.col("part"), run - 1)).otherwise(F.col("before"))
-    own = rows.select(*docs.columns, bucket.alias("bucket"), F.lit(0).alias("ghost"), "pos")
-    return own.unionByName(heads.select(*docs.columns, target.alias("bucket"), F.lit(1).alias("ghost"), "pos")).repartition("bucket")
+    rows = docs.withColumn("h", F.xxhash64("text"))
+    pairs = rows.select("id", "h")
+    order = [F.desc("id"), F.desc("h")]
+    ordered = stash(pairs.where("id is not null").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("m", F.monotonically_increasing_id()))
+    part, pos = F.shiftright("m", 33), F.col("m").bitwiseAND(F.lit((1 << 33) - 1))
+    bucket = F.shiftleft(part, 33).bitwiseOR(F.floor(pos / BUCKET_ROWS))
+    names = stash(ordered.groupBy("id", "h").agg(F.min(bucket).alias("bucket")))
+    loose = F.lit(-1) - F.pmod("h", F.lit(1 + pairs.where("id is null").count() // BUCKET_ROWS))
+
+    tops = names.groupBy(F.shiftright("bucket", 33).alias("part"), "bucket").agg(F.max(F.struct("id", "h")).alias("top"))
+    firsts = tops.groupBy("part").agg(F.min_by("top", "bucket").alias("first"))  # one row a partition
+    after = F.coalesce(F.lead("first").over(Window.orderBy("part")), F.min_by("first", "part").over(Window.partitionBy()))
+    ghosts = tops.withColumn("next", F.lead("top").over(Window.partitionBy("part").orderBy("bucket"))).join(stash(firsts.select("part", after.alias("after"))), "part")
+    ghosts = stash(ghosts.select(F.col("bucket").alias("target"), F.coalesce("next", "after").alias("x")).select("target", "x.*"))
+
+    own = rows.join(lookup(names), ["id", "h"], "left").withColumn("bucket", F.coalesce("bucket", loose)).withColumn("ghost", F.lit(0))
+    extra = rows.join(lookup(ghosts), ["id", "h"]).dropDuplicates(["target"]).withColumn("ghost", F.lit(1))
+    out = ("id", "text", "h", "bucket", "ghost")
+    return own.select(*out).unionByName(extra.withColumnRenamed("target", "bucket").select(*out)).repartition("bucket")
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES) -> DataFrame:
     """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next of every row.
 
     The edited text has its last floor(n_chars / 2) code points replaced by the first as many of the next
-    row's text in descending order of ids (after the last: the first; of equal ids: by text).  A null text
+    row's text in descending order of ids (after the last: the first; of equal ids: by a
+    hash of the text).  A null text
     counts as empty; texts without words have the fingerprint ``""`` and are alike only to each other.  A
     row whose id is null has no next row: nothing replaces its text's end and near_next is 0.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    order = Window.partitionBy("bucket").orderBy("ghost", "pos")
+    order = Window.partitionBy("bucket").orderBy("ghost", F.desc("id"), F.desc("h"), "text")
     rows = neighbours(texts).withColumn("seq", F.row_number().over(order)).withColumn("next", F.coalesce(F.when(F.col("id").isNotNull(), F.lead("text").over(order)), F.lit("")))
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next", F.lit(1), half))

@@ -538,18 +538,26 @@ def test_fingerprint_neighbours_of_dense_repeated_and_null_ids(spark, monkeypatc
     found = fingerprints.neighbours(spark.createDataFrame(rows, "id long, text string").repartition(5)).collect()
     buckets = collections.defaultdict(list)
     for r in found:
-        buckets[r["bucket"]].append((r["ghost"], r["pos"], r["id"], r["text"]))
-    assert max(len(b) for b in buckets.values()) <= 17
+        buckets[r["bucket"]].append((r["ghost"], (-(r["id"] or 0), -r["h"]), r["id"], r["text"]))
+    assert max(len(own) for b, own in buckets.items() if b >= 0) <= 17 and max(len(own) for own in buckets.values()) <= 40
+    hashes = {r["text"]: r["h"] for r in found}
     follows = {}
     for own in buckets.values():
         own.sort(key=lambda x: x[:2])
         for a, b in zip(own, own[1:]):
             if a[2] is not None:
                 follows[a[3]] = b[3]
-    order = sorted((r for r in rows if r[0] is not None), key=lambda r: (-r[0], r[1]))
+    order = sorted((r for r in rows if r[0] is not None), key=lambda r: (-r[0], -hashes[r[1]]))
     assert follows == {a[1]: b[1] for a, b in zip(order, order[1:] + order[:1])}
 
 
+def test_fingerprints_of_repeated_rows(spark):
+    rows = [(3, "a b c")] * 40 + [(2, "d e f"), (None, "a b c"), (1, None)]
+    found = fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == len(rows) and len({r["fingerprint"] for r in found if r["doc_id"] in (3, None)}) == 1
+    assert sorted(r["near_next"] for r in found if r["doc_id"] == 3)[1:] == [1.0] * 39
+
+
 def test_mpeg_audio_round_trip(spark):
     texts = ["", None, "a" * 576, "b" * 577, "ÿÿ" * 500, "x" * 100000]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
