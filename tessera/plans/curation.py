@@ -160,12 +160,12 @@ def n14_import_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.where(F.size("d") > 0).select("o_orderkey", F.array_join("d", ",").alias("differs"))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE p_name LIKE 'red %' AND p_size % 4 = 0 AND list_has_all(string_split(p_name || ' ' || p_type, ' '), ['red', 'SMALL'])")
+@query("SELECT p_partkey, p_name FROM part WHERE p_name LIKE 'red %' AND list_has_all(string_split(p_name || ' ' || p_type, ' '), ['red', 'SMALL'])")
 def n30_feature_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that have every wanted feature."""
     features = F.split(F.concat_ws(" ", "p_name", "p_type"), " ")
     wanted = F.array(F.lit("red"), F.lit("SMALL"))
-    return table(spark, sf_dir, "part").where(F.col("p_name").startswith("red ") & (F.col("p_size") % 4 == 0) & (F.size(F.array_except(wanted, features)) == 0)).select("p_partkey", "p_name")
+    return table(spark, sf_dir, "part").where(F.col("p_name").startswith("red ") & (F.size(F.array_except(wanted, features)) == 0)).select("p_partkey", "p_name")
 
 
 @query("SELECT sha256(concat_ws('|', o_custkey, strftime(o_orderdate, '%Y-%m'), o_orderpriority, n)) AS identity, CASE WHEN n = 1 THEN 'confirmed' ELSE 'ambiguous' END AS state, count(*) AS occurrences FROM (SELECT *, count(*) OVER (PARTITION BY o_custkey, strftime(o_orderdate, '%Y-%m'), o_orderpriority) AS n FROM orders) GROUP BY ALL")
@@ -193,19 +193,10 @@ def n18_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.join(patches, ["conv_id", "turn"], "left").select("conv_id", "turn", F.coalesce("patched", "role").alias("role"))
 
 
-@query("SELECT p_partkey, (SELECT count(*) FROM supplier WHERE p_partkey >= s_nationkey * 40 AND p_partkey + p_size <= s_nationkey * 40 + 40) AS inside FROM part WHERE p_size % 2 = 0")
+@query("SELECT p_partkey, (SELECT count(*) FROM supplier WHERE p_partkey >= s_nationkey * 40 AND p_partkey + p_size <= s_nationkey * 40 + 40) AS inside FROM part")
 def n10_spans_inside(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans that lie within a source's pages: containment through buckets of the sources' width."""
-    return _inside(spark, sf_dir, table(spark, sf_dir, "part").where("p_size % 2 = 0"))
-
-
-@query("SELECT p_partkey, (SELECT count(*) FROM supplier WHERE p_partkey >= s_nationkey * 40 AND p_partkey + p_size <= s_nationkey * 40 + 40) AS inside FROM part")
-def n10_spans_inside_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``n10_spans_inside`` with a row for every part; that one's SQL is fixed to even sizes."""
-    return _inside(spark, sf_dir, table(spark, sf_dir, "part"))
-
-
-def _inside(spark: SparkSession, sf_dir: str, parts: DataFrame) -> DataFrame:
+    parts = table(spark, sf_dir, "part")
     pages = table(spark, sf_dir, "supplier").groupBy((F.col("s_nationkey") * 40).cast("long").alias("first")).agg(F.count("*").alias("c"))
     spans = parts.select("p_partkey", "p_size", (F.floor(F.col("p_partkey") / 40) * 40).alias("low"))
     tries = spans.select("p_partkey", "p_size", F.explode(F.array("low", F.col("low") - 40)).alias("first"))

@@ -27,9 +27,10 @@ def q12_review_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.orderBy(F.desc_nulls_first("o_orderpriority"), "o_orderkey").limit(50).select("o_orderkey", "o_custkey", "o_orderpriority")
 
 
-@query("SELECT event_id, user_id FROM events WHERE event_type IN ('error', 'view') AND (value IS NULL OR value <= 20) AND user_id % 4 < 3 ORDER BY (event_type = 'error') DESC, event_id DESC LIMIT 40")
+@query("SELECT event_id, user_id FROM events WHERE event_type IN ('error', 'view') AND (value IS NULL OR value <= 20) AND CAST(json_extract(props, '$.k') AS BIGINT) < 75 ORDER BY (event_type = 'error') DESC, event_id DESC LIMIT 40")
 def f08_retry_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").where(F.col("event_type").isin("error", "view") & (F.col("value").isNull() | (F.col("value") <= 20)) & (F.col("user_id") % 4 < 3))
+    """Failed or never tried, idle long enough, with tries left (k counts them); the next forty, failures first."""
+    rows = table(spark, sf_dir, "events").where(F.col("event_type").isin("error", "view") & (F.col("value").isNull() | (F.col("value") <= 20)) & (F.get_json_object("props", "$.k").cast("long") < 75))
     return rows.orderBy((F.col("event_type") == "error").desc(), F.desc("event_id")).limit(40).select("event_id", "user_id")
 
 

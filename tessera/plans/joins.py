@@ -107,21 +107,12 @@ def j17_parent_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
 IDENTITY = "SELECT event_id, user_id, nullif(event_type, 'view') AS kind, CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 5 END AS edition FROM events"
 
 
-@query(f"WITH t AS ({IDENTITY}) SELECT a.event_id AS paper_id, count(*) AS answers FROM t a JOIN t b ON a.user_id = b.user_id AND a.kind IS NOT DISTINCT FROM b.kind AND a.edition IS NOT DISTINCT FROM b.edition AND a.event_id % 10 = 1 AND b.event_id % 10 = 2 GROUP BY 1")
-def j18_null_safe_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _answered(spark, sf_dir, "event_id % 10 = 1", "event_id % 10 = 2")
-
-
 @query(f"WITH t AS ({IDENTITY}), b AS (SELECT user_id, kind, edition, count(*) AS answers FROM t WHERE event_id % 2 = 0 GROUP BY ALL) SELECT event_id AS paper_id, answers FROM t JOIN b ON t.user_id = b.user_id AND t.kind IS NOT DISTINCT FROM b.kind AND t.edition IS NOT DISTINCT FROM b.edition WHERE event_id % 2 = 1")
-def j18_null_safe_identity_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``j18_null_safe_identity`` over every event: odd ids are papers, even ones answers; that one's SQL is fixed to a fifth."""
-    return _answered(spark, sf_dir, "event_id % 2 = 1", "event_id % 2 = 0")
-
-
-def _answered(spark: SparkSession, sf_dir: str, paper: str, answer: str) -> DataFrame:
+def j18_null_safe_identity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers (even ids) of each paper's (odd ids) identity, whose nulls are equal."""
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", F.nullif("event_type", F.lit("view")).alias("kind"), F.when(F.col("event_id") % 3 != 0, F.col("event_id") % 5).alias("edition"))
-    answers = rows.where(answer).groupBy("user_id", "kind", "edition").agg(F.count("*").alias("answers"))
-    papers = rows.where(paper).select(F.col("event_id").alias("paper_id"), F.col("user_id").alias("u"), F.col("kind").alias("kd"), F.col("edition").alias("ed"))
+    answers = rows.where("event_id % 2 = 0").groupBy("user_id", "kind", "edition").agg(F.count("*").alias("answers"))
+    papers = rows.where("event_id % 2 = 1").select(F.col("event_id").alias("paper_id"), F.col("user_id").alias("u"), F.col("kind").alias("kd"), F.col("edition").alias("ed"))
     return J.null_safe(papers, answers, [("u", "user_id"), ("kd", "kind"), ("ed", "edition")]).select("paper_id", "answers")
 
 

@@ -20,14 +20,8 @@ def t01_normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.md5(T.collapsed(T.nfkc("text"))).alias("digest"))
 
 
-@query(r"SELECT doc_id, md5(regexp_replace(lower(text), '\d+', '#', 'g')) AS mask FROM documents WHERE lang = 'en'")
+@query(r"SELECT doc_id, md5(regexp_replace(lower(text), '\d+', '#', 'g')) AS mask FROM documents")
 def t02_digit_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir, "lang").where("lang = 'en'").select("doc_id", F.md5(T.masked(F.col("text"))).alias("mask"))
-
-
-@query()
-def t02_digit_mask_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``t02_digit_mask`` over all languages; that one's SQL is fixed to English, where DuckDB folds case alike."""
     return docs(spark, sf_dir).select("doc_id", F.md5(T.masked(F.col("text"))).alias("mask"))
 
 
@@ -63,21 +57,8 @@ def t05_fuzzy_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 TOKENS = r"list_filter(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')), lambda x: regexp_full_match(x, '[a-z][a-z0-9]{3,}') AND x NOT IN ('that', 'this', 'with', 'from', 'have', 'will', 'which', 'their', 'there', 'been', 'were'))"
 
 
-@query(f"""WITH d AS (SELECT doc_id, unnest({TOKENS}) AS t FROM documents WHERE lang = 'en'), b AS (SELECT item_id, unnest({TOKENS}) AS t FROM benchmark)
-SELECT item_id, doc_id, overlap FROM (SELECT item_id, doc_id, count(*) AS overlap FROM b JOIN d USING (t) GROUP BY item_id, doc_id)
-QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, doc_id) <= 40""")
-def t09_candidate_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lexical candidates: token overlap, the 40 best documents of each item, over an inverted index."""
-    spread = lambda rows, key: rows.select(key, F.explode(T.tokens(F.col("text"))).alias("t"))
-    left = spread(docs(spark, sf_dir, "lang").where("lang = 'en'"), "doc_id")
-    hits = spread(table(spark, sf_dir, "benchmark"), "item_id").join(left, "t").groupBy("item_id", "doc_id").agg(F.count("*").alias("overlap"))
-    from tessera.operators.windows import top_per_key
-
-    return top_per_key(hits, ["item_id"], [F.desc("overlap"), F.asc("doc_id")], 40)
-
-
 @query()
-def t09_candidate_retrieval_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def t09_candidate_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexical candidates among documents of all languages: the 40 of each item with most token overlap + 10 x phrase hits.
 
     The tables have no lists of terms, so a phrase is two retrieval tokens side by side; one that both hold is a hit.
@@ -101,10 +82,16 @@ def t11_phrase_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def q11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search of documents with AND, OR, exclusion and a phrase; page one with the total."""
+    """Search of documents with AND, OR, exclusion and a phrase; page one with the total.
+
+    Hits are counted and ranked within buckets of input partitions; one task sees at most a page and a count of each bucket.
+    """
     rows = docs(spark, sf_dir).withColumn("vector", T.search_vector(F.col("text")))
-    found = rows.where(T.search(F.col("vector"), 'the and -trash or "of the"')).select("doc_id")
-    return found.withColumn("total", F.count("*").over(Window.partitionBy())).orderBy("doc_id").limit(25)
+    found = rows.where(T.search(F.col("vector"), 'the and -trash or "of the"')).select("doc_id", F.spark_partition_id().alias("bucket"))
+    own = Window.partitionBy("bucket")
+    firsts = found.withColumn("place", F.row_number().over(own.orderBy("doc_id"))).withColumn("hits", F.count("*").over(own)).where("place <= 25")
+    total = F.sum(F.when(F.col("place") == 1, F.col("hits"))).over(Window.partitionBy())
+    return firsts.select("doc_id", total.alias("total")).orderBy("doc_id").limit(25)
 
 
 @query(r"SELECT doc_id, array_to_string(list_slice(string_split(trim(regexp_replace(string_split(text, chr(10))[1], '\s+', ' ', 'g')), ' '), 1, 25), ' ') || CASE WHEN len(string_split(trim(regexp_replace(string_split(text, chr(10))[1], '\s+', ' ', 'g')), ' ')) > 25 THEN '...' ELSE '' END AS gist FROM documents")
@@ -112,14 +99,9 @@ def t15_gist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", T.gist(F.col("text")).alias("gist"))
 
 
-@query(r"SELECT doc_id, sha1(concat_ws('|', source, lang, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))))) AS fingerprint FROM documents WHERE lang = 'en'")
+@query(r"SELECT doc_id, sha1(concat_ws('|', source, lang, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))))) AS fingerprint FROM documents")
 def t16_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return docs(spark, sf_dir, "source", "lang").where("lang = 'en'").select("doc_id", T.fingerprint(F.col("source"), F.col("lang"), F.col("text")).alias("fingerprint"))
-
-
-@query()
-def t16_fingerprint_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``t16_fingerprint`` over all languages; a null source or language is left out of the joined text."""
+    """SHA-1 of source, language and folded text; a null source or language is left out of the joined text."""
     return docs(spark, sf_dir, "source", "lang").select("doc_id", T.fingerprint(F.col("source"), F.col("lang"), F.col("text")).alias("fingerprint"))
 
 
@@ -128,16 +110,9 @@ def t17_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", T.canonical_digest("c_name", "c_custkey", "c_mktsegment").alias("digest"))
 
 
-@query(r"SELECT sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS text_key, count(*) AS copies, min(doc_id) AS first_doc FROM documents WHERE lang = 'en' GROUP BY 1 HAVING count(*) > 1")
+@query(r"SELECT sha256(lower(trim(regexp_replace(text, '\s+', ' ', 'g')))) AS text_key, count(*) AS copies, min(doc_id) AS first_doc FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def t19_duplicate_key(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = F.sha2(F.lower(T.collapsed(F.col("text"))), 256)
-    rows = docs(spark, sf_dir, "lang").where("lang = 'en'").groupBy(key.alias("text_key")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"))
-    return rows.where("copies > 1")
-
-
-@query()
-def t19_duplicate_key_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``t19_duplicate_key`` over all languages; null texts repeat nothing."""
+    """Folded texts that occur more than once; null texts repeat nothing."""
     key = F.sha2(F.lower(T.collapsed(F.col("text"))), 256)
     rows = docs(spark, sf_dir).where("text is not null").groupBy(key.alias("text_key")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc"))
     return rows.where("copies > 1")

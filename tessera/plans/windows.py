@@ -85,27 +85,14 @@ def w14_canonical_representative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("text_key").agg(F.max_by("doc_id", F.struct(F.col("source") == "src0", "doc_id")).alias("doc_id"))
 
 
-@query("""WITH s AS (SELECT o_orderkey AS id, o_orderdate AS tm FROM orders WHERE o_orderkey % 50 = 0),
-b AS (SELECT id, tm, strftime(tm, '%Y-%m-%d') AS d, CAST(isoyear(tm) AS VARCHAR) || '-' || lpad(CAST(week(tm) AS VARCHAR), 2, '0') AS w, strftime(tm, '%Y-%m') AS m FROM s),
-k AS (
-  SELECT id, 'day' AS rule FROM (SELECT id, dense_rank() OVER (ORDER BY d DESC) AS r, row_number() OVER (PARTITION BY d ORDER BY tm DESC, id DESC) AS n FROM b) WHERE r <= 7 AND n = 1
-  UNION ALL SELECT id, 'week' FROM (SELECT id, dense_rank() OVER (ORDER BY w DESC) AS r, row_number() OVER (PARTITION BY w ORDER BY tm DESC, id DESC) AS n FROM b) WHERE r <= 4 AND n = 1
-  UNION ALL SELECT id, 'month' FROM (SELECT id, dense_rank() OVER (ORDER BY m DESC) AS r, row_number() OVER (PARTITION BY m ORDER BY tm DESC, id DESC) AS n FROM b) WHERE r <= 6 AND n = 1)
-SELECT id, strftime(tm, '%Y-%m-%d') AS day, string_agg(rule, ',' ORDER BY rule) AS kept_by FROM k JOIN s USING (id) GROUP BY ALL""")
-def q24_snapshot_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Seven days, four ISO weeks, six months: the newest of each."""
-    rows = table(spark, sf_dir, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("at"))
-    return W.retained(rows, "at", 7, 4, 6).select("id", F.date_format("at", "yyyy-MM-dd").alias("day"), "kept_by")
-
-
 @query("""WITH s AS (SELECT o_orderkey AS id, o_orderdate AS tm, strftime(o_orderdate, '%Y-%m-%d') AS d, isoyear(o_orderdate) * 100 + week(o_orderdate) AS w, strftime(o_orderdate, '%Y-%m') AS m FROM orders),
 k AS (
   SELECT id, 'day' AS rule FROM (SELECT d, arg_max(id, (tm, id)) AS id FROM s GROUP BY d ORDER BY d DESC LIMIT 7)
   UNION ALL SELECT id, 'week' FROM (SELECT w, arg_max(id, (tm, id)) AS id FROM s GROUP BY w ORDER BY w DESC LIMIT 4)
   UNION ALL SELECT id, 'month' FROM (SELECT m, arg_max(id, (tm, id)) AS id FROM s GROUP BY m ORDER BY m DESC LIMIT 6))
 SELECT id, d AS day, string_agg(rule, ',' ORDER BY rule) AS kept_by FROM k JOIN s USING (id) GROUP BY ALL""")
-def q24_snapshot_retention_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``q24_snapshot_retention`` over every order; that one's SQL is fixed to each fiftieth key."""
+def q24_snapshot_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven days, four ISO weeks, six months: the newest of each, over every order."""
     rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("at"))
     return W.retained(rows, "at", 7, 4, 6).select("id", F.date_format("at", "yyyy-MM-dd").alias("day"), "kept_by")
 

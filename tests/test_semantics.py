@@ -82,7 +82,7 @@ def test_retention_query_considers_every_order(spark, tmp_path):
         newest = {bucket(t): i for i, t in rows}
         for b in sorted(newest, reverse=True)[:n]:
             want.setdefault(newest[b], []).append(rule)
-    got = {r["id"]: r["kept_by"] for r in windows.q24_snapshot_retention_all(spark, str(tmp_path)).collect()}
+    got = {r["id"]: r["kept_by"] for r in windows.q24_snapshot_retention(spark, str(tmp_path)).collect()}
     assert got == {i: ",".join(sorted(v)) for i, v in want.items()}
 
 
@@ -92,12 +92,12 @@ def test_identity_and_spans_cover_every_row(spark, tmp_path):
     key = lambda i, u, e: (u, None if e == "view" else e, i % 5 if i % 3 else None)
     answers = collections.Counter(key(*e) for e in events if e[0] % 2 == 0)
     want = {e[0]: answers[key(*e)] for e in events if e[0] % 2 and answers[key(*e)]}
-    assert {r["paper_id"]: r["answers"] for r in joins.j18_null_safe_identity_all(spark, str(tmp_path)).collect()} == want
+    assert {r["paper_id"]: r["answers"] for r in joins.j18_null_safe_identity(spark, str(tmp_path)).collect()} == want
     parts, nations = [(i, i * 7 % 50 + 1) for i in range(200)], [0, 0, 2, 3]
     spark.createDataFrame(parts, "p_partkey long, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     spark.createDataFrame([(i, n) for i, n in enumerate(nations)], "s_suppkey long, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
     inside = {p: sum(n * 40 <= p and p + size <= n * 40 + 40 for n in nations) for p, size in parts}
-    assert {r["p_partkey"]: r["inside"] for r in curation.n10_spans_inside_all(spark, str(tmp_path)).collect()} == inside
+    assert {r["p_partkey"]: r["inside"] for r in curation.n10_spans_inside(spark, str(tmp_path)).collect()} == inside
 
 
 def test_tree(spark):
@@ -194,10 +194,10 @@ def test_text_queries_cover_all_languages(spark, tmp_path):
     run = lambda q: q(spark, str(tmp_path)).collect()
     folded = lambda t: re.sub(r"\s+", " ", t).strip().lower()
     md5 = lambda t: None if t is None else hashlib.md5(re.sub(r"\d+", "#", t.lower()).encode()).hexdigest()
-    assert {r["doc_id"]: r["mask"] for r in run(texts.t02_digit_mask_all)} == {i: md5(t) for i, t, *_ in rows}
+    assert {r["doc_id"]: r["mask"] for r in run(texts.t02_digit_mask)} == {i: md5(t) for i, t, *_ in rows}
     joined = lambda t, lang, source: "|".join(x for x in (source, lang, t and folded(t)) if x is not None)
-    assert {r["doc_id"]: r["fingerprint"] for r in run(texts.t16_fingerprint_all)} == {i: hashlib.sha1(joined(*x).encode()).hexdigest() for i, *x in rows}
-    assert [tuple(r) for r in run(texts.t19_duplicate_key_all)] == [(hashlib.sha256(folded(rows[0][1]).encode()).hexdigest(), 3, 1)]
+    assert {r["doc_id"]: r["fingerprint"] for r in run(texts.t16_fingerprint)} == {i: hashlib.sha1(joined(*x).encode()).hexdigest() for i, *x in rows}
+    assert [tuple(r) for r in run(texts.t19_duplicate_key)] == [(hashlib.sha256(folded(rows[0][1]).encode()).hexdigest(), 3, 1)]
     assert [(r["doc_id"], r["total"]) for r in run(texts.q11_search)] == [(i, 4) for i in (1, 2, 3, 4)]
 
 
@@ -219,7 +219,7 @@ def test_candidates_rank_by_phrases_then_overlap(spark, tmp_path):
         scores = [(len(parts(t)[1] & parts(u)[1]), len(parts(t)[0] & parts(u)[0]), d) for d, u, _ in found]
         best = sorted((-10 * p - o, d, p, o) for p, o, d in scores if p or o)[:40]
         want |= {(i, d, p, o, -s) for s, d, p, o in best}
-    got = texts.t09_candidate_retrieval_all(spark, str(tmp_path)).select("item_id", "doc_id", "phrases", "overlap", "score").collect()
+    got = texts.t09_candidate_retrieval(spark, str(tmp_path)).select("item_id", "doc_id", "phrases", "overlap", "score").collect()
     assert {tuple(r) for r in got} == want
 
 
