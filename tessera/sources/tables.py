@@ -16,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def filtered(rows: DataFrame, given: dict) -> DataFrame:
+    """Rows that equal every given value; None leaves a column free, a list admits any of its values."""
+    for name, value in given.items():
+        if value is not None:
+            rows = rows.where(F.col(name).isin(value) if isinstance(value, list) else F.col(name) == value)
+    return rows
+
+
 def pending(rows: DataFrame, statuses: list[str], status: str = "status", key: str = "id") -> DataFrame:
     """Catalogue rows of some statuses, newest id first."""
     return rows.where(F.col(status).isin(statuses)).orderBy(F.desc(key))
