@@ -1,4 +1,4 @@
-"""The ten registered queries, each over its whole table with production parameters."""
+"""The registered queries, each over its whole table with production parameters."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, fingerprints, mixing, mpeg_audio, ngram_jaccard, quality, secrets, token_files, toxicity, warc
+from tessera.llm import byte_bpe, fingerprints, lexical_search, mixing, mpeg_audio, ngram_jaccard, packing, quality, secrets, token_files, toxicity, warc
 from tessera.llm.common import shared_folder, table
 
 
@@ -64,7 +64,22 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs, model).select("doc_id", (_remainder(4) == 2).alias("held_out"), score.alias("score"), (score >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_secrets, op3_byte_bpe, op4_token_files, op5_mixing, op6_warc, op7_fingerprints, op8_mpeg_audio, op9_toxicity, op10_quality)}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    idx = lexical_search.index(table(spark, sf_dir, "documents"))
+    return lexical_search.search(idx, table(spark, sf_dir, "benchmark"), k=10)
+
+
+def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end=1)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard, op2_secrets, op3_byte_bpe, op4_token_files, op5_mixing, op6_warc, op7_fingerprints, op8_mpeg_audio, op9_toxicity, op10_quality,
+        op11_lexical_search, op13_best_fit_packing,
+    )
+}
 #: The other queries rest on hashes, learned models, byte-pair merges or coders that SQL can't express, or are too slow in
 #: it on whole tables; tests hold them against brute force, the libraries and round trips.
 ORACLE_SQL = {
@@ -72,4 +87,16 @@ ORACLE_SQL = {
 SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, sha1(body) AS payload_digest,
   CASE WHEN strlen(body) >= 1000 AND page_id <> top THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN strlen(body) >= 1000 AND page_id <> top THEN top END AS refers_to FROM m""",
+    "op11_lexical_search": r"""WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+tfs AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY ALL),
+lengths AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tfs GROUP BY doc_id),
+totals AS (SELECT count(*) AS big_n, sum(n)::BIGINT AS big_l FROM lengths),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * big_n + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tfs, totals GROUP BY term, big_n),
+ms AS (SELECT doc_id, 10 + (90 * n * big_n) // big_l AS m FROM lengths, totals),
+wanted AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+scores AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM wanted JOIN tfs USING (term) JOIN weights USING (term) JOIN ms USING (doc_id) GROUP BY ALL)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10""",
 }
