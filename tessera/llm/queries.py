@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import byte_bpe, fingerprints, lexical_search, mixing, mpeg_audio, ngram_jaccard, packing, quality, secrets, token_files, toxicity, warc
+from tessera.llm import byte_bpe, conversations, fingerprints, lexical_search, mixing, mpeg_audio, ngram_jaccard, packing, quality, secrets, token_files, toxicity, warc
 from tessera.llm.common import shared_folder, table
 
 
@@ -69,6 +69,10 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(idx, table(spark, sf_dir, "benchmark"), k=10)
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.summary(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
 def op13_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end=1)
 
@@ -77,7 +81,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_ngram_jaccard, op2_secrets, op3_byte_bpe, op4_token_files, op5_mixing, op6_warc, op7_fingerprints, op8_mpeg_audio, op9_toxicity, op10_quality,
-        op11_lexical_search, op13_best_fit_packing,
+        op11_lexical_search, op12_conversation_repair, op13_best_fit_packing,
     )
 }
 #: The other queries rest on hashes, learned models, byte-pair merges or coders that SQL can't express, or are too slow in
