@@ -1,4 +1,4 @@
-"""Text functions: normalisation, keys, tokens, fuzzy ratios, anchors, links, search."""
+"""Text functions: normalisation, keys, tokens, fuzzy ratios, anchors, links."""
 
 from __future__ import annotations
 
@@ -193,53 +193,3 @@ def links(html: pd.Series, base: pd.Series) -> pd.Series:
         return list(dict.fromkeys("https" + u[4:] if u.startswith("http:") else u for u in out))
 
     return pd.Series([of(h, b) for h, b in zip(html, base)])
-
-
-_SUFFIXES = ("ingly", "edly", "ing", "ed", "ies", "es", "s", "ly")
-
-
-def stemmed(word: str) -> str:
-    """A light English stem: one suffix off if three letters stay."""
-    for s in _SUFFIXES:
-        if word.endswith(s) and len(word) - len(s) >= 3:
-            return word[: -len(s)] + ("y" if s == "ies" else "")
-    return word
-
-
-def stem(word: Column) -> Column:
-    """``stemmed`` as an expression."""
-    out = word
-    for s in reversed(_SUFFIXES):
-        cut = F.concat(F.substring(word, F.lit(1), F.length(word) - len(s)), F.lit("y" if s == "ies" else ""))
-        out = F.when(word.endswith(s) & (F.length(word) - len(s) >= 3), cut).otherwise(out)
-    return out
-
-
-def search_vector(text: Column) -> Column:
-    """Stems of all words in order."""
-    return F.transform(F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1)), stem)
-
-
-def search(vector: Column, q: str) -> Column:
-    """Web-style query over a search vector: words all needed, "phrases", or between alternatives, -word excluded."""
-    groups: list[list[Column]] = [[]]
-    for sign, phrase, word in re.findall(r'(-?)(?:"([^"]*)"|(\S+))', q.lower()):
-        if word == "or" and not sign:
-            groups.append([])
-            continue
-        stems = [stemmed(w) for w in re.findall(r"[^\W_]+", phrase or word)]
-        if not stems:
-            continue
-        if len(stems) == 1:
-            hit = F.array_contains(vector, stems[0])
-        else:
-            hit = F.concat(F.lit(" "), F.array_join(vector, " "), F.lit(" ")).contains(f" {' '.join(stems)} ")
-        groups[-1].append(~hit if sign else hit)
-    out = F.lit(False)
-    for group in groups:
-        if group:
-            every = group[0]
-            for c in group[1:]:
-                every = every & c
-            out = out | every
-    return out

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import curation, evidence, gates, joins, listings, parts, quality, registry, scoring, serving, sets, streams, texts, trees, validation, windows  # noqa: F401
+from tessera.plans import curation, evidence, gates, joins, listings, parts, quality, registry, scoring, search, serving, sets, streams, texts, trees, validation, windows  # noqa: F401
 
 
 def queries() -> dict:

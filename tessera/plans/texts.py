@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions import nested as N
 from tessera.functions import text as T
+from tessera.operators.retrieval import candidates
 from tessera.plans.registry import query
+from tessera.sources.stored import stored
 from tessera.sources.tables import table
 
 
@@ -63,14 +65,10 @@ def t09_candidate_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The tables have no lists of terms, so a phrase is two retrieval tokens side by side; one that both hold is a hit.
     """
-    from tessera.operators.windows import top_per_key
-
-    found = lambda rows, key: rows.select(key, F.explode(F.concat(T.tokens(F.col("text")), T.phrases(F.col("text")))).alias("t"))
-    hits = found(table(spark, sf_dir, "benchmark"), "item_id").join(found(docs(spark, sf_dir), "doc_id"), "t")
-    phrase = F.col("t").contains(" ")
-    counts = hits.groupBy("item_id", "doc_id").agg(F.count_if(phrase).alias("phrases"), F.count_if(~phrase).alias("overlap"))
-    ranked = counts.withColumn("score", 10 * F.col("phrases") + F.col("overlap"))
-    return top_per_key(ranked, ["item_id"], [F.desc("score"), F.asc("doc_id")], 40)
+    elements = lambda rows, key: rows.select(key, F.concat(T.tokens(F.col("text")), T.phrases(F.col("text"))).alias("elements"))
+    rows = docs(spark, sf_dir)
+    held = stored(spark, "documents-elements-1", [rows], lambda: elements(rows, "doc_id"))
+    return candidates(elements(table(spark, sf_dir, "benchmark"), "item_id"), held, 40, "item_id", "doc_id")
 
 
 @query("SELECT doc_id, CASE n WHEN 0 THEN 'none_fits' WHEN 1 THEN 'matched' ELSE 'needs_review' END AS outcome FROM (SELECT doc_id, CAST(regexp_matches(text, '(^|[^\\w])the(\\W|$)') AS INT) + CAST(regexp_matches(text, '(^|[^\\w])der(\\W|$)') AS INT) + CAST(regexp_matches(text, '(^|[^\\w])les(\\W|$)') AS INT) + CAST(regexp_matches(text, '(^|[^\\w])los(\\W|$)') AS INT) AS n FROM documents)".replace("\\W|$", "[^\\w]|$"))
@@ -80,20 +78,6 @@ def t11_phrase_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", F.when(n == 0, "none_fits").when(n == 1, "matched").otherwise("needs_review").alias("outcome"))
 
 
-@query()
-def q11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Search of documents with AND, OR, exclusion and a phrase; page one with the total.
-
-    Hits are counted and ranked within buckets of input partitions; one task sees at most a page and a count of each bucket.
-    """
-    rows = docs(spark, sf_dir).withColumn("vector", T.search_vector(F.col("text")))
-    found = rows.where(T.search(F.col("vector"), 'the and -trash or "of the"')).select("doc_id", F.spark_partition_id().alias("bucket"))
-    own = Window.partitionBy("bucket")
-    firsts = found.withColumn("place", F.row_number().over(own.orderBy("doc_id"))).withColumn("hits", F.count("*").over(own)).where("place <= 25")
-    total = F.sum(F.when(F.col("place") == 1, F.col("hits"))).over(Window.partitionBy())
-    return firsts.select("doc_id", total.alias("total")).orderBy("doc_id").limit(25)
-
-
 @query(r"SELECT doc_id, array_to_string(list_slice(string_split(trim(regexp_replace(string_split(text, chr(10))[1], '\s+', ' ', 'g')), ' '), 1, 25), ' ') || CASE WHEN len(string_split(trim(regexp_replace(string_split(text, chr(10))[1], '\s+', ' ', 'g')), ' ')) > 25 THEN '...' ELSE '' END AS gist FROM documents")
 def t15_gist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs(spark, sf_dir).select("doc_id", T.gist(F.col("text")).alias("gist"))
