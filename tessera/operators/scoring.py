@@ -103,12 +103,15 @@ def section_prior(leaves: DataFrame, sections: DataFrame) -> DataFrame:
 
 
 def importance(scores: DataFrame, config: ScoringConfig) -> DataFrame:
-    """Max-normalised weighted sum per paper over applicable leaves; 0 for the others."""
-    def norm(name: str) -> Column:
-        return normalised(F.when(F.col("applicable"), F.col(name)), "paper")
+    """Max-normalised weighted sum per paper over applicable leaves; 0 for the others.
 
-    total = config.weight_exam * norm("exam_score") + config.weight_practice * norm("practice_score") + config.weight_prior * norm("weight_prior")
-    return scores.withColumn("importance", F.when(F.col("applicable"), total).otherwise(0.0))
+    Papers' maxima are a row a paper, joined back: no window puts a paper's leaves in one task.
+    """
+    parts = {"exam_score": config.weight_exam, "practice_score": config.weight_practice, "weight_prior": config.weight_prior}
+    tops = scores.where("applicable").groupBy("paper").agg(*(F.max(c).alias(f"__{c}") for c in parts))
+    total = sum((w * F.when(F.col(f"__{c}") > 0, F.col(c) / F.col(f"__{c}")).otherwise(0.0) for c, w in parts.items()), F.lit(0.0))
+    rows = scores.join(tops, "paper", "left").withColumn("importance", F.when(F.col("applicable"), total).otherwise(0.0))
+    return rows.select(*scores.columns, "importance")
 
 
 def weak(hits: Column, window: Column, status: Column, applicable: Column, config: ScoringConfig) -> Column:

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators import evidence_state as V
 from tessera.operators import scoring as S
 from tessera.operators.windows import top_per_key
 from tessera.plans import model as M
 from tessera.plans.registry import query
+from tessera.sources.stored import stored
 from tessera.sources.tables import table
 
 CONFIG = S.ScoringConfig()
@@ -24,11 +26,42 @@ def window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.frequency_window(exam, CONFIG.window_attempts)
 
 
-def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every leaf's evidence, prior, frequency and importance: one pass for the sums and one for the windows."""
+def _inputs(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    return [table(spark, sf_dir, t) for t in ("lineitem", "orders", "part")]
+
+
+def recomputed(spark: SparkSession, sf_dir: str, evidence: DataFrame) -> DataFrame:
+    """Every leaf's evidence, prior, frequency and importance; windows come from the evidence's own attempts."""
     prior = S.section_prior(M.leaf_rows(spark, sf_dir), M.sections(spark, sf_dir))
-    rows = prior.join(sums(spark, sf_dir), ["paper", "leaf"], "left").fillna(0, ["exam_score", "practice_score", "exam_marks_total", "exam_count", "practice_count"])
-    return S.importance(S.with_frequency(rows, window(spark, sf_dir)), CONFIG)
+    rows = prior.join(evidence, ["paper", "leaf"], "left").fillna(0, ["exam_score", "practice_score", "exam_marks_total", "exam_count", "practice_count"])
+    return S.importance(S.with_frequency(rows, V.window_of(evidence, CONFIG.window_attempts)), CONFIG)
+
+
+#: Base month of the stored state, and the month up to which its evidence is folded.
+BASE, HORIZON = 2000 * 12, M.TARGET - 12
+
+
+def state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored evidence state of all tags, from which any later target is one multiplication."""
+    tags = M.tags(spark, sf_dir).withColumn("month", M.TARGET - F.col("age"))
+    return stored(spark, "evidence-state-1", _inputs(spark, sf_dir), lambda: V.evidence(tags, CONFIG, BASE, HORIZON))
+
+
+def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The current run: scores stored for this state of the tables, computed from the evidence state where there is none."""
+    evidence = lambda: V.at(state(spark, sf_dir), CONFIG, BASE, HORIZON, M.TARGET)
+    return stored(spark, f"score-run-1-{M.TARGET}", _inputs(spark, sf_dir), lambda: recomputed(spark, sf_dir, evidence()))
+
+
+@query(f"WITH {M.SUMS_SQL} SELECT paper, leaf, round_even(exam_score, 4) AS exam_score, round_even(practice_score, 4) AS practice_score, CAST(round_even(exam_marks_total, 0) AS BIGINT) AS exam_marks_total, exam_count, practice_count, first_exam_attempt, last_exam_attempt FROM sums")
+def a01_rolled_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The state rolled over three generations and on to the target equals the sums of all tags at once."""
+    tags = M.tags(spark, sf_dir).withColumn("month", M.TARGET - F.col("age"))
+    parts = [V.evidence(tags.where(F.col("appearance") % 3 == g), CONFIG, BASE, HORIZON) for g in range(3)]
+    rolled = V.rolled(V.rolled(parts[0], parts[1]), parts[2])
+    rows = V.at(rolled, CONFIG, BASE, HORIZON, M.TARGET)
+    scored = [F.bround(c, 4).alias(c) for c in ("exam_score", "practice_score")]
+    return rows.select("paper", "leaf", *scored, F.bround("exam_marks_total", 0).cast("long").alias("exam_marks_total"), "exam_count", "practice_count", "first_exam_attempt", "last_exam_attempt")
 
 
 @query(f"""WITH {M.SUMS_SQL} SELECT paper, leaf, round_even(exam_score, 4) AS exam_score, round_even(exam_score / max(exam_score) OVER (PARTITION BY paper), 4) AS importance FROM sums
@@ -77,7 +110,7 @@ CAST(freq_hits AS BIGINT) AS freq_hits, CAST(freq_window AS BIGINT) AS freq_wind
 def q02_full_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The full recompute with missing evidence as 0."""
     rounded = [F.bround(c, 4).alias(c) for c in ("exam_score", "practice_score", "weight_prior", "importance")]
-    return scores(spark, sf_dir).select("paper", "leaf", "applicable", *rounded, "freq_hits", "freq_window", F.bround("exam_marks_total", 0).cast("long").alias("exam_marks_total"), "exam_count", "practice_count", "first_exam_attempt", "last_exam_attempt")
+    return recomputed(spark, sf_dir, sums(spark, sf_dir)).select("paper", "leaf", "applicable", *rounded, "freq_hits", "freq_window", F.bround("exam_marks_total", 0).cast("long").alias("exam_marks_total"), "exam_count", "practice_count", "first_exam_attempt", "last_exam_attempt")
 
 
 BOUND_SQL = f"""{M.TAGS_SQL},

@@ -2,20 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.plans.registry import query
+from tessera.sources.stored import shared_base
 from tessera.sources.tables import table
 from tessera.streaming import feed
 
 
 def shared(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_base(spark)}/stream-{uuid.uuid4().hex}"
 
 
 @query("SELECT event_type, user_id % 10 AS cohort, count(*) AS n, round_even(sum(value), 4) AS total FROM events GROUP BY ALL")
