@@ -295,7 +295,7 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_
     links, its own without any), class_id (least id with the same set), n_words and, if ``counted``,
     n_links (other documents at that similarity or more, those of its own class included).  Null or empty
     texts, and texts of white space only, have the empty set and link with nothing.  Ids are
-    integers; rows that repeat one are returned each and share its component; a row whose id is null is
+    integers; rows that repeat one are documents of their own, are returned each and share its component; a row whose id is null is
     returned with a null component and links with nothing.  Extra columns of ``docs`` are ignored, and an empty table gives
     an empty result.  Shingles are compared by 64-bit hashes.
     """
@@ -303,6 +303,8 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_
         raise ValueError("the threshold is to be in (0, 1]")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     base = stash(signed(texts, n, num, den))
+    if base.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        return _of_repeated_ids(texts, n, num, den, id_col, counted)
     fp = ["n_shingles", "fp_a", "fp_b"]
     classes = base.where("n_shingles > 0 and id is not null").groupBy(*fp).agg(F.min("id").alias("first"), F.count("*").alias("copies"))
     classes = stash(classes.where("copies > 1"))
@@ -326,6 +328,24 @@ def near_duplicates(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_
     return named.select(*shown, *([(F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links")] if counted else []))
 
 
+def _of_repeated_ids(texts: DataFrame, n: int, num: int, den: int, id_col: str, counted: bool) -> DataFrame:
+    """The same where rows repeat ids: rows are numbered and compared as documents; rows of one id then share a component."""
+    rows = stash(texts.withColumn("row", F.when(F.col("id").isNotNull(), F.monotonically_increasing_id())))
+    found = near_duplicates(rows.select("row", "text"), n, num, den, "row", "text", counted)
+    found = stash(found.where("row is not null").join(rows.select("row", "id"), "row"))
+    shared = found.groupBy("id").agg(F.min("component_id").alias("low"))
+    merged = components(found.select("id", "component_id").distinct().join(shared, "id").where("component_id <> low").select(F.col("component_id").alias("a"), F.col("low").alias("b")))
+    whole = found.join(merged.withColumnsRenamed({"id": "component_id", "component": "whole"}), "component_id", "left").withColumn("whole", F.coalesce("whole", "component_id"))
+    least = lambda key, name: whole.groupBy(key).agg(F.min("id").alias(name))
+    named = whole.join(least("whole", "component"), "whole").join(least("class_id", "class"), "class_id")
+    links = ["n_links"] if counted else []
+    out = named.select(F.col("id").alias(id_col), "n_shingles", F.col("component").alias("component_id"), F.col("class").alias("class_id"), "n_words", *links)
+    if not rows.where("id is null").limit(1).count():
+        return out
+    nothing = near_duplicates(rows.where("id is null").select(F.col("id").alias(id_col), "text"), n, num, den, id_col, "text", counted)
+    return out.unionByName(nothing)
+
+
 def keep_one(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that are the first of their near-duplicate component; all columns stay, whatever their names.
 
