@@ -85,7 +85,7 @@ class Lexicon:
 
     def feature(self, text: str) -> float:
         folded = fold(text)
-        return math.log1p(100 * sum(w for _, _, w in self.hits(folded)) / (folded.count(" ") + folded.count("\n") + 20))
+        return math.log1p(100 * sum(w for _, _, w in self.hits(folded)) / (len(folded.split()) + 20))
 
     def score(self, text: str) -> float:
         return 1 / (1 + math.exp(-max(-500.0, min(500.0, self.bias + self.slope * self.feature(text)))))
