@@ -48,7 +48,7 @@ WITH RECURSIVE state AS (
     SELECT w, min(best) >> 24 AS merged, min(best) & 16777215 AS place
     FROM (
       SELECT w, (merged::BIGINT << 24) | place AS best
-      FROM (SELECT w, unnest(ids[1:len(ids) - 1])::BIGINT * 65536 + unnest(ids[2:len(ids)]) AS pair, unnest(range(1, len(ids))) AS place FROM state)
+      FROM (SELECT w, unnest(ids[1:len(ids) - 1])::BIGINT * 4294967296 + unnest(ids[2:len(ids)]) AS pair, unnest(range(1, len(ids))) AS place FROM state)
       JOIN merges USING (pair))
     GROUP BY w) AS chosen ON state.w = chosen.w
 ),
@@ -107,8 +107,7 @@ final AS (SELECT w, list(token ORDER BY p) AS ids FROM state JOIN spans USING (p
 """
 
 _IDS = "SELECT w, ids FROM final"
-#: One thread aggregates the rows in the order they are sorted in.
-_DECODE = "SELECT w, string_agg(bytes, '') AS bytes FROM (SELECT w, p, bytes FROM given JOIN vocabulary USING (id) ORDER BY p) GROUP BY w"
+_DECODE = "SELECT w, string_agg(bytes, '' ORDER BY p) AS bytes FROM given JOIN vocabulary USING (id) GROUP BY w"
 
 
 class Tokenizer:
@@ -131,7 +130,7 @@ class Tokenizer:
                     left.append(a)
                     right.append(b)
                     merged.append(rank)
-        self._table("merges", pair=np.array(left, np.int64) * 65536 + np.array(right, np.int64), merged=np.array(merged, np.int32))
+        self._table("merges", pair=np.array(left, np.int64) * 4294967296 + np.array(right, np.int64), merged=np.array(merged, np.int32))
         self._table("vocabulary", id=np.array(list(self.ranks.values()), np.int32), bytes=pa.array([t.hex() for t in self.ranks]))
         self.long_ready = False
 

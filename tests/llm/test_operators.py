@@ -136,6 +136,26 @@ def test_ngram_jaccard_repeated_ids_and_clashing_columns(spark):
     assert len(found) == 5 and all(r["component_id"] == 1 for r in found if r["doc_id"] is not None)
 
 
+def test_ngram_jaccard_counts_links_of_repeated_ids_by_row(spark):
+    words = [f"w{i}" for i in range(40)]
+    x, near, other = " ".join(words), " ".join([*words, "more"]), "other words than those of the first"
+    for rows in ([(1, x), (1, x), (2, near), (3, other)], [(1, x), (1, other), (2, near), (3, x), (4, other), (5, "alone here"), (None, x)], [(7, x), (7, "lone one"), (6, "lone one"), (9, near), (8, None)]):
+        by_row = brute_links([(i, t) for i, (_, t) in enumerate(r for r in rows if r[0] is not None)], 3, 9, 10)
+        comps = brute_components([(i, t) for i, (_, t) in enumerate(r for r in rows if r[0] is not None)], 3, 9, 10)
+        held = [r for r in rows if r[0] is not None]
+        want_links = sorted((held[i][0], n) for i, n in by_row.items())
+        found = ngram_jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 9, 10).collect()
+        assert sorted((r["doc_id"], r["n_links"]) for r in found if r["doc_id"] is not None) == want_links and len(found) == len(rows)
+        reach = {i: {i} for i, _ in held}
+        for _ in held:  # ids reach each other through linked rows and shared ids
+            for a, (_, c) in comps.items():
+                for b, (_, d) in comps.items():
+                    if c == d:
+                        both = reach[held[a][0]] | reach[held[b][0]]
+                        reach[held[a][0]] = reach[held[b][0]] = both
+        assert {r["doc_id"]: r["component_id"] for r in found if r["doc_id"] is not None} == {i: min(s) for i, s in reach.items()}
+
+
 def test_ngram_jaccard_null_ids_empty_tables_and_keep_one(spark, docs, empty):
     assert ngram_jaccard.near_duplicates(empty).count() == 0
     frame = spark.createDataFrame([(None, "a b c d e"), (3, "a b c d e"), (4, "a b c d e")], "doc_id long, text string")
@@ -707,3 +727,26 @@ def test_shingle_sets_of_arrow_slices_with_nulls():
     texts = pa.array(["a b c d", None, "", "A  b\tC d", "a b"]).slice(1)
     got = list(shingles.shingle_sets(texts, 3))
     assert [(n, len(s)) for n, s in got] == [(0, 0), (0, 0), (4, 2), (2, 1)]
+
+
+def test_bpe_ids_beyond_16_bits(tmp_path):
+    import tiktoken
+
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {t: r if r < 256 else 32768 * r for t, r in ranks.items() if r < 800}  # left * 65536 + right would collide
+    path = tmp_path / "wide.tiktoken"
+    path.write_bytes(b"".join(base64.b64encode(t) + b" " + str(r).encode() + b"\n" for t, r in ranks.items()))
+    theirs = tiktoken.Encoding("wide", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    own = byte_bpe.Tokenizer(str(path), public_tokenizers.PATTERN)
+    texts = ["there is nothing interesting in the 日本語 of 12345 ----", "aaaaaaaaaaaa", "".join(random.Random(1).choices("theinrs", k=300))]
+    for text, (_, ids) in zip(texts, own.encode(texts)):
+        assert ids.tolist() == theirs.encode_ordinary(text)
+        assert own.decode([ids]) == [text.encode()]
+
+
+def test_toxicity_is_a_share_of_words_not_of_blanks():
+    lexicon = toxicity.Lexicon({"idiot": 5.0}, bias=-4, slope=3)
+    text = "you are an idiot and so on"
+    scores = {lexicon.score(t) for t in (text, text + " " * 2000, "\n" * 500 + text, text.replace(" ", "   \t"))}
+    assert len(scores) == 1 and lexicon.score(text + " and more words" * 500) < scores.pop()
