@@ -33,9 +33,11 @@ def row_diff(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
 def multiset_digest(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys,) n, digest: order-insensitive digest of whole rows, as exact sums of two halves of their MD5.
 
-    A sum of hashes combines in map-side partial aggregates, where a sorted list of all rows would not.
+    A sum of hashes combines in map-side partial aggregates, where a sorted list of all rows would not.  Every field has
+    its length in bytes before it, a null none, so that different rows never read the same.
     """
-    row = F.md5(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in rows.columns if c not in (keys or []))))
+    field = lambda c: F.coalesce(F.concat(F.octet_length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-"))
+    row = F.md5(F.concat(F.lit(""), *(field(F.col(c)) for c in rows.columns if c not in (keys or []))))
     part = lambda a: F.conv(F.substring(row, a, 8), 16, 10).cast("decimal(38,0)")
     sums = [F.count("*").alias("n"), F.sum(part(1)).alias("__a"), F.sum(part(9)).alias("__b")]
     out = (rows.groupBy(*keys) if keys else rows).agg(*sums)

@@ -5,32 +5,44 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.stored import written
+
 
 class CycleError(ValueError):
     """A node is its own ancestor."""
 
 
-def closure(nodes: DataFrame, max_depth: int = 64) -> DataFrame:
+def closure(nodes: DataFrame) -> DataFrame:
     """(ancestor, id, depth): every node with itself (depth 0) and all its ancestors.
 
-    Depths double from round to round, so rounds follow the logarithm of the tree's depth, each a join with a table of topics;
-    a node that comes back to itself or lies deeper than ``max_depth`` raises CycleError.  A missing parent ends the chain.
+    Depths double from round to round, so rounds follow the logarithm of the tree's depth, each a join with a table of
+    topics.  From the second on they are written, so that plans don't grow with depth.  A node that comes back to itself
+    raises CycleError.  A missing parent ends the chain.
     """
     own = nodes.select("id").distinct()
-    now = nodes.where("parent_id is not null").select("id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("depth")).join(own.select(F.col("id").alias("ancestor")), "ancestor", "left_semi")
+    now = nodes.where("parent_id is not null").select("id", F.col("parent_id").alias("ancestor"), F.lit(1).alias("depth")).join(own.select(F.col("id").alias("ancestor")), "ancestor", "left_semi").select("id", "ancestor", "depth")
     reach = 1
     while True:
         last = now.where(F.col("depth") == reach).select("id", "ancestor")
+        if not now.where("id = ancestor").isEmpty():
+            raise CycleError("a node is its own ancestor")
         if last.isEmpty():
             break
-        if reach >= max_depth or not last.where("id = ancestor").isEmpty():
-            raise CycleError(f"a cycle, or deeper than {max_depth}")
         ahead = now.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("further"), F.col("depth").alias("more"))
         now = now.unionByName(last.join(ahead, "ancestor").select("id", F.col("further").alias("ancestor"), (F.col("more") + reach).alias("depth")))
+        if reach > 1:
+            now = written(now)
         reach *= 2
     return own.select(F.col("id").alias("ancestor"), "id", F.lit(0).alias("depth")).union(now.select("ancestor", "id", "depth"))
 
 
+def preorder_keys(closed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, k): (seq, id) of every ancestor from the root down, which order as a depth-first walk by (seq, id) does."""
+    steps = F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("d"), F.col("seq"), F.col("ancestor"))))
+    keyed = closed.join(nodes.select(F.col("id").alias("ancestor"), "seq"), "ancestor").groupBy("id").agg(steps.alias("steps"))
+    return keyed.select("id", F.transform("steps", lambda s: F.struct(s["seq"].alias("seq"), s["ancestor"].alias("id"))).alias("k"))
+
+
 def chased(pointers: DataFrame, most: int = 40) -> DataFrame:
     """(id, origin, hops): pointers (id, origin, hops; at itself where a chain ends) followed to the end, in doubling steps.
 

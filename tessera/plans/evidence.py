@@ -54,13 +54,14 @@ def k05_coalesced_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert_greatest(rows.where("generation % 2 = 0"), rows.where("generation % 2 = 1"), ["o_custkey", "o_orderpriority"], "generation")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice * 2 ELSE o_totalprice END AS price FROM orders WHERE o_orderkey % 2 = 0 OR o_orderkey % 3 = 0")
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'O' OR o_orderpriority = '1-URGENT' THEN o_totalprice * 2 ELSE o_totalprice END AS price FROM orders")
 def k04_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open and urgent orders come anew at twice the price; the others, urgent ones too, are what was there."""
     from tessera.sources.sinks import upserted
 
-    rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_totalprice").alias("price"))
-    new = rows.where("o_orderkey % 3 = 0").withColumn("price", F.col("price") * 2)
-    return upserted(rows.where("o_orderkey % 2 = 0"), new, ["o_orderkey"])
+    rows, is_open = table(spark, sf_dir, "orders").withColumnRenamed("o_totalprice", "price"), F.col("o_orderstatus").eqNullSafe("O")
+    new = rows.where(is_open | (F.col("o_orderpriority") == "1-URGENT")).select("o_orderkey", (F.col("price") * 2).alias("price"))
+    return upserted(rows.where(~is_open).select("o_orderkey", "price"), new, ["o_orderkey"])
 
 
 @query("SELECT user_id, max(event_id) AS event_id FROM events WHERE event_type <> 'error' GROUP BY 1")

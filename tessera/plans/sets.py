@@ -61,11 +61,12 @@ def u03_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("o_custkey", C.jaccard(F.col("x"), F.col("y")).alias("jaccard"))
 
 
-@query("SELECT o_orderkey, CASE WHEN o.o_orderkey IS NULL THEN 'new' WHEN n.p IS NULL THEN 'missing' WHEN o.o_totalprice = n.p THEN 'unchanged' ELSE 'changed' END AS change FROM (SELECT * FROM orders WHERE o_orderkey % 5 <> 0) o FULL JOIN (SELECT o_orderkey AS o_orderkey_n, CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS p FROM orders WHERE o_orderkey % 7 <> 0) n ON o.o_orderkey = n.o_orderkey_n".replace("SELECT o_orderkey, CASE", "SELECT coalesce(o_orderkey, o_orderkey_n) AS o_orderkey, CASE"))
+@query("SELECT o_orderkey, CASE WHEN o_orderpriority = '5-LOW' THEN 'new' WHEN o_orderpriority = '1-URGENT' THEN 'missing' WHEN o_orderstatus = 'F' THEN 'changed' ELSE 'unchanged' END AS change FROM orders")
 def u07_row_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")
-    new = orders.where("o_orderkey % 7 != 0").withColumn("o_totalprice", F.when(F.col("o_orderkey") % 3 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
-    return C.row_diff(orders.where("o_orderkey % 5 != 0"), new, "o_orderkey", "o_totalprice")
+    """Low orders are new, urgent ones gone, the price of fulfilled ones has changed."""
+    orders = table(spark, sf_dir, "orders")
+    new = orders.where("o_orderpriority != '1-URGENT'").withColumn("o_totalprice", F.when(F.col("o_orderstatus") == "F", F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    return C.row_diff(orders.where("o_orderpriority != '5-LOW'"), new, "o_orderkey", "o_totalprice")
 
 
 @query("SELECT doc_id, md5('11' || doc_id) AS draw FROM documents ORDER BY draw LIMIT 25")
@@ -73,7 +74,7 @@ def u08_seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.concat(F.lit("11"), F.col("doc_id").cast("string"))).alias("draw")).orderBy("draw").limit(25)
 
 
-@query("""WITH h AS (SELECT o_orderstatus, md5(concat_ws(chr(31), CAST(o_orderkey AS VARCHAR), CAST(o_custkey AS VARCHAR), o_orderpriority)) AS m FROM orders)
+@query("""WITH h AS (SELECT o_orderstatus, md5(strlen(CAST(o_orderkey AS VARCHAR)) || ':' || o_orderkey || strlen(CAST(o_custkey AS VARCHAR)) || ':' || o_custkey || strlen(o_orderpriority) || ':' || o_orderpriority) AS m FROM orders)
 SELECT o_orderstatus, count(*) AS n, CAST(sum(CAST('0x' || substr(m, 1, 8) AS BIGINT)) AS VARCHAR) || '-' || CAST(sum(CAST('0x' || substr(m, 9, 8) AS BIGINT)) AS VARCHAR) AS digest FROM h GROUP BY 1""")
 def q25_table_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An order-insensitive digest of row contents by status."""

@@ -91,14 +91,12 @@ def r09_projection_with_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("r_name").alias("region"), F.col("n_name").alias("nation"), F.coalesce("customers", F.lit(0)).alias("customers"), F.bround("balance", 2).alias("balance"))
 
 
-@query(f"""{REC}, keyed AS (SELECT c.id, string_agg(lpad(CAST(n.seq AS VARCHAR), 4, '0') || n.id, '/' ORDER BY c.depth DESC) AS k FROM closure c JOIN nodes n ON n.id = c.ancestor GROUP BY c.id)
+@query(f"""{REC}, keyed AS (SELECT c.id, list({{'seq': n.seq, 'id': n.id}} ORDER BY c.depth DESC) AS k FROM closure c JOIN nodes n ON n.id = c.ancestor GROUP BY c.id)
 SELECT id, row_number() OVER (ORDER BY k) AS position FROM keyed""")
 def r10_preorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Depth-first order by (seq, id) at every level."""
     nodes, closure = closed(spark, sf_dir)
-    step = F.concat(F.lpad(F.col("seq").cast("string"), 4, "0"), F.col("ancestor"))
-    keyed = closure.join(nodes.select(F.col("id").alias("ancestor"), "seq"), "ancestor").groupBy("id").agg(F.array_sort(F.collect_list(F.struct((-F.col("depth")).alias("d"), step.alias("s")))).alias("steps"))
-    keyed = keyed.select("id", F.array_join(F.transform("steps", lambda s: s["s"]), "/").alias("k"))
+    keyed = T.preorder_keys(closure, nodes)
     return T.positions(keyed, ["k"]).select("id", F.col("position").cast("long").alias("position"))
 
 

@@ -11,6 +11,7 @@ import atexit
 import hashlib
 import shutil
 import tempfile
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -63,3 +64,10 @@ def stored(spark: SparkSession, name: str, inputs: Sequence[DataFrame], build: C
     if path not in _schemas:
         _schemas[path] = spark.read.parquet(path).schema
     return spark.read.schema(_schemas[path]).parquet(path)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """A copy in the shared folder, which cuts the lineage of a loop; it outlives any executor."""
+    path = f"{shared_base(df.sparkSession)}/tessera-rounds/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -268,6 +268,29 @@ def test_closures_of_deep_trees_and_long_pointer_chains(spark):
     assert {(r["id"], r["origin"], r["hops"]) for r in tree.chased(chain).collect()} == {(i, 0, i) for i in range(150)}
 
 
+def test_closure_plans_dont_grow_with_depth(spark, tmp_path):
+    scans = []
+    for depth in (8, 30, 100):
+        path = str(tmp_path / f"d{depth}")
+        spark.createDataFrame([(i, i - 1 if i else None) for i in range(depth)], "id long, parent_id long").write.parquet(path)
+        closed = tree.closure(spark.read.parquet(path))
+        scans.append(closed._jdf.queryExecution().optimizedPlan().toString().count("parquet"))
+        assert closed.count() == depth * (depth + 1) // 2
+    assert scans[0] == scans[1] == scans[2]
+
+
+def test_preorder_of_large_sequence_numbers(spark):
+    nodes = spark.createDataFrame([("r", None, 0), ("a", "r", 9999), ("b", "r", 10000), ("c", "r", 123456), ("d", "b", 2), ("e", "b", 10)], "id string, parent_id string, seq int")
+    order = tree.preorder_keys(tree.closure(nodes), nodes).orderBy("k").collect()
+    assert [r["id"] for r in order] == ["r", "a", "b", "d", "e", "c"]
+
+
+def test_digests_tell_fields_and_nulls_apart(spark):
+    rows = [("a\x1fb", "c"), ("a", "b\x1fc"), (None, "x"), ("\x00", "x"), ("", "x"), ("-", "x"), ("1:a", ""), ("", "1:a")]
+    digests = {C.multiset_digest(spark.createDataFrame([r], "x string, y string")).first()["digest"] for r in rows}
+    assert len(digests) == len(rows)
+
+
 def test_the_core_stands_without_the_optional_subpackage(tmp_path):
     import os
     import shutil
