@@ -28,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import slices, text_column
+from tessera.llm.common import slices, takes_worker, text_column
 
 #: Unicode's White_Space, which is what \s means to the split pattern.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -278,6 +278,7 @@ def encoded(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", te
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        takes_worker("byte_bpe", tokenizer.cache_clear)
         own = tokenizer(path, pattern)
         for batch in slices(batches, text_col, SLICE_BYTES):
             found = own.encode(text_column(batch.column(text_col)))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -113,3 +115,25 @@ def appended(docs: DataFrame, name: str, kind: str) -> tuple[DataFrame, StructTy
     """``docs`` without a column ``name``, and the schema with that column last: a clashing one is replaced."""
     left = docs.drop(*(c for c in docs.columns if c.lower() == name.lower()))
     return left, StructType([*left.schema.fields, StructType().add(name, kind)[0]])
+
+
+_owner: list[tuple[str, Callable[[], None] | None]] = []
+
+
+def give_back() -> None:
+    """Return freed memory of this worker to the system, where its allocators can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def takes_worker(owner: str, release: Callable[[], None] | None = None) -> None:
+    """Called where a task of an operator begins: a reused worker drops what the operator before it had cached there."""
+    if _owner and _owner[0][0] != owner:
+        before = _owner[0][1]
+        if before is not None:
+            before()
+        give_back()
+    _owner[:] = [(owner, release)]

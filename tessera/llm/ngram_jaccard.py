@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import lookup, slices, stash
+from tessera.llm.common import give_back, lookup, slices, stash, takes_worker
 from tessera.llm.components import components
 from tessera.llm.shingles import mix, shingle_sets
 
@@ -71,6 +71,7 @@ def signed(docs: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """id, n_words, n_shingles, fp_a, fp_b, keys for docs of (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        takes_worker("ngram_jaccard")
         for batch in slices(batches, "text"):
             words, sizes, a, b, keys = [], [], [], [], []
             for count, own in shingle_sets(batch.column("text"), n):
@@ -94,6 +95,7 @@ def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     The shuffle then carries at most one row a key and task, however many sets share the key.
     """
+    takes_worker("ngram_jaccard")
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def flush() -> pa.RecordBatch:
@@ -117,6 +119,7 @@ def _combined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield flush()
     if held:
         yield flush()
+    give_back()
 
 
 def _key_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,6 +251,7 @@ def _tile_links(num: int, den: int, counted: bool):
                     yield from close()
                 held.append(row)
         yield from close()
+        give_back()
 
     return run
 

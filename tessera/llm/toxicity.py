@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import appended, lookup, slices, stash, text_column
+from tessera.llm.common import appended, lookup, slices, stash, takes_worker, text_column
 
 #: Letters that look like Latin ones, and digits or signs that stand for letters.
 HOMOGLYPHS = {"а": "a", "в": "b", "е": "e", "ё": "e", "к": "k", "м": "m", "н": "h", "о": "o", "р": "p", "с": "c", "т": "t", "у": "y", "х": "x", "і": "i", "ї": "i", "ј": "j", "ѕ": "s", "ԁ": "d", "ո": "n", "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "ɑ": "a", "ı": "i"}
@@ -238,6 +238,7 @@ def scored(docs: DataFrame, lexicon: Lexicon, text_col: str = "text", name: str
     """All rows and columns, plus ``name`` (0 to 1), which replaces a column of that name. A null or empty text scores as text without hits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        takes_worker("toxicity")
         for batch in slices(batches, text_col):
             score = pa.array([lexicon.score(t) for t in text_column(batch.column(text_col))], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, score], [*batch.schema.names, name])
