@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, MapType, StructType, TimestampType
 
 from tessera.operators.windows import average_rank
 
@@ -30,14 +31,29 @@ def row_diff(old: DataFrame, new: DataFrame, key: str, value: str) -> DataFrame:
     return both.select(key, change.alias("change"))
 
 
+def field_text(rows: DataFrame, column: str) -> Column:
+    """A column as text that tells its values apart in any session: instants in microseconds, nested values as JSON, map entries in order."""
+    kind, value = rows.schema[column].dataType, F.col(f"`{column}`")
+    if isinstance(kind, TimestampType):
+        return F.unix_micros(value).cast("string")
+    if isinstance(kind, MapType):
+        return F.to_json(F.array_sort(F.map_entries(value)))
+    return F.to_json(value) if isinstance(kind, (ArrayType, StructType)) else value.cast("string")
+
+
+def row_md5(rows: DataFrame, columns: list[str]) -> Column:
+    """MD5 of some fields, each with its length in bytes before it, a null with none."""
+    texts = [field_text(rows, c) for c in columns]
+    return F.md5(F.concat(F.lit(""), *(F.coalesce(F.concat(F.octet_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts)))
+
+
 def multiset_digest(rows: DataFrame, keys: list[str] | None = None) -> DataFrame:
     """(keys,) n, digest: order-insensitive digest of whole rows, as exact sums of two halves of their MD5.
 
     A sum of hashes combines in map-side partial aggregates, where a sorted list of all rows would not.  Every field has
     its length in bytes before it, a null none, so that different rows never read the same.
     """
-    field = lambda c: F.coalesce(F.concat(F.octet_length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-"))
-    row = F.md5(F.concat(F.lit(""), *(field(F.col(c)) for c in rows.columns if c not in (keys or []))))
+    row = row_md5(rows, [c for c in rows.columns if c not in (keys or [])])
     part = lambda a: F.conv(F.substring(row, a, 8), 16, 10).cast("decimal(38,0)")
     sums = [F.count("*").alias("n"), F.sum(part(1)).alias("__a"), F.sum(part(9)).alias("__b")]
     out = (rows.groupBy(*keys) if keys else rows).agg(*sums)
