@@ -69,15 +69,6 @@ def unready(quality: Column) -> Column:
     return codes([(f"extraction_{d}", ~F.coalesce(quality[d].isin("passed", "not_applicable"), F.lit(False))) for d in DIMENSIONS])
 
 
-def tasks(rules: list[tuple[str, DataFrame]]) -> DataFrame:
-    """(paper, task, n) of all rules: each rule is a frame of (paper, item); papers with the most open items first."""
-    each = [rows.select("paper", F.lit(code).alias("task"), "item") for code, rows in rules]
-    union = each[0]
-    for more in each[1:]:
-        union = union.unionByName(more)
-    return union.groupBy("paper", "task").agg(F.count_distinct("item").alias("n"))
-
-
 def route(level: Column, kind: Column, attempt: Column) -> Column:
     """final_queue or outside_corpus; an unknown level or kind, or a dated kind without its attempt, is an error code."""
     wrong = F.when(~level.isin(*LEVELS) | level.isNull(), "error_level").when(~kind.isin(*UNDATED, *DATED) | kind.isNull(), "error_type").when(attempt.isNull() & kind.isin(*DATED), "error_attempt")

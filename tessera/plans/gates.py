@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators import gates as G
+from tessera.operators import readiness as R
 from tessera.operators.windows import latest
 from tessera.plans.registry import query
 from tessera.sources.tables import table
@@ -85,32 +86,110 @@ def n24_reviewed_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return new.select("o_orderkey", *(F.col(f"quality.{d}").alias(d) for d in ("metadata", "questions", "human_review")))
 
 
-@query(f"""WITH {ISSUES_SQL}, b AS (SELECT o_orderkey, unnest([CASE WHEN o_custkey % 9 = 0 THEN 'experimental_suggestion' END, CASE WHEN o_orderkey % 11 = 0 THEN 'stale_extraction_digest' END, CASE WHEN c_nationkey IS NULL OR c_nationkey > 20 THEN 'source_paper_scope' END,
-  CASE WHEN metadata <> 'passed' THEN 'extraction_metadata' END, CASE WHEN questions <> 'not_applicable' THEN 'extraction_questions' END, CASE WHEN answers <> 'not_applicable' THEN 'extraction_answers' END, CASE WHEN answers <> 'not_applicable' THEN 'extraction_pairing' END,
-  'extraction_ordering', 'extraction_marks_choices', 'extraction_readability', 'extraction_human_review']) AS code FROM q LEFT JOIN customer ON c_custkey = o_custkey)
-SELECT o_orderkey, string_agg(code, ',' ORDER BY code) AS blockers, o_orderkey % 11 = 0 AS stale, false AS eligible FROM b WHERE code IS NOT NULL GROUP BY o_orderkey""")
+@query("""WITH base AS (SELECT o.*, c.*, n.n_regionkey AS version, CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN c.c_nationkey + 1 ELSE c.c_nationkey END AS paper FROM orders o LEFT JOIN customer c ON c_custkey = o_custkey AND o_orderstatus <> 'P' LEFT JOIN customer h ON h.c_custkey = o_custkey LEFT JOIN nation n ON n_nationkey = h.c_nationkey),
+own AS (SELECT o_orderkey, o_orderpriority, o_orderstatus, version, unnest([CASE WHEN o_orderpriority = '5-LOW' THEN 'experimental_suggestion' END, CASE WHEN version NOT IN (0, 1, 2) THEN 'taxonomy_review' END, CASE WHEN o_totalprice BETWEEN 110000 AND 120000 THEN 'stale_taxonomy' END, CASE WHEN c_custkey IS NULL THEN 'extraction_missing' END]
+  || CASE WHEN c_custkey IS NULL THEN [] ELSE [CASE WHEN c_acctbal <= 0 OR c_mktsegment = 'BUILDING' THEN 'source_identity_or_provenance' END, CASE WHEN p.n_nationkey IS NULL OR paper <> c_nationkey OR p.n_regionkey = 3 THEN 'source_paper_scope' END, CASE WHEN o_totalprice > 250000 THEN 'stale_part_mapping' END,
+  CASE WHEN o_totalprice < 20000 OR c_acctbal >= 8000 OR c_mktsegment = 'MACHINERY' THEN 'stale_extraction' END, CASE WHEN c_acctbal >= 8000 THEN 'extraction_not_current' END, CASE WHEN o_totalprice BETWEEN 100000 AND 110000 THEN 'stale_extraction_digest' END, CASE WHEN o_totalprice BETWEEN 120000 AND 130000 THEN 'stale_input_hash' END,
+  CASE WHEN c_acctbal <= 0 THEN 'extraction_metadata' END, CASE WHEN c_mktsegment = 'FURNITURE' THEN 'extraction_answers' END, CASE WHEN c_mktsegment = 'HOUSEHOLD' THEN 'extraction_human_review' END] END) AS code FROM base LEFT JOIN nation p ON p.n_nationkey = paper),
+answers AS (SELECT o_orderkey, 'answer_source_identity_or_provenance' AS code FROM base b LEFT JOIN customer a ON a.c_custkey = b.o_custkey + 1 WHERE b.c_custkey IS NOT NULL AND coalesce(a.c_acctbal <= 0 OR a.c_mktsegment = 'BUILDING', true)),
+nodes AS (SELECT o_orderkey, unnest([CASE WHEN bool_or(l_returnflag = 'R') THEN 'stale_descriptor:' || l_partkey END, CASE WHEN p_size <= 5 THEN 'descriptor_or_source_review:' || l_partkey END, CASE WHEN bool_or(l_quantity > 45) THEN 'stale_source_evidence:' || l_partkey END]) AS code FROM base JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY o_orderkey, l_partkey, p_size),
+a AS (SELECT o_orderkey, code FROM own UNION ALL SELECT * FROM answers UNION ALL SELECT * FROM nodes)
+SELECT o_orderkey, coalesce(string_agg(DISTINCT code, ',' ORDER BY code), '') AS blockers, coalesce(bool_or(code LIKE 'stale%' OR code = 'extraction_missing'), false) AS stale, count(code) = 0 AS eligible FROM a GROUP BY 1""")
 def n33_readiness_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sorted distinct blockers of a revision, and whether its evidence is stale."""
-    rows = extractions(spark, sf_dir).join(table(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey"), "left")
-    rules = [("experimental_suggestion", F.col("o_custkey") % 9 == 0, False), ("source_paper_scope", F.coalesce(F.col("c_nationkey") > 20, F.lit(True)), False), ("stale_extraction_digest", F.col("o_orderkey") % 11 == 0, True)]
-    open_ = G.unready(F.col("quality"))
-    rules += [(f"extraction_{d}", F.array_contains(open_, f"extraction_{d}"), False) for d in G.DIMENSIONS]
-    return rows.select("o_orderkey", G.blockers(rules).alias("b")).select("o_orderkey", F.array_join("b.blockers", ",").alias("blockers"), "b.stale", "b.eligible")
+    """Every blocker of each order as a suggestion, and whether its evidence is stale.
+
+    Customers are documents with their extractions, nations papers, regions releases, parts nodes; an order's lines pin
+    its candidates.  Ranges of prices pin something that isn't so any more.
+    """
+    orders, customer, nation, region, part, line = (table(spark, sf_dir, n) for n in ("orders", "customer", "nation", "region", "part", "lineitem"))
+    price, balance, segment = F.col("o_totalprice"), F.col("c_acctbal"), F.col("c_mktsegment")
+    home = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_name", "c_nationkey", F.col("n_regionkey").alias("version_id"))
+    documents = customer.select(
+        F.col("c_custkey").alias("document_id"), F.md5("c_name").alias("sha256"), F.when(balance > 0, "confirmed").otherwise("pending").alias("catalog_status"), F.lit("final").alias("course_level"), F.lit("s2023").alias("scheme_id"),
+        F.when(segment != "BUILDING", "verified").otherwise("unverified").alias("provenance_status"), F.array("c_nationkey").alias("papers"), (segment == "MACHINERY").alias("superseded"), F.when(balance < 8000, F.col("c_custkey")).otherwise(-F.col("c_custkey")).alias("current_extraction_id"),
+    )
+    states = {"metadata": F.when(balance > 0, "passed").otherwise("pending"), "answers": F.when(segment == "FURNITURE", "concern").otherwise("passed"), "human_review": F.when(segment == "HOUSEHOLD", "pending").otherwise("passed")}
+    quality = F.struct(*(states.get(d, F.lit("not_applicable")).alias(d) for d in G.DIMENSIONS))
+    extractions = customer.select(F.col("c_custkey").alias("extraction_id"), F.col("c_custkey").alias("document_id"), F.when(balance < 8000, "current").otherwise("draft").alias("status"), F.md5(F.upper("c_name")).alias("digest"), F.lit(None).cast("long").alias("base_extraction_id"), quality.alias("quality"))
+    questions = orders.select(F.col("o_custkey").alias("extraction_id"), F.col("o_orderkey").alias("question_id"), F.col("o_orderpriority").alias("context"), F.array("o_orderstatus").alias("parts"))
+    papers = nation.select(F.col("n_nationkey").alias("paper_id"), F.lit("s2023").alias("scheme_id"), (F.col("n_regionkey") != 3).alias("is_current"))
+    releases = region.select(F.col("r_regionkey").alias("version_id"), F.when(F.col("r_regionkey") == 3, "draft").otherwise("approved").alias("status"), F.when(F.col("r_regionkey") != 4, "reviewer").alias("approved_by"), F.md5("r_name").alias("manifest_hash"))
+    nodes = part.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("version_id"), F.col("p_partkey").alias("node_id"), F.col("p_partkey").alias("descriptor_id"), F.md5("p_name").alias("descriptor_hash"), (F.col("p_size") > 5).alias("eligible"), F.md5("p_brand").alias("source_hash"))
+    pins = line.groupBy("l_orderkey", "l_partkey").agg(F.bool_or(F.col("l_returnflag") == "R").alias("old"), F.bool_or(F.col("l_quantity") > 45).alias("moved")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    pin = F.struct(F.col("l_partkey").alias("node_id"), F.col("l_partkey").alias("descriptor_id"), F.when(F.col("old"), "old").otherwise(F.md5("p_name")).alias("descriptor_hash"), F.when(F.col("moved"), "old").otherwise(F.md5("p_brand")).alias("source_hash"))
+    candidates = pins.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(pin)).alias("candidates"))
+    rows = orders.join(candidates, "o_orderkey", "left").join(home, F.col("o_custkey") == F.col("c_custkey"), "left").join(region, F.col("version_id") == F.col("r_regionkey"), "left")
+    extraction = F.when(F.col("o_orderstatus") == "P", -1).otherwise(F.col("o_custkey"))
+    context = F.when(price < 20000, "old").otherwise(F.col("o_orderpriority"))
+    digest = F.md5(F.upper("c_name"))
+    suggestions = rows.select(
+        F.col("o_orderkey").alias("suggestion_id"), F.col("o_orderkey").alias("question_id"), F.col("o_custkey").alias("document_id"), extraction.alias("extraction_id"), "version_id", (F.col("o_orderpriority") == "5-LOW").alias("experimental"),
+        F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", F.col("c_nationkey") + 1).otherwise(F.col("c_nationkey")).alias("paper_id"), F.array("o_custkey", F.col("o_custkey") + 1).alias("source_documents"), context.alias("context"),
+        F.when(price > 250000, F.array(F.lit("X"))).otherwise(F.array("o_orderstatus")).alias("parts"), F.when(price.between(100000, 110000), "old").otherwise(digest).alias("extraction_digest"), F.when(price.between(110000, 120000), "old").otherwise(F.md5("r_name")).alias("manifest_hash"), "candidates",
+        F.when(price.between(120000, 130000), "old").otherwise(R.input_hash(F.col("o_orderkey"), F.col("o_custkey"), F.md5("c_name"), extraction, digest, context, F.col("candidates"))).alias("input_hash"),
+    )
+    found = R.suggestion_blockers(suggestions, documents, extractions, questions, papers, releases, nodes)
+    return found.select(F.col("suggestion_id").alias("o_orderkey"), F.array_join("blockers", ",").alias("blockers"), "stale", "eligible")
+
+
+TASKS_SQL = """g AS (SELECT c_nationkey AS paper, c_mktsegment, min(c_acctbal) AS low, max(c_acctbal) AS high, count(*) AS n FROM customer GROUP BY ALL),
+cov AS (SELECT paper, unnest([CASE WHEN low < -900 THEN 'sources_not_acquired' END, CASE WHEN n < 8 THEN 'pairing_unreviewed' END, CASE WHEN high > 9900 THEN 'labels_incomplete' END, CASE WHEN high < 9000 THEN 'inventory_short' END]) AS blocker FROM g),
+docs AS (SELECT o.*, c_nationkey AS paper FROM orders o JOIN customer ON c_custkey = o_custkey WHERE o_orderpriority <> '5-LOW'),
+leaves AS (SELECT c_nationkey AS paper, c_custkey, c_acctbal FROM customer WHERE c_mktsegment <> 'AUTOMOBILE'),
+papers AS (SELECT n_nationkey AS paper FROM nation),
+t AS (SELECT NULL AS paper, 3 AS stage, 'attempt_binding_unreviewed' AS blocker, 1 AS affected
+UNION ALL SELECT n_nationkey, 2, 'source_manifest_gap', 1 FROM nation WHERE n_regionkey = 4
+UNION ALL SELECT paper, CASE blocker WHEN 'sources_not_acquired' THEN 4 WHEN 'pairing_unreviewed' THEN 5 WHEN 'labels_incomplete' THEN 6 ELSE 7 END, blocker, 1 FROM cov WHERE blocker IS NOT NULL
+UNION ALL SELECT s_nationkey, 1, 'textbook_source_unresolved', 1 FROM supplier WHERE s_acctbal <= 0 OR s_acctbal >= 9000 OR s_acctbal BETWEEN 4000 AND 5000
+UNION ALL SELECT paper, 1, 'textbook_source_missing', 0 FROM papers WHERE paper NOT IN (SELECT s_nationkey FROM supplier)
+UNION ALL SELECT p.paper, 2, 'taxonomy_review_pending', count(c_custkey) FILTER (WHERE c_acctbal <= 1000) FROM papers p LEFT JOIN leaves USING (paper) GROUP BY 1 HAVING count(c_custkey) = 0 OR count(c_custkey) FILTER (WHERE c_acctbal <= 1000) > 0
+UNION ALL SELECT paper, 4, 'question_source_missing', 0 FROM papers WHERE paper NOT IN (SELECT paper FROM docs)
+UNION ALL SELECT paper, 4, 'source_metadata_unreviewed', 1 FROM docs WHERE o_orderstatus <> 'F' OR o_totalprice <= 50000
+UNION ALL SELECT paper, 5, 'extraction_review_pending', CASE WHEN o_orderstatus = 'P' THEN 1 ELSE 2 END FROM docs WHERE o_orderstatus = 'P' OR o_orderpriority NOT IN ('1-URGENT', '2-HIGH')
+UNION ALL SELECT paper, 6, 'classification_unpublished', 0 FROM papers WHERE paper NOT IN (SELECT paper FROM docs WHERE o_orderstatus = 'F' AND o_orderpriority = '1-URGENT' AND o_totalprice > 300000)
+UNION ALL SELECT paper, 6, 'classification_disputed', 1 FROM docs WHERE o_orderstatus = 'O' AND o_totalprice > 400000
+UNION ALL SELECT paper, 7, 'expected_inventory_unknown', 0 FROM papers WHERE paper NOT IN (SELECT c_nationkey FROM customer)
+UNION ALL SELECT paper, 8, 'official_prior_unreviewed', count(*) FROM leaves WHERE c_acctbal > 9000 GROUP BY 1
+UNION ALL SELECT NULL, 8, 'scores_unavailable_or_stale', 0)"""
+
+
+def readiness_state(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """Nations as papers, customers as nodes, orders as documents, suppliers as textbooks, a region as the release and its run."""
+    customer, nation, region, supplier, orders = (table(spark, sf_dir, n) for n in ("customer", "nation", "region", "supplier", "orders"))
+    balance = F.col("c_acctbal")
+    of_paper = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).where("o_orderpriority <> '5-LOW'").withColumn("paper_id", F.col("c_nationkey"))
+    one = region.where("r_regionkey = 1")
+    ledger = G.codes([("sources_not_acquired", F.min(balance) < -900), ("pairing_unreviewed", F.count("*") < 8), ("labels_incomplete", F.max(balance) > 9900), ("inventory_short", F.max(balance) < 9000)])
+    return {
+        "papers": nation.select(F.col("n_nationkey").alias("paper_id")),
+        "bindings": one.select(F.lit("reviewed").alias("status"), F.lit(None).cast("string").alias("reviewed_by")),
+        "releases": one.select(F.col("r_regionkey").alias("version_id"), F.lit("approved").alias("status")),
+        "gaps": nation.where("n_regionkey = 4").select(F.col("n_nationkey").alias("paper_id"), F.lit(2).alias("stage")),
+        "coverage": customer.groupBy(F.col("c_nationkey").alias("paper_id"), F.col("c_mktsegment").alias("source_family")).agg(ledger.alias("blockers")),
+        "artifacts": supplier.select(F.col("s_nationkey").alias("paper_id"), F.when(F.col("s_acctbal") > 0, "verified").otherwise("missing").alias("availability"), F.when(F.col("s_acctbal") < 9000, "verified").otherwise("unknown").alias("applicability"), F.col("s_acctbal").between(4000, 5000).alias("fallback")),
+        "members": customer.select(F.col("c_nationkey").alias("paper_id"), F.col("c_custkey").alias("node_id"), F.when(F.col("c_mktsegment") == "AUTOMOBILE", "topic").otherwise("subtopic").alias("level"), (balance > 1000).alias("eligible")),
+        "documents": orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(
+            F.col("o_orderkey").alias("document_id"), F.array("c_nationkey").alias("papers"), F.col("c_mktsegment").alias("family"), F.when(F.col("o_orderstatus") == "F", "confirmed").otherwise("pending").alias("catalog_status"), F.when(F.col("o_totalprice") > 50000, "verified").otherwise("pending").alias("provenance_status"),
+            F.when(F.col("o_orderstatus") != "P", F.col("o_orderpriority").isin("1-URGENT", "2-HIGH")).alias("ready"), (F.col("o_orderpriority") == "5-LOW").alias("superseded"),
+        ),
+        "published": of_paper.where("o_orderstatus = 'F' and o_orderpriority = '1-URGENT' and o_totalprice > 300000").select("paper_id"),
+        "disputes": of_paper.where("o_totalprice > 400000").select("paper_id", F.when(F.col("o_orderstatus") == "O", "open").otherwise("closed").alias("status")),
+        "priors": customer.select(F.col("c_custkey").alias("node_id"), F.when(balance <= 9000, "reviewer").alias("reviewed_by")),
+        "runs": one.select(F.lit(True).alias("stale"), F.lit(1).alias("corpus_generation")),
+    }
+
+
+@query(f"WITH {TASKS_SQL} SELECT CAST(paper AS VARCHAR) AS paper_id, stage, blocker, count(*) AS tasks, CAST(sum(affected) AS BIGINT) AS affected FROM t GROUP BY ALL")
+def a32_readiness_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What keeps each paper from being ready, over all stages."""
+    return R.readiness_tasks(readiness_state(spark, sf_dir), 1)
 
 
-@query("""SELECT p_type AS paper, 'unscored' AS task, count(DISTINCT p_partkey) AS n FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey = p_partkey) GROUP BY 1
-UNION ALL SELECT p_type, 'disputed', count(DISTINCT l_orderkey) FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag = 'R' AND l_linestatus <> 'O' GROUP BY 1
-UNION ALL SELECT p_type, 'incomplete', count(DISTINCT o_orderkey) FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey WHERE o_orderstatus = 'P' GROUP BY 1""")
-def a32_readiness_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What keeps each paper from being ready: items by rule."""
-    part, line, orders = (table(spark, sf_dir, n) for n in ("part", "lineitem", "orders"))
-    tagged = line.join(part.select("p_partkey", F.col("p_type").alias("paper")), F.col("l_partkey") == F.col("p_partkey"))
-    open_ = orders.where("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return G.tasks([
-        ("unscored", part.join(line, F.col("l_partkey") == F.col("p_partkey"), "left_anti").select(F.col("p_type").alias("paper"), F.col("p_partkey").alias("item"))),
-        ("disputed", tagged.where("l_returnflag = 'R' and l_linestatus != 'O'").select("paper", F.col("l_orderkey").alias("item"))),
-        ("incomplete", tagged.join(open_, "l_orderkey", "left_semi").select("paper", F.col("l_orderkey").alias("item"))),
-    ])
+@query(f"WITH {TASKS_SQL} SELECT CAST(p.paper AS VARCHAR) AS paper_id, (SELECT count(*) FROM t WHERE paper IS NULL) + (SELECT count(*) FROM t WHERE t.paper = p.paper) AS blocker_count FROM papers p")
+def a32_blocker_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks of each paper, those of every paper among them."""
+    state = readiness_state(spark, sf_dir)
+    return R.blocker_counts(state["papers"], R.readiness_tasks(state, 1))
 
 
 KINDS = ("model_question", "rtp", "question_paper", "leaflet", "case_scenarios")
