@@ -75,17 +75,21 @@ def route(level: Column, kind: Column, attempt: Column) -> Column:
     return F.coalesce(wrong, F.when(level == "Final", "final_queue").otherwise("outside_corpus"))
 
 
-def editions(expected: DataFrame, sections: DataFrame, target: str, fallback: str = "2026-01") -> DataFrame:
+def editions(expected: DataFrame, sections: DataFrame, target: str, fallback: str = "2026-01", strict: bool = True) -> DataFrame:
     """(section_key, section_id, is_fallback, reason) of every expected section.
 
     ``sections``: section_key, section_id, verified, attempts (array).  Verified material of the target attempt comes
-    first, then that of ``fallback``; several of the better kind are ambiguous and an error.
+    first, then that of ``fallback``; several of the better kind are ambiguous: an error, or where not ``strict`` a reason instead of a section.
     """
     rows = sections.where("verified").select("section_key", "section_id", F.when(F.array_contains("attempts", target), 0).when(F.array_contains("attempts", fallback), 1).alias("rank")).where("rank is not null")
     best = rows.groupBy("section_key").agg(F.min("rank").alias("rank"), F.min(F.struct("rank", "section_id"))["section_id"].alias("section_id"), F.count_if(F.col("rank") == 0).alias("n0"), F.count_if(F.col("rank") == 1).alias("n1"))
-    clear = F.when(F.when(F.col("rank") == 0, F.col("n0")).otherwise(F.col("n1")) > 1, F.raise_error(F.concat(F.lit("ambiguous edition of "), "section_key")).cast("int")).otherwise(F.col("rank"))
-    found = expected.join(best.select("section_key", "section_id", clear.alias("rank")), "section_key", "left")
-    return found.select("section_key", "section_id", F.coalesce(F.col("rank") == 1, F.lit(False)).alias("is_fallback"), F.when(F.col("section_id").isNull(), "no verified section").alias("reason"))
+    several = F.when(F.col("rank") == 0, F.col("n0")).otherwise(F.col("n1")) > 1
+    if strict:
+        best = best.withColumn("rank", F.when(several, F.raise_error(F.concat(F.lit("ambiguous edition of "), "section_key")).cast("int")).otherwise(F.col("rank")))
+    best = best.select("section_key", F.when(~several, F.col("section_id")).alias("section_id"), "rank", several.alias("several"))
+    found = expected.join(best, "section_key", "left")
+    reason = F.when(F.col("several"), "ambiguous edition").when(F.col("section_id").isNull(), "no verified section")
+    return found.select("section_key", "section_id", F.coalesce(F.col("rank") == 1, F.lit(False)).alias("is_fallback"), reason.alias("reason"))
 
 
 def first_rule(text: Column, bold: Column, x: Column, rules: list[tuple[str, str, bool, float | None, float | None]]) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions.extraction import draft_candidates
 from tessera.functions import text as T
 from tessera.operators import compare as C
 from tessera.operators import scoring as S
@@ -78,12 +79,26 @@ def n09_load_plan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").groupBy(F.col("p_type").alias("paper")).agg(F.count_distinct("p_brand").alias("chapters"), F.count_distinct(F.concat("p_brand", "p_name")).alias("topics"), F.count("*").alias("subtopics"))
 
 
-@query("SELECT p_partkey AS id, p_type || '/' || p_brand || '/' || p_partkey AS path, md5(p_type || '/' || p_brand || '/' || p_partkey) AS draft FROM part")
+DRAFTS_URL = "https://example.org/module.pdf"
+
+
+@query(f"""WITH p AS (SELECT p_type AS t, p_brand AS b, p_partkey, p_name, p_size > 25 AS has FROM part),
+leaf AS (SELECT 'part:' || p_partkey AS id, [t, b, p_name] AS titles, ['chapter::' || t, 'topic:' || right(b, 2) || ':' || b, 'subtopic:' || p_partkey || ':' || p_name] AS labels FROM p WHERE has
+  UNION ALL SELECT 'topic:' || t || '|' || b, [t, b], ['chapter::' || t, 'topic:' || right(b, 2) || ':' || b] FROM p GROUP BY t, b HAVING NOT bool_or(has)),
+h AS (SELECT id, titles, list_transform(range(1, len(labels) + 1), lambda i: sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('{DRAFTS_URL}#' || array_to_string(labels[1:i], '/')))) AS hs FROM leaf),
+u AS (SELECT id, titles, list_transform(hs, lambda x: concat_ws('-', x[1:8], x[9:12], '5' || x[14:16], translate(x[17], '0123456789abcdef', '89ab89ab89ab89ab') || x[18:20], x[21:32])) AS us FROM h)
+SELECT id, us[len(us)] AS node_id, array_to_string(us, ',') AS path, array_to_string(titles, ' / ') AS scope FROM u""")
 def n12_draft_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Childless nodes with their chain of titles and an id drawn from it (MD5 here, where SQL has no named UUID)."""
+    """Childless topics and subtopics of an index of types, brands and larger parts, with ids drawn from their paths."""
     part = table(spark, sf_dir, "part")
-    path = F.concat_ws("/", "p_type", "p_brand", F.col("p_partkey").cast("string"))
-    return part.select(F.col("p_partkey").alias("id"), path.alias("path"), F.md5(path).alias("draft"))
+    topic = F.concat(F.lit("topic:"), "p_type", F.lit("|"), "p_brand")
+    chapter = F.concat(F.lit("chapter:"), "p_type")
+    none = F.lit(None).cast("string")
+    chapters = part.select(chapter.alias("id"), none.alias("parent_id"), F.lit("chapter").alias("kind"), none.alias("number"), F.col("p_type").alias("title")).distinct()
+    topics = part.select(topic.alias("id"), chapter.alias("parent_id"), F.lit("topic").alias("kind"), F.substring("p_brand", -2, 2).alias("number"), F.col("p_brand").alias("title")).distinct()
+    parts = part.where("p_size > 25").select(F.concat(F.lit("part:"), "p_partkey").alias("id"), topic.alias("parent_id"), F.lit("subtopic").alias("kind"), F.col("p_partkey").cast("string").alias("number"), F.col("p_name").alias("title"))
+    found = draft_candidates(chapters.unionByName(topics).unionByName(parts), DRAFTS_URL)
+    return found.select("id", "node_id", F.array_join(F.transform("path", lambda x: x["id"]), ",").alias("path"), "scope")
 
 
 @query("""WITH d AS (SELECT l_partkey, arg_max(l_orderkey, (l_shipdate, l_orderkey, l_linenumber)) AS k FROM lineitem GROUP BY 1), r AS (SELECT l_partkey, count(DISTINCT l_suppkey) AS n FROM lineitem GROUP BY 1)
