@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessera.plans import backups, curation, evidence, gates, joins, listings, pages, papers, parts, quality, registry, scoring, search, serving, sets, streams, texts, trees, validation, windows  # noqa: F401
+from tessera.plans import backups, curation, evidence, gates, joins, listings, pages, papers, parts, quality, registry, results, scoring, search, serving, sets, streams, texts, trees, validation, windows  # noqa: F401
 
 
 def queries() -> dict:
