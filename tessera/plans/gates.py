@@ -115,10 +115,10 @@ def n33_readiness_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
     papers = nation.select(F.col("n_nationkey").alias("paper_id"), F.lit("s2023").alias("scheme_id"), (F.col("n_regionkey") != 3).alias("is_current"))
     releases = region.select(F.col("r_regionkey").alias("version_id"), F.when(F.col("r_regionkey") == 3, "draft").otherwise("approved").alias("status"), F.when(F.col("r_regionkey") != 4, "reviewer").alias("approved_by"), F.md5("r_name").alias("manifest_hash"))
     nodes = part.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("version_id"), F.col("p_partkey").alias("node_id"), F.col("p_partkey").alias("descriptor_id"), F.md5("p_name").alias("descriptor_hash"), (F.col("p_size") > 5).alias("eligible"), F.md5("p_brand").alias("source_hash"))
-    pins = line.groupBy("l_orderkey", "l_partkey").agg(F.bool_or(F.col("l_returnflag") == "R").alias("old"), F.bool_or(F.col("l_quantity") > 45).alias("moved")).join(part, F.col("l_partkey") == F.col("p_partkey"))
+    pins = line.groupBy("l_orderkey", "l_partkey").agg(F.bool_or(F.col("l_returnflag") == "R").alias("old"), F.bool_or(F.col("l_quantity") > 45).alias("moved")).join(part.hint("merge"), F.col("l_partkey") == F.col("p_partkey"))
     pin = F.struct(F.col("l_partkey").alias("node_id"), F.col("l_partkey").alias("descriptor_id"), F.when(F.col("old"), "old").otherwise(F.md5("p_name")).alias("descriptor_hash"), F.when(F.col("moved"), "old").otherwise(F.md5("p_brand")).alias("source_hash"))
     candidates = pins.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(pin)).alias("candidates"))
-    rows = orders.join(candidates, "o_orderkey", "left").join(home, F.col("o_custkey") == F.col("c_custkey"), "left").join(region, F.col("version_id") == F.col("r_regionkey"), "left")
+    rows = orders.join(candidates.hint("merge"), "o_orderkey", "left").join(home.hint("merge"), F.col("o_custkey") == F.col("c_custkey"), "left").join(region, F.col("version_id") == F.col("r_regionkey"), "left")
     extraction = F.when(F.col("o_orderstatus") == "P", -1).otherwise(F.col("o_custkey"))
     context = F.when(price < 20000, "old").otherwise(F.col("o_orderpriority"))
     digest = F.md5(F.upper("c_name"))
