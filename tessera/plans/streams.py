@@ -31,8 +31,11 @@ def s01_generation_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 PARTS = 4
 
 
-def arrivals(spark: SparkSession, rows: DataFrame, path: str) -> timedelta:
-    """Write rows as four arrivals by time, a tenth of each one arrival late and another tenth twice; the delay that admits them."""
+def arrivals(spark: SparkSession, rows: DataFrame, path: str) -> tuple[timedelta, int]:
+    """Write rows as four arrivals by time, a tenth of each one arrival late and another tenth twice.
+
+    The delay that admits them, and the files of a batch: as many batches as arrivals, whatever files the rows came in.
+    """
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     first, last = rows.agg(F.min(at), F.max(at)).first() or (None, None)
     first, last = first or 0, last or 0
@@ -42,7 +45,8 @@ def arrivals(spark: SparkSession, rows: DataFrame, path: str) -> timedelta:
     timed = rows.withColumn("turns", F.when(bucket == 0, F.array(late)).when(bucket == 1, F.array(turn, late)).otherwise(F.array(turn)))
     for part in range(PARTS):
         timed.where(F.array_contains("turns", part)).drop("turns").write.mode("append").parquet(path)
-    return timedelta(seconds=(last - first) // 2_000_000 + 3600)
+    files = len(spark.read.schema(rows.schema).parquet(path).inputFiles())
+    return timedelta(seconds=(last - first) // 2_000_000 + 3600), max(1, -(-files // PARTS))
 
 
 @query("""WITH u AS (SELECT user_id, max((ts, event_id)) AS b FROM events WHERE event_type = 'error' GROUP BY 1)
@@ -50,8 +54,8 @@ SELECT user_id, count(*) FILTER (WHERE event_type = 'purchase' AND (b IS NULL OR
 def w09_stateful_streak(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Purchases since a user's last error, by keyed state over late and repeated arrivals."""
     path, rows = shared(spark), table(spark, sf_dir, "events").select("user_id", "ts", "event_id", F.col("event_type").alias("outcome"))
-    delay = arrivals(spark, rows, f"{path}/in")
-    stream = feed.source(spark, f"{path}/in", rows.schema)
+    delay, files = arrivals(spark, rows, f"{path}/in")
+    stream = feed.source(spark, f"{path}/in", rows.schema, files)
     state.streaks(stream, ["user_id"], "purchase", "error", delay, f"{path}/out", f"{path}/state").awaitTermination()
     return state.current_streaks(spark, f"{path}/out", ["user_id"])
 
@@ -66,7 +70,7 @@ def s02_leases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leases that ended, tries that are due and jobs given up, up to the watermark of late and repeated arrivals."""
     kind = F.when(F.col("event_type") == "signup", "claim").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "fail").otherwise("beat")
     path, rows = shared(spark), table(spark, sf_dir, "events").select("user_id", "ts", "event_id", kind.alias("kind"))
-    delay = arrivals(spark, rows, f"{path}/in")
-    stream = feed.source(spark, f"{path}/in", rows.schema)
+    delay, files = arrivals(spark, rows, f"{path}/in")
+    stream = feed.source(spark, f"{path}/in", rows.schema, files)
     state.leases(stream, ["user_id"], delay, f"{path}/out", f"{path}/state", timedelta(hours=6), timedelta(hours=12)).awaitTermination()
     return spark.read.parquet(f"{path}/out").select("user_id", "transition", F.date_format(F.timestamp_micros("at"), "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("due"))

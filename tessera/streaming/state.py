@@ -34,12 +34,12 @@ class Streak(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.sums = handle.getValueState("sums", "settled long, bad_at long, bad_id long, mark long")
-        self.recent = handle.getMapState("recent", PLACE, "seen boolean")
+        self.recent = handle.getListState("recent", PLACE)  # read and put whole: a call a key, not one a row
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        settled, bad_at, bad_id, mark = self.sums.get() if self.sums.exists() else (0, None, None, None)
+        settled, bad_at, bad_id, mark = self.sums.get() or (0, None, None, None)
         bad = None if bad_at is None else (bad_at, bad_id)
-        places = {tuple(k) for k, _ in self.recent.iterator()}
+        places = {tuple(p) for p in self.recent.get()}
         held = set(places)
         for part in rows:
             for at, row_id, outcome in zip(part["place_at"].tolist(), part["place_id"].tolist(), part["outcome"].tolist()):
@@ -53,10 +53,10 @@ class Streak(StatefulProcessor):
         if mark is not None and now > mark:  # rows up to the mark of an earlier batch are late from now on
             done = {p for p in places if p[0] <= mark}
             settled, places = settled + len(done), places - done
-        for p in held - places:
-            self.recent.removeKey(p)
-        for p in places - held:
-            self.recent.updateValue(p, (True,))
+        if not places and held:
+            self.recent.clear()
+        elif places != held:
+            self.recent.put(sorted(places))
         self.sums.update((settled, bad and bad[0], bad and bad[1], now))
         yield pd.DataFrame({**{n: [v] for n, v in zip(self.key_names, key)}, "k": [settled + len(places)]})
 
@@ -78,22 +78,24 @@ class Lease(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.current = handle.getValueState("current", "kind string, due long, failures long")
-        self.waiting = handle.getMapState("waiting", PLACE, "kind string")
+        self.waiting = handle.getListState("waiting", f"{PLACE}, kind string")  # appended and read in one call, repeats included
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
         for part in rows:
-            for at, row_id, kind in zip(part["place_at"].tolist(), part["place_id"].tolist(), part["kind"].tolist()):
-                self.waiting.updateValue((at, row_id), (kind,))
-                first = at if first is None else min(first, at)
+            came = list(zip(part["place_at"].tolist(), part["place_id"].tolist(), part["kind"].tolist()))
+            if came:
+                self.waiting.appendList(came)
+                first = min(c[0] for c in came) if first is None else min(first, min(c[0] for c in came))
         if first is not None:
             self.handle.registerTimer(first // 1000)
-        yield self._out(key, [])
+        yield from ()  # rows come out of timers only
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now, out = timerValues.getCurrentWatermarkInMs() * 1000, []
-        kind, due, failures = self.current.get() if self.current.exists() else (None, None, 0)
-        waiting = sorted((tuple(k), v[0]) for k, v in self.waiting.iterator())
+        kind, due, failures = self.current.get() or (None, None, 0)
+        held = {(at, row_id): k for at, row_id, k in self.waiting.get()}  # a repeated row is one
+        waiting = sorted(held.items())
         left = [p for p, _ in waiting if p[0] > now]
         for place, k in waiting[: len(waiting) - len(left)]:
             if due is not None and due < place[0]:
@@ -109,7 +111,11 @@ class Lease(StatefulProcessor):
                     kind, due = "retry", place[0] + self.retry
                 else:
                     out.append(("gave_up", place[0]))
-            self.waiting.removeKey(place)
+        if left:
+            if len(left) < len(waiting):
+                self.waiting.put([(*p, held[p]) for p in left])
+        elif held:
+            self.waiting.clear()
         if due is not None and due <= now:
             out.append((kind, due))
             kind, due = None, None
@@ -117,7 +123,8 @@ class Lease(StatefulProcessor):
         follow = [t for t in (left[0][0] if left else None, due) if t is not None]
         if follow:
             self.handle.registerTimer(min(follow) // 1000)
-        yield self._out(key, out)
+        if out:
+            yield self._out(key, out)
 
     def _out(self, key, rows: list[tuple[str, int]]) -> pd.DataFrame:
         frame = pd.DataFrame({n: [v] * len(rows) for n, v in zip(self.key_names, key)})

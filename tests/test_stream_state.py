@@ -56,3 +56,25 @@ def test_no_rows(spark, tmp_path):
     stream = written(spark, f"{tmp_path}/in", [[]], SCHEMA)
     state.streaks(stream, ["user", "leaf"], "ok", "bad", timedelta(minutes=1), f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
     assert state.current_streaks(spark, f"{tmp_path}/out", ["user", "leaf"]).count() == 0
+
+
+def test_batches_do_not_grow_with_files(spark, tmp_path):
+    from tessera.plans import streams
+
+    rows = spark.range(0, 400, 1, 20).selectExpr("timestamp_seconds(id * 60) as ts", "id as event_id", "id % 3 as user_id")
+    delay, files = streams.arrivals(spark, rows, f"{tmp_path}/in")
+    written = len(spark.read.parquet(f"{tmp_path}/in").inputFiles())
+    assert written > 2 * streams.PARTS and written <= files * streams.PARTS
+    assert delay.total_seconds() == 399 * 60 // 2 + 3600
+
+
+def test_many_files_a_batch_give_the_same_streaks(spark, tmp_path):
+    from tessera.plans import streams
+    from tessera.streaming import feed, state
+
+    rows = spark.range(0, 200, 1, 8).selectExpr("timestamp_seconds(id * 60) as ts", "id as event_id", "id % 3 as user_id", "if(id % 17 = 0, 'bad', 'good') as outcome")
+    delay, files = streams.arrivals(spark, rows, f"{tmp_path}/in")
+    state.streaks(feed.source(spark, f"{tmp_path}/in", rows.schema, files), ["user_id"], "good", "bad", delay, f"{tmp_path}/out", f"{tmp_path}/state").awaitTermination()
+    want = {u: sum(1 for i in range(200) if i % 3 == u and i % 17 and i > max(b for b in range(0, 200, 17) if b % 3 == u)) for u in range(3)}
+    assert {r["user_id"]: r["k"] for r in state.current_streaks(spark, f"{tmp_path}/out", ["user_id"]).collect()} == want
+    assert len(list((tmp_path / "out").glob("generation=*"))) <= streams.PARTS + 2
