@@ -84,7 +84,9 @@ def located(lines: DataFrame, profile: Profile, doc: str = "doc") -> DataFrame:
         earlier = Window.partitionBy(doc, "__base").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
         again = F.when(c("__new") & (F.count(F.when(c("__new"), 1)).over(earlier) > 0), F.when(c("pending"), ".alt").otherwise(".repeat"))
         rows = rows.withColumn("__again", again)
-        nth = F.count("*").over(Window.partitionBy(doc, "__base", "__again").orderBy("n").rowsBetween(Window.unboundedPreceding, 0)) + 1
+        # counted over the same partitions and order as the two windows before, so that lines aren't sorted once more
+        sofar = Window.partitionBy(doc, "__base").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        nth = F.when(c("__again") == ".alt", F.count(F.when(c("__again") == ".alt", 1)).over(sofar)).otherwise(F.count(F.when(c("__again") == ".repeat", 1)).over(sofar)) + 1
         path = F.when(of, F.concat("__base", F.when(c("__again").isNotNull(), F.concat("__again", nth.cast("string"))).otherwise("")))
         return rows.withColumn(name, path).withColumn("creates", F.when(of, c("__new")).otherwise(c("creates") if "creates" in rows.columns else F.lit(None).cast("boolean"))).drop("__base", "__new", "__again")
 
