@@ -306,3 +306,17 @@ def test_the_core_stands_without_the_optional_subpackage(tmp_path):
             os.remove(copy / "corpus_pipeline.py") if (copy / "corpus_pipeline.py").exists() else None
         out = subprocess.run([sys.executable, "-c", ask], cwd=copy, capture_output=True, text=True, check=True).stdout.split()
         assert int(out[0]) > 150 and int(out[1]) > 150 and out[2] == "False"
+
+
+def test_mock_score_adds_in_order_of_events(spark, tmp_path):
+    from tessera.plans import listings
+
+    values = [120.2, 32.07, 56.28, 24.5, 106.95, 51.33, 12.8, 48.38, 9.64, 24.76, 100.79, 26.91, 17.68, 75.41]
+    rows = spark.createDataFrame([(i, 1, "purchase", v) for i, v in enumerate(values)], "event_id long, user_id long, event_type string, value double").withColumn("ts", F.timestamp_seconds("event_id"))
+    total = 0.0
+    for v in values:
+        total += v
+    for way, dealt in {"one": rows.coalesce(1), "back": rows.coalesce(1).sortWithinPartitions(F.desc("event_id")), "many": rows.repartition(5)}.items():
+        dealt.write.parquet(f"{tmp_path}/{way}/events.parquet")
+        got = listings.m16_mock_score(spark, f"{tmp_path}/{way}").first()
+        assert (got["tries"], got["pct"]) == (14, 50.5), (way, total)
