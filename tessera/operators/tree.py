@@ -46,12 +46,14 @@ def preorder_keys(closed: DataFrame, nodes: DataFrame) -> DataFrame:
 def chased(pointers: DataFrame, most: int = 40) -> DataFrame:
     """(id, origin, hops): pointers (id, origin, hops; at itself where a chain ends) followed to the end, in doubling steps.
 
-    Stops when no pointer moves; chains of more than 2^most hops, or a cycle, raise CycleError.
+    Stops when no pointer moves; chains of more than 2^most hops, or a cycle, raise CycleError.  Every round is written,
+    so that it is one join and no round before it runs again.
     """
-    now = pointers
+    now = written(pointers.select("id", "origin", "hops"))
     for _ in range(most):
         step = now.select(F.col("id").alias("origin"), F.col("origin").alias("next"), F.col("hops").alias("more"))
         further = now.join(step, "origin", "left").select("id", F.coalesce("next", "origin").alias("origin"), F.when(F.col("origin") == F.col("id"), F.lit(0)).otherwise(F.coalesce("more", F.lit(0))).alias("more"), "hops")
+        further = written(further)
         if further.where("more > 0").isEmpty():
             return now
         now = further.select("id", "origin", (F.col("hops") + F.col("more")).alias("hops"))

@@ -320,3 +320,9 @@ def test_mock_score_adds_in_order_of_events(spark, tmp_path):
         dealt.write.parquet(f"{tmp_path}/{way}/events.parquet")
         got = listings.m16_mock_score(spark, f"{tmp_path}/{way}").first()
         assert (got["tries"], got["pct"]) == (14, 50.5), (way, total)
+
+
+def test_chased_rounds_do_not_run_again(spark):
+    chain = spark.range(20).selectExpr("id", "greatest(id - 1, 0) as origin", "cast(id > 0 as int) as hops")
+    plan = tree.chased(chain)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Range" not in plan
