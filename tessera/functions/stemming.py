@@ -33,6 +33,8 @@ ENDINGS = ("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "me
 _VOWEL, _OTHER = "[aeiouy]", "[^aeiouy]"
 #: A short syllable at the end: its vowel stands between others (the last not w, x or Y), or begins the word.
 _SHORT = f"({_OTHER}{_VOWEL}[^aeiouywxY]|^{_VOWEL}{_OTHER})$"
+#: A word that ends otherwise has no suffix of any step and stays as it is.
+_ENDS = "([eilsy]|ed|ing|er|ator|ion|ism|ic|[ae]nt)$"
 
 
 def _suffix(word: Column, suffixes: tuple[str, ...] | Mapping[str, str]) -> Column:
@@ -125,4 +127,4 @@ def stem(word: Column) -> Column:
     special = F.lit(None).cast("string")
     for one, its in EXCEPTIONS.items():
         special = F.when(word == one, its).otherwise(special)
-    return F.coalesce(special, F.when(F.length(word) <= 2, word), regular)
+    return F.coalesce(special, F.when((F.length(word) <= 2) | ~word.rlike(_ENDS), word), regular)

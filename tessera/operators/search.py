@@ -1,8 +1,8 @@
 """Full-text search by a positional inverted index: English stems, stop words, all of, any of, none of, phrases.
 
-The index has a row per word and block of documents: the documents in ascending order and the word's positions in each,
-in a folder per bucket of stems, ordered by stem.  A query reads the rows of its own stems, joins nothing to texts, and
-decides each document from the positions that it found.
+The index has a row per word and block of documents: the word's places, ascending, each a document and a position in one
+number, in a folder per bucket of stems, ordered by stem.  A query reads the rows of its own stems, joins nothing to texts,
+and decides each document from the positions that it found.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tessera.functions.stemming import STOP_WORDS, stem
 
 #: Ids of a block of documents, and folders of stems.
-BLOCK, BUCKETS = 1 << 14, 64
+BLOCK, BUCKETS = 1 << 16, 64
 #: Storage of the index: sorted integers are delta-coded by the file format.
 OPTIONS = {"parquet.writer.version": "v2", "parquet.enable.dictionary": "false", "compression": "zstd"}
 _WORD = r"[\p{L}\p{N}]+"
@@ -29,22 +29,36 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(f"({_WORD})"), F.lit(1))
 
 
+def place(offset: Column, position: Column) -> Column:
+    """A document's distance from its block's first id, and a position in the document, as one number that sorts by both."""
+    return F.shiftleft(offset.cast("long"), 32) + position
+
+
+def offset_of(place: Column) -> Column:
+    return F.shiftright(place, 32)
+
+
+def position_of(place: Column) -> Column:
+    return place.bitwiseAND(F.lit((1 << 32) - 1))
+
+
 def index(docs: DataFrame, id_col: str, text_col: str, block: int = BLOCK, buckets: int = BUCKETS) -> DataFrame:
-    """bucket, stem, word, block, docs and positions (one array per document), to be stored by bucket.
+    """bucket, stem, word, block (its first id) and places, to be stored by bucket.
 
     Ids are whole numbers; rows that repeat an id are one document with the positions of all of them.  Stop words are
-    left out, but count as positions.  Every block has a row of the stem '' with all its documents, those without words
-    or text too, which queries of nothing but exclusions start from.
+    left out, but count as positions.  Every block has a row of the stem '' with a place 0 of all its documents, those
+    without words or text too, which queries of nothing but exclusions start from.
     """
-    given = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).withColumn("block", F.floor(F.col("doc") / block))
-    found = given.select("doc", "block", F.posexplode(words(F.col("text"))).alias("at", "word")).where(~F.col("word").isin(*STOP_WORDS))
-    # one shuffle by word and block: both aggregations run where it puts the rows
-    of_docs = found.repartition("word", "block").groupBy("word", "block", "doc").agg(F.sort_array(F.collect_list("at")).alias("at"))
-    lists = of_docs.groupBy("word", "block").agg(F.sort_array(F.collect_list(F.struct("doc", "at"))).alias("p"))
-    lists = lists.select(stem(F.col("word")).alias("stem"), "word", "block", F.col("p.doc").alias("docs"), F.col("p.at").alias("positions"))
-    every = given.groupBy("block").agg(F.sort_array(F.collect_set("doc")).alias("docs"))
-    every = every.select(F.lit("").alias("stem"), F.lit("").alias("word"), "block", "docs", F.lit(None).cast("array<array<int>>").alias("positions"))
-    return _bucketed(lists.unionByName(every), buckets)
+    doc = F.col(id_col).cast("long")
+    given = docs.where(F.col(id_col).isNotNull()).select((F.floor(doc / block) * block).alias("block"), doc.alias("doc"), F.col(text_col).alias("text"))
+    given = given.select("block", (F.col("doc") - F.col("block")).alias("offset"), "text")
+    # outer, as the filter that Spark infers for an inner one splits the text a second time; its null words aren't kept
+    found = given.select("block", "offset", F.posexplode_outer(words(F.col("text"))).alias("at", "word")).where(~F.col("word").isin(*STOP_WORDS))
+    # one aggregation, combined before its shuffle: what is shuffled are lists, not occurrences
+    lists = found.groupBy("word", "block").agg(F.sort_array(F.collect_list(place(F.col("offset"), F.col("at")))).alias("places"))
+    every = given.groupBy("block").agg(F.sort_array(F.collect_set(place(F.col("offset"), F.lit(0)))).alias("places"))
+    every = every.select(F.lit("").alias("stem"), F.lit("").alias("word"), "block", "places")
+    return _bucketed(lists.select(stem(F.col("word")).alias("stem"), "word", "block", "places").unionByName(every), buckets)
 
 
 def _bucketed(rows: DataFrame, buckets: int) -> DataFrame:
@@ -90,8 +104,8 @@ def _before(distance: int, position: Column) -> Column:
 
 
 def _holds(literal: Literal) -> Column:
-    """Whether the document's hits (stem, positions) have the literal."""
-    of = lambda stem: F.flatten(F.transform(F.filter("hits", lambda h: h["stem"] == stem), lambda h: h["positions"]))
+    """Whether the document's hits (stem, position) have the literal."""
+    of = lambda stem: F.transform(F.filter("hits", lambda h: h["stem"] == stem), lambda h: h["position"])
     (first, _), *rest = literal.stems
     if not rest:
         out = F.exists("hits", lambda h: h["stem"] == first)
@@ -110,8 +124,11 @@ def search(idx: DataFrame, q: str, buckets: int = BUCKETS) -> DataFrame:
     if any(all(literal.negated for literal in group) for group in groups):
         stems.add("")
     asked = idx.where(F.col("bucket").isin(*{zlib.crc32(s.encode()) % buckets for s in stems}) & F.col("stem").isin(*stems)) if stems else idx.where("false")
-    hits = asked.select("stem", "block", F.posexplode("docs").alias("n", "doc"), "positions").select("stem", "block", "doc", F.get("positions", F.col("n")).alias("positions"))
-    docs = hits.groupBy("block", "doc").agg(F.collect_list(F.struct("stem", "positions")).alias("hits"))
+    placed = {s for group in groups for literal in group if len(literal.stems) > 1 for s, _ in literal.stems}
+    once = F.array_distinct(F.transform("places", lambda p: place(offset_of(p), F.lit(0))))  # positions count in phrases only
+    hits = asked.select("stem", "block", F.explode(F.when(F.col("stem").isin(*placed), F.col("places")).otherwise(once)).alias("p"))
+    hits = hits.select("block", (F.col("block") + offset_of(F.col("p"))).alias("doc"), F.struct("stem", position_of(F.col("p")).alias("position")).alias("hit"))
+    docs = hits.groupBy("block", "doc").agg(F.collect_list("hit").alias("hits"))
     match = F.lit(False)
     for group in groups:
         every = F.lit(True)

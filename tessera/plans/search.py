@@ -19,7 +19,7 @@ NOTES_QUERY = 'oned -ering or "there are"'
 def documents_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index of all documents' whole texts, built once for a state of the table."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return stored(spark, "documents-index-1", [docs], lambda: S.index(docs, "doc_id", "text"), ["bucket"], **S.OPTIONS)
+    return stored(spark, "documents-index-2", [docs], lambda: S.index(docs, "doc_id", "text"), ["bucket"], **S.OPTIONS)
 
 
 _V, _C, _DOUBLE = "[aeiouy]", "[^aeiouy]", "(bb|dd|ff|gg|mm|nn|pp|rr|tt)$"
@@ -68,10 +68,12 @@ vocab AS (SELECT DISTINCT word FROM occ WHERE word NOT IN ({_STOPS})), {STEMS},
 SELECT stem, count(DISTINCT doc) AS documents, count(*) AS occurrences, CAST(sum(pos - 1) AS BIGINT) AS places FROM s GROUP BY 1""")
 def t12_index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stem of the stored index with its documents, its occurrences and the sum of their positions."""
-    rows = documents_index(spark, sf_dir).where("stem <> ''").select("stem", "word", F.explode(F.arrays_zip("docs", "positions")).alias("p"))
-    ats = F.aggregate("p.positions", F.lit(0).cast("long"), lambda a, x: a + x)
-    of_docs = rows.groupBy("stem", "p.docs").agg(F.sum(F.size("p.positions")).alias("n"), F.sum(ats).alias("places"))
-    return of_docs.groupBy("stem").agg(F.count("*").alias("documents"), F.sum("n").alias("occurrences"), F.sum("places").alias("places"))
+    rows = documents_index(spark, sf_dir).where("stem <> ''")
+    ats = F.aggregate("places", F.lit(0).cast("long"), lambda a, p: a + S.position_of(p))
+    docs = F.array_distinct(F.transform("places", S.offset_of))
+    # a document's words of one stem lie in one block, so its lists tell the documents apart and no row per document is made
+    of_blocks = rows.groupBy("stem", "block").agg(F.flatten(F.collect_list(docs)).alias("docs"), F.sum(F.size("places")).alias("n"), F.sum(ats).alias("places"))
+    return of_blocks.groupBy("stem").agg(F.sum(F.size(F.array_distinct("docs"))).alias("documents"), F.sum("n").alias("occurrences"), F.sum("places").alias("places"))
 
 
 @query(rf"""WITH {_occurrences('SELECT doc_id AS doc, text FROM documents')}, has AS (SELECT doc, list(DISTINCT stem) AS l FROM s GROUP BY 1),

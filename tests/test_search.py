@@ -113,3 +113,17 @@ def test_frequent_elements_make_no_pairs_by_themselves(spark):
     score = lambda asked, e: sum(10 if " " in x else 1 for x in set(asked) & set(e))
     want = {i: sorted((-score(a, e), d) for d, e in rows if score(a, e))[:10] for i, a in [(0, ["hot", "own3", "own4"]), (1, ["hot"]), (3, ["hot pair", "own5", "hot"])]}
     assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_texts_are_split_once_and_occurrences_combined_before_the_shuffle(spark):
+    rows = spark.createDataFrame(TEXTS, "i long, t string")
+    plan = S.index(rows, "i", "t")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    assert re.search(r"ObjectHashAggregate\(keys=\[word[^\n]*partial_collect_list[^\n]*\n[^\n]*(Project|Filter)[^\n]*\n(?:[^\n]*(Project|Filter)[^\n]*\n)*[^\n]*Generate", plan)
+
+
+def test_places_keep_documents_and_positions(spark):
+    texts = [(-70_000, "risk a risk"), (65_535, "risk"), (65_536, "tax risk"), (2**53 + 1, "risk")]
+    rows = S.index(spark.createDataFrame(texts, "i long, t string"), "i", "t").where("stem = 'risk'").select("block", F.explode("places").alias("p"))
+    got = rows.select((F.col("block") + S.offset_of(F.col("p"))).alias("doc"), S.position_of(F.col("p")).alias("at")).collect()
+    assert {tuple(r) for r in got} == {(-70_000, 0), (-70_000, 2), (65_535, 0), (65_536, 1), (2**53 + 1, 0)}
