@@ -33,19 +33,24 @@ def masked(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"\d+", "#")
 
 
-def tokens(text: Column) -> Column:
-    """Distinct retrieval tokens: a letter and three or more letters or digits, lower case, without stop words."""
+def retrieval_tokens(text: Column) -> Column:
+    """The words (runs of letters, digits and _) in order, lower case; null in the place of one that isn't a retrieval token.
+
+    A token is a letter and three or more letters or digits, and no stop word.
+    """
     words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
-    found = F.filter(words, lambda w: w.rlike("^[a-z][a-z0-9]{3,}$"))
-    return F.array_except(found, F.array(*map(F.lit, STOPWORDS)))
+    return F.transform(words, lambda w: F.when(w.rlike(f"^(?!(?:{'|'.join(STOPWORDS)})$)[a-z][a-z0-9]{{3,}}$"), w))
 
 
-def phrases(text: Column) -> Column:
-    """Distinct pairs of retrieval tokens side by side, joined by a blank."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}_]+)"), F.lit(1))
-    pairs = F.zip_with(words, F.slice(words, F.lit(2), F.size(words)), lambda a, b: F.concat(a, F.lit(" "), b))
-    token = f"(?!(?:{'|'.join(STOPWORDS)})\\b)[a-z][a-z0-9]{{3,}}"
-    return F.array_distinct(F.filter(pairs, lambda p: p.rlike(f"^{token} {token}$")))
+def tokens(marked: Column) -> Column:
+    """Distinct tokens of ``retrieval_tokens``."""
+    return F.array_distinct(F.filter(marked, lambda w: w.isNotNull()))
+
+
+def phrases(marked: Column) -> Column:
+    """Distinct pairs of tokens side by side, joined by a blank."""
+    pairs = F.zip_with(marked, F.slice(marked, F.lit(2), F.size(marked)), lambda a, b: F.concat(a, F.lit(" "), b))
+    return F.array_distinct(F.filter(pairs, lambda p: p.isNotNull()))
 
 
 def whole_phrase(text: Column, phrase: str) -> Column:

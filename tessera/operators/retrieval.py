@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.windows import top_per_key
+from tessera.sources.stored import written
 
 #: Documents that the first prefix names for each of the k wanted.
 PROBE = 4
@@ -29,14 +30,20 @@ def candidates(items: DataFrame, docs: DataFrame, k: int, item_id: str, doc_id:
     no pairs; ids are unique.
     """
     wanted = items.select(item_id, F.explode("elements").alias("element"))
+    # what no item asks for can't score: documents are read whole once, and cut to elements that some item has
+    held = docs.select(doc_id, F.explode_outer("elements").alias("element")).join(wanted.select("element").distinct(), "element", "left_semi")
+    docs = written(held.groupBy(doc_id).agg(F.collect_list("element").alias("elements")))
     held = docs.select(doc_id, F.explode("elements").alias("element"))
-    df = held.join(wanted.select("element").distinct(), "element", "left_semi").groupBy("element").agg(F.count("*").alias("df"))
+    df = held.groupBy("element").agg(F.count("*").alias("df"))
     order = Window.partitionBy(item_id).orderBy("df", "element")
     upto, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     ranked = wanted.join(df, "element").select(item_id, "element", F.coalesce(F.sum("df").over(upto), F.lit(0)).alias("before"), F.sum(weight(F.col("element"))).over(after).alias("bound"))
 
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def scored(prefix: DataFrame) -> DataFrame:
-        pairs = prefix.select(item_id, "element").join(held, "element").select(item_id, doc_id).distinct()
+        # pairs are few bytes but much work, so their partitions aren't left to be merged by size
+        pairs = prefix.select(item_id, "element").join(held, "element").select(item_id, doc_id).repartition(tasks, doc_id).distinct()
         full = pairs.join(items.select(item_id, F.col("elements").alias("asked")), item_id).join(docs.select(doc_id, "elements"), doc_id)
         shared = full.select(item_id, doc_id, F.array_intersect("asked", "elements").alias("shared"))
         phrases = F.size(F.filter("shared", lambda e: e.contains(" ")))

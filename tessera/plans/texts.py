@@ -65,7 +65,8 @@ def t09_candidate_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     The tables have no lists of terms, so a phrase is two retrieval tokens side by side; one that both hold is a hit.
     """
-    elements = lambda rows, key: rows.select(key, F.concat(T.tokens(F.col("text")), T.phrases(F.col("text"))).alias("elements"))
+    marked = lambda rows, key: rows.select(key, T.retrieval_tokens(F.col("text")).alias("marked"))
+    elements = lambda rows, key: marked(rows, key).select(key, F.concat(T.tokens(F.col("marked")), T.phrases(F.col("marked"))).alias("elements"))
     rows = docs(spark, sf_dir)
     held = stored(spark, "documents-elements-1", [rows], lambda: elements(rows, "doc_id"))
     return candidates(elements(table(spark, sf_dir, "benchmark"), "item_id"), held, 40, "item_id", "doc_id")

@@ -127,3 +127,11 @@ def test_places_keep_documents_and_positions(spark):
     rows = S.index(spark.createDataFrame(texts, "i long, t string"), "i", "t").where("stem = 'risk'").select("block", F.explode("places").alias("p"))
     got = rows.select((F.col("block") + S.offset_of(F.col("p"))).alias("doc"), S.position_of(F.col("p")).alias("at")).collect()
     assert {tuple(r) for r in got} == {(-70_000, 0), (-70_000, 2), (65_535, 0), (65_536, 1), (2**53 + 1, 0)}
+
+
+def test_a_pair_is_scored_without_the_whole_document(spark):
+    docs = spark.createDataFrame([(i, [f"w{i}", "hot"] + [f"own{i}x{j}" for j in range(50)]) for i in range(60)] + [(60, None)], "doc long, elements array<string>")
+    items = spark.createDataFrame([(0, ["hot", "w3"])], "item long, elements array<string>")
+    got = candidates(items, docs, 5, "item", "doc")
+    assert [r["doc"] for r in got.orderBy("place" if "place" in got.columns else "score", ascending=False).collect()][:1] == [3]
+    assert "own3x1" not in str(spark.read.parquet(*got.inputFiles()).collect())  # what no item has isn't read again
