@@ -45,13 +45,18 @@ def rolled(state: DataFrame, more: DataFrame) -> DataFrame:
     return state.unionByName(more).groupBy("paper", "leaf", "later").agg(*(F.sum(c).alias(c) for c in _SUMS), attempts.alias("exam_attempts"))
 
 
+def until(state: DataFrame, target: int) -> DataFrame:
+    """The state's rows that count for a target month."""
+    return state.where(F.col("later").isNull() | (F.col("later") <= target))
+
+
 def at(state: DataFrame, config: ScoringConfig, base: int, horizon: int, target: int) -> DataFrame:
     """Evidence sums for a target month not before the horizon, as ``scoring.contributions`` has them."""
     if target < horizon:
         raise ValueError(f"the state holds evidence up to {horizon}, after the target {target}")
     shrink = {"exam_score": _growth(F.lit(base - target), config.half_life_exam), "practice_score": _growth(F.lit(base - target), config.half_life_practice)}
     attempts = F.array_distinct(F.flatten(F.collect_list("exam_attempts")))
-    sums = state.where(F.col("later").isNull() | (F.col("later") <= target)).groupBy("paper", "leaf").agg(*(F.sum(c).alias(c) for c in _SUMS), attempts.alias("exam_attempts"))
+    sums = until(state, target).groupBy("paper", "leaf").agg(*(F.sum(c).alias(c) for c in _SUMS), attempts.alias("exam_attempts"))
     return sums.withColumns({c: F.col(c) * by for c, by in shrink.items()} | {"first_exam_attempt": F.array_min("exam_attempts"), "last_exam_attempt": F.array_max("exam_attempts")})
 
 

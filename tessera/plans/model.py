@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.operators.scoring import month_index
-from tessera.sources.tables import table
+from tessera.sources.tables import partitions, table
 
 TARGET = 2001 * 12 + 8
 STATUS = {"purchase": "done", "click": "in_progress"}
@@ -66,16 +66,18 @@ progress AS (
 
 def tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every tag with its appearance: leaf, paper, signal, age, attempt, marks, share, cross_paper, stale."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag")
+    n = partitions(spark, sf_dir, "lineitem", "orders")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity", "l_extendedprice", "l_returnflag").repartition(n, "l_orderkey")
     share = F.col("l_extendedprice") / F.sum("l_extendedprice").over(Window.partitionBy("l_orderkey"))
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderstatus", "o_orderpriority")
-    parts = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
-    rows = lines.withColumn("share", share).join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    return rows.select(
+    # what belongs to an order is formed once an order, not once a line
+    orders = table(spark, sf_dir, "orders").select(
         F.col("o_orderkey").alias("appearance"), F.date_format("o_orderdate", "yyyy-MM").alias("attempt"), (F.lit(TARGET) - month_index(F.year("o_orderdate"), F.month("o_orderdate"))).alias("age"),
-        F.when(F.col("o_orderstatus") == "F", "exam").otherwise("practice").alias("signal"), F.col("p_type").alias("paper"), F.col("p_brand").alias("brand"), F.col("l_partkey").alias("leaf"),
-        F.col("l_quantity").alias("marks"), "share", ((F.col("o_orderpriority") == "1-URGENT") & (F.col("p_type") != "PROMO")).alias("cross_paper"), (F.col("l_returnflag") == "R").alias("stale"),
+        F.when(F.col("o_orderstatus") == "F", "exam").otherwise("practice").alias("signal"), (F.col("o_orderpriority") == "1-URGENT").alias("urgent"),
     )
+    parts = table(spark, sf_dir, "part").select("p_partkey", F.col("p_type").alias("paper"), F.col("p_brand").alias("brand")).repartition(n, "p_partkey")
+    rows = lines.withColumn("share", share).join(orders, F.col("l_orderkey") == F.col("appearance")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
+    cross_paper, stale = F.col("urgent") & (F.col("paper") != "PROMO"), F.col("l_returnflag") == "R"
+    return rows.select("appearance", "attempt", "age", "signal", "paper", "brand", F.col("l_partkey").alias("leaf"), F.col("l_quantity").alias("marks"), "share", cross_paper.alias("cross_paper"), stale.alias("stale"))
 
 
 def leaf_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,6 +16,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Bytes of tables' files that one partition of their rows may come from.
+PARTITION_BYTES = 4 << 20
+
+
+def partitions(spark: SparkSession, sf_dir: str, *names: str) -> int:
+    """How many partitions rows of these tables are dealt to: the session's, or more by the size of the files.
+
+    A task's sorts and hash tables then keep their size however large the tables are.
+    """
+    size = 0
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{name}.parquet")
+        size += path.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
+
+
 def filtered(rows: DataFrame, given: dict) -> DataFrame:
     """Rows that equal every given value; None leaves a column free, a list admits any of its values."""
     for name, value in given.items():
