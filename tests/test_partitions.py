@@ -6,7 +6,7 @@ import pytest
 
 from tessera.operators import evidence_state as V
 from tessera.plans import model as M
-from tessera.plans import scoring
+from tessera.plans import scoring, validation
 from tessera.sources import tables
 
 
@@ -14,7 +14,7 @@ def _plan(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("query", [scoring.a03_rows_and_occurrences])
+@pytest.mark.parametrize("query", [scoring.a03_rows_and_occurrences, validation.q17_validation_issues])
 def test_partitions_grow_with_the_files(spark, sf_dir, monkeypatch, query):
     monkeypatch.setattr(tables, "PARTITION_BYTES", 4096)
     n = tables.partitions(spark, sf_dir, "lineitem")
