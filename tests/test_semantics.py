@@ -322,6 +322,23 @@ def test_mock_score_adds_in_order_of_events(spark, tmp_path):
         assert (got["tries"], got["pct"]) == (14, 50.5), (way, total)
 
 
+def test_mock_score_rounds_doubles_beside_a_tie_as_the_sql_does(spark, tmp_path):
+    import duckdb
+
+    from tessera.plans import listings
+    from tessera.plans.registry import ORACLE_SQL
+
+    users = [[54.01, 3.18, 19.76], [73.79, 3.8, 10.76], [48.82, 18.79, 94.61, 80.52, 74.01], [50.45], [0.05], [None, None]]
+    rows = [(10 * u + i, u, "purchase", v) for u, values in enumerate(users) for i, v in enumerate(values)]
+    frame = spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").withColumn("ts", F.timestamp_seconds("event_id"))
+    frame.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = sorted(con.execute(ORACLE_SQL["m16_mock_score"]).fetchall())
+    assert sorted(tuple(r) for r in listings.m16_mock_score(spark, str(tmp_path)).collect()) == want
+    assert [pct for _, _, pct in want[:3]] == [25.6, 29.4, 63.4]
+
+
 def test_chased_rounds_do_not_run_again(spark):
     chain = spark.range(20).selectExpr("id", "greatest(id - 1, 0) as origin", "cast(id > 0 as int) as hops")
     plan = tree.chased(chain)._jdf.queryExecution().optimizedPlan().toString()
