@@ -1,16 +1,21 @@
 """Lines of a paper to its tree of units: cases, questions, parts, subparts and multiple-choice items.
 
-State that a reader would carry from line to line (the scope, the open unit of each level, whether answers are being
-read, a pending OR) is the last value of a window over the document's lines, reset by a line of a higher level.  All
-windows share the document's hash partitioning, so lines are shuffled once.
+Spark deals the documents out, puts their lines in order and extracts the tokens of each line; tasks then read their
+lines in Arrow batches of whole documents.  State that a reader would carry from line to line (the scope, the open unit
+of each level, whether answers are being read, a pending OR) is the position of the last line that set it, a running
+maximum over the batch.  Lines are shuffled and sorted once.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -35,120 +40,245 @@ class Profile:
 
 
 LEVELS = ("case", "question", "part", "subpart", "mcq")
+CASE, QUESTION, PART, SUBPART, MCQ = range(5)
+#: What a line opens with, in the order in which patterns are tried: a control (of no unit), a case or a question.
+HEADS = ("paper", "section", "answer", "separator", "case", "question")
+IS_PAPER, IS_SECTION, IS_ANSWER, IS_SEPARATOR, IS_CASE, IS_QUESTION = range(1, 7)
+#: ``state`` of a line: the number of its head, and bits for a subpart's token and for the first line of a document.
+HAS_SUBPART, FIRST = 8, 16
+NO_PAGE = np.iinfo(np.int64).max
 
 
-def _joined(*parts: Column) -> Column:
-    return F.concat_ws(".", *(F.when(p != "", p) for p in parts))
+def _joined(above: pa.Array, below: pa.Array) -> pa.Array:
+    """Both with a point between, or the one that isn't null."""
+    return pc.coalesce(pc.binary_join_element_wise(above, below, "."), above, below)
 
 
-def located(lines: DataFrame, profile: Profile, doc: str = "doc") -> DataFrame:
-    """Each line with its kind (of the unit that it starts), region, the path of the unit that it belongs to, and OR group."""
-    upto = Window.partitionBy(doc).orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = Window.partitionBy(doc).orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-    last = lambda value, over=upto: F.last(value, ignorenulls=True).over(over)
-    c = F.col
-    names = ("paper", "section", "case", "question", "part", "subpart", "mcq", "option", "answer", "separator", "marks")
-    rows = lines.withColumns({f"t_{k}": F.nullif(F.regexp_extract("text", getattr(profile, k), 1), F.lit("")) for k in names})
-    has = lambda k: c(f"t_{k}").isNotNull()
-    control = F.when(has("paper"), "paper").when(has("section"), "section").when(has("answer"), "answer").when(has("separator"), "separator")
-    rows = rows.withColumn("control", control)
-    scope_reset = c("control").isin("paper", "section")
-    reset = F.coalesce(scope_reset | ((c("control") == "answer") & F.lit(profile.sectioned)), F.lit(False))
-    rows = rows.withColumn("reset", reset).withColumn("plain", c("control").isNull()).withColumn("is_case", c("plain") & has("case"))
-    rows = rows.withColumns({
-        "case_open": F.coalesce(last(F.when(c("is_case"), True).when(c("reset"), False)), F.lit(False)),
-        "answers": F.coalesce(last(F.when((c("control") == "answer") & F.lit(profile.sectioned), True).when(c("is_case"), False)), F.lit(False)),
-        "paper_scope": F.coalesce(last(F.when(c("control") == "paper", F.concat(F.lit("P"), "t_paper"))), F.lit("")),
-        "section_scope": F.coalesce(last(F.when(c("control") == "paper", "").when(c("control") == "section", F.concat(F.lit("S"), "t_section"))), F.lit("")),
-    })
-    rows = rows.withColumn("scope", _joined(c("paper_scope"), c("section_scope")))
-    rows = rows.withColumn("is_mcq", c("plain") & ~c("is_case") & c("case_open") & ~c("answers") & has("mcq"))
-    rows = rows.withColumn("is_question", c("plain") & ~c("is_case") & ~c("is_mcq") & has("question"))
-    rows = rows.withColumn("mcq_open", F.coalesce(last(F.when(c("is_mcq"), True).when(c("is_question") | c("is_case") | c("reset"), False)), F.lit(False)))
-    other = c("plain") & ~c("is_case") & ~c("is_mcq") & ~c("is_question")
-    rows = rows.withColumn("is_option", other & c("mcq_open") & has("option"))
-    kind = F.when(c("is_case"), "case").when(c("is_mcq"), "mcq").when(c("is_question"), "question").when(other & ~c("mcq_open") & has("subpart"), "subpart").when(other & ~c("mcq_open") & has("part"), "part")
-    rows = rows.withColumn("kind", kind).withColumn("begins", c("kind").isNotNull())
-    token = F.when(c("kind") == "case", F.concat(F.lit("CS"), "t_case")).when(c("kind") == "question", F.concat(F.lit("Q"), "t_question")).when(c("kind") == "mcq", F.concat(F.lit("M"), "t_mcq"))
-    rows = rows.withColumn("token", token.when(c("kind") == "part", F.lower("t_part")).when(c("kind") == "subpart", F.lower("t_subpart")))
+def _taken(values: pa.Array, at: np.ndarray) -> pa.Array:
+    """Values by position, null at -1."""
+    return values.take(pa.array(at, mask=at < 0))
+
+
+def _starts(*keys: np.ndarray) -> np.ndarray:
+    """Where runs of equal keys start."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    return np.flatnonzero(new)
+
+
+class _Lines:
+    """Lines of whole documents in order; ``last`` and ``open`` give positions of lines within the same document."""
+
+    def __init__(self, first: np.ndarray):
+        self.at = np.arange(len(first))
+        self.start = np.maximum.accumulate(np.where(first, self.at, 0))
+        self.doc = np.cumsum(first)
+
+    def last(self, where: np.ndarray, before: bool = False) -> np.ndarray:
+        """The last line up to each one (or before it) where it holds, else -1."""
+        found = np.maximum.accumulate(np.where(where, self.at, -1))
+        if before:
+            found = np.concatenate(([-1], found[:-1]))
+        return np.where(found >= self.start, found, -1)
+
+    def open(self, begins: np.ndarray, ends: np.ndarray, before: bool = False) -> np.ndarray:
+        """The last line that begins something, unless a later one ended it, else -1."""
+        found = self.last(begins | ends, before)
+        return np.where((found >= 0) & begins[found], found, -1)
+
+    def keys(self, at: np.ndarray, names: pa.Array) -> np.ndarray:
+        """Numbers of (document, name) of some lines."""
+        codes = names.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        return self.doc[at] * (len(self.at) + 1) + codes
+
+
+class _Paths:
+    """Paths of the lines that begin a unit, as they become known level by level."""
+
+    def __init__(self, n: int):
+        self.slot, self.values, self.new = np.full(n, -1), pa.array([], pa.string()), np.zeros(n, bool)
+
+    def of(self, at: np.ndarray) -> pa.Array:
+        return _taken(self.values, np.where(at >= 0, self.slot[at], -1))
+
+    def add(self, lines: _Lines, at: np.ndarray, base: pa.Array, creates: np.ndarray, pending: np.ndarray) -> None:
+        """Units begin at these lines under a path each; a path that is taken gets the next .repeatN or .altN."""
+        if len(at) == 0:
+            return
+        key = lines.keys(at, base)
+        o = np.argsort(key, kind="stable")
+        starts = _starts(key[o])
+        group = np.repeat(starts, np.diff(np.append(starts, len(o))))
+
+        def sofar(where: np.ndarray) -> np.ndarray:
+            """How many lines of the same path so far."""
+            total = np.cumsum(where)
+            return total - total[group] + where[group]
+
+        new = creates[o].copy()
+        new[starts] = True
+        again = new & (sofar(new) > 1)
+        alt = again & pending[at][o]
+        nth = np.where(alt, sofar(alt), sofar(again & ~alt)) + 1
+        back = np.empty(len(o), np.int64)
+        back[o] = np.arange(len(o))
+        again, alt, nth = again[back], alt[back], nth[back]
+        suffix = pc.binary_join_element_wise(pc.if_else(pa.array(alt[again]), ".alt", ".repeat"), pc.cast(pa.array(nth[again]), pa.string()), "")
+        path = pc.replace_with_mask(base, pa.array(again), pc.binary_join_element_wise(base.filter(pa.array(again)), suffix, ""))
+        self.slot[at], self.new[at] = len(self.values) + np.arange(len(at)), new[back]
+        self.values = pa.concat_arrays([self.values, path])
+
+
+def _units(t: pa.RecordBatch, profile: Profile) -> pa.RecordBatch:
+    """The units of whole documents, whose lines are in order: columns of ``read`` below."""
+    column = {f.name: t.column(i) for i, f in enumerate(t.schema)}
+    flag = lambda x: x.to_numpy(zero_copy_only=False)
+    n, state = t.num_rows, flag(column["state"])
+    lines, paths, head = _Lines(state & FIRST > 0), _Paths(n), state & (HAS_SUBPART - 1)
+    has_sub, has_mcq, has_option, has_minor = state & HAS_SUBPART > 0, *(flag(column[k].is_valid()) for k in ("mcq", "option", "minor"))
+
+    # what each line is
+    plain, is_answer, is_case = (head == 0) | (head >= IS_CASE), head == IS_ANSWER, head == IS_CASE
+    answer_section = is_answer & profile.sectioned
+    reset = (head == IS_PAPER) | (head == IS_SECTION) | answer_section
+    answers = lines.open(answer_section, is_case) >= 0
+    is_mcq = plain & ~is_case & (lines.open(is_case, reset) >= 0) & ~answers & has_mcq
+    is_question = ~is_mcq & (head == IS_QUESTION)
+    closes_mcq = is_question | is_case | reset
+    mcq_open = lines.open(is_mcq, closes_mcq) >= 0
+    other = plain & ~is_case & ~is_mcq & ~is_question
+    is_option, other = other & mcq_open & has_option, other & ~mcq_open & has_minor
+    is_sub, is_part = other & has_sub, other & ~has_sub
+    begins = is_case | is_mcq | is_question | is_sub | is_part
+    kind = np.select([is_case, is_question, is_part, is_sub, is_mcq], range(5), -1)
 
     # an OR is pending for the next unit if some unit was open before it
-    rows = rows.withColumn("some_open", F.coalesce(last(F.when(c("begins"), True).when(c("reset"), False), before), F.lit(False)))
-    rows = rows.withColumn("is_or", F.coalesce((c("control") == "separator") & c("some_open"), F.lit(False)))
-    rows = rows.withColumn("pending", F.coalesce(last(F.when(c("is_or"), True).when(c("begins"), False), before), F.lit(False)))
-
-    def numbered(rows: DataFrame, name: str, base: Column, of: Column, creates: Column) -> DataFrame:
-        """``name``: the path of the units that begin where ``of`` holds; a path that is taken gets the next .repeatN or .altN."""
-        rows = rows.withColumn("__base", F.when(of, base))
-        rows = rows.withColumn("__new", F.when(of, creates | (F.row_number().over(Window.partitionBy(doc, "__base").orderBy("n")) == 1)))
-        earlier = Window.partitionBy(doc, "__base").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
-        again = F.when(c("__new") & (F.count(F.when(c("__new"), 1)).over(earlier) > 0), F.when(c("pending"), ".alt").otherwise(".repeat"))
-        rows = rows.withColumn("__again", again)
-        # counted over the same partitions and order as the two windows before, so that lines aren't sorted once more
-        sofar = Window.partitionBy(doc, "__base").orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        nth = F.when(c("__again") == ".alt", F.count(F.when(c("__again") == ".alt", 1)).over(sofar)).otherwise(F.count(F.when(c("__again") == ".repeat", 1)).over(sofar)) + 1
-        path = F.when(of, F.concat("__base", F.when(c("__again").isNotNull(), F.concat("__again", nth.cast("string"))).otherwise("")))
-        return rows.withColumn(name, path).withColumn("creates", F.when(of, c("__new")).otherwise(c("creates") if "creates" in rows.columns else F.lit(None).cast("boolean"))).drop("__base", "__new", "__again")
-
-    def held(name: str, of: str, closers: Column) -> Column:
-        """The path of the open unit of a level, '' if there is none."""
-        return F.coalesce(last(F.when(c("kind") == of, c(name)).when(closers, "")), F.lit(""))
-
-    is_ = lambda k: F.coalesce(c("kind") == k, F.lit(False))
-    none = F.lit("")
-    rows = numbered(rows, "p_case", _joined(c("scope"), c("token")), is_("case"), F.lit(True)).withColumn("case_path", held("p_case", "case", c("reset")))
-    under_case = F.when(c("case_path") != "", c("case_path")).otherwise(c("scope"))
-    rows = numbered(rows, "p_mcq", _joined(c("case_path"), c("token")), is_("mcq"), F.lit(True))
-    rows = numbered(rows, "p_question", _joined(under_case, c("token")), is_("question"), ~c("answers")).withColumn("question_path", held("p_question", "question", c("reset") | is_("case")))
-    rows = rows.withColumn("mcq_path", held("p_mcq", "mcq", c("reset") | is_("case") | is_("question")))
-    rows = rows.withColumn("above_part", F.when(c("question_path") != "", c("question_path")).otherwise(under_case))
+    is_or = (head == IS_SEPARATOR) & (lines.open(begins, reset, before=True) >= 0)
+    pending = lines.open(is_or, begins, before=True) >= 0
+
+    # the line that began the open unit of each level
+    closes_part = reset | is_case | is_question
+    case_at, question_at, mcq_at = lines.open(is_case, reset), lines.open(is_question, reset | is_case), lines.open(is_mcq, closes_mcq)
+    part_at, sub_at = lines.open(is_part, closes_part), lines.open(is_sub, closes_part | is_part)
+    paper_at, section_at = lines.last(head == IS_PAPER), lines.open(head == IS_SECTION, head == IS_PAPER)
+
+    token = lambda at, name: _taken(column[name], at)
+    lettered = lambda at, name, letter: pc.binary_join_element_wise(letter, token(at, name), "")
+    scope = lambda at: _joined(lettered(paper_at[at], "major", "P"), lettered(section_at[at], "major", "S"))
+    under_case = lambda at: pc.coalesce(paths.of(case_at[at]), scope(at))
+    above_part = lambda at: pc.coalesce(paths.of(question_at[at]), under_case(at))
+    cases, questions, parts, subs, mcqs = map(np.flatnonzero, (is_case, is_question, is_part, is_sub, is_mcq))
+    labels = [lettered(cases, "major", "CS"), lettered(mcqs, "mcq", "M"), lettered(questions, "major", "Q"), token(parts, "minor"), token(subs, "minor")]
+    paths.add(lines, cases, _joined(scope(cases), labels[0]), np.ones(len(cases), bool), pending)
+    paths.add(lines, mcqs, _joined(paths.of(case_at[mcqs]), labels[1]), np.ones(len(mcqs), bool), pending)
+    paths.add(lines, questions, _joined(under_case(questions), labels[2]), ~answers[questions], pending)
 
     # answers end where a question, or a part that wasn't there before, begins
-    rows = rows.withColumn("n_part", F.when(is_("part"), _joined(c("above_part"), c("token"))))
-    closes_part = c("reset") | is_("case") | is_("question")
-    nominal = F.coalesce(last(F.when(is_("part"), c("n_part")).when(closes_part, "")), none)
-    rows = rows.withColumn("nominal", nominal).withColumn("n_sub", F.when(is_("subpart"), _joined(F.when(c("nominal") != "", c("nominal")).otherwise(c("above_part")), c("token"))))
-    rows = rows.withColumn("__k", F.coalesce("n_part", "n_sub")).withColumn("fresh", c("__k").isNotNull() & (F.row_number().over(Window.partitionBy(doc, "__k").orderBy("n")) == 1))
-    event = F.when(c("control") == "answer", "answer").when(is_("case"), "question").when(c("begins") & ~c("answers") & (is_("question") | is_("mcq") | c("fresh")), "question")
-    rows = rows.withColumn("region", F.coalesce(last(event), F.lit("question")))
-
-    asks = c("region") == "question"
-    rows = numbered(rows, "p_part", c("n_part"), is_("part"), asks).withColumn("part_path", held("p_part", "part", closes_part))
-    rows = rows.withColumn("above_sub", F.when(c("part_path") != "", c("part_path")).otherwise(c("above_part")))
-    rows = numbered(rows, "p_subpart", _joined(c("above_sub"), c("token")), is_("subpart"), asks).withColumn("subpart_path", held("p_subpart", "subpart", closes_part | is_("part")))
-    own = [F.nullif(c(f"{k}_path"), none) for k in ("mcq", "subpart", "part", "question", "case")]
-    parent = F.when(is_("mcq"), c("case_path")).when(is_("question"), c("case_path")).when(is_("part"), F.when(c("question_path") != "", c("question_path")).otherwise(c("case_path")))
-    parent = parent.when(is_("subpart"), reduce(lambda a, b: F.when(b != "", b).otherwise(a), [c("case_path"), c("question_path"), c("part_path")]))
-    rows = rows.withColumn("path", F.when(c("plain"), F.coalesce(*own))).withColumn("parent", F.nullif(parent, none))
+    named_parts = _joined(above_part(parts), labels[3])
+    slot = np.full(n, -1)
+    slot[parts] = np.arange(len(parts))
+    nominal = _taken(named_parts, np.where(part_at[subs] >= 0, slot[part_at[subs]], -1))
+    both, fresh = np.concatenate((parts, subs)), np.zeros(n, bool)
+    if len(both):
+        key = lines.keys(both, pa.concat_arrays([named_parts, _joined(pc.coalesce(nominal, above_part(subs)), labels[4])]))
+        o = np.lexsort((both, key))
+        fresh[both[o[_starts(key[o])]]] = True
+    asks = lines.open(is_answer, is_case | (begins & ~answers & (is_question | is_mcq | fresh))) < 0
+    paths.add(lines, parts, named_parts, asks[parts], pending)
+    paths.add(lines, subs, _joined(pc.coalesce(paths.of(part_at[subs]), above_part(subs)), labels[4]), asks[subs], pending)
+    labels = pa.concat_arrays(labels)  # in the slots of their paths
+    first_of = lambda *ats: np.select([a >= 0 for a in ats], ats, -1)
+    own = first_of(mcq_at, sub_at, part_at, question_at, case_at)
+    parent = np.select([is_mcq | is_question, is_part, is_sub], [case_at, first_of(question_at, case_at), first_of(part_at, question_at, case_at)], -1)
 
     # OR groups: a chain of ORs with one unit between is one group, named after the first
-    rows = rows.withColumn("unit_before", F.when(c("is_or"), F.coalesce(last(F.when(c("begins"), c("path")), before), none))).withColumn("parent_before", last(F.when(c("begins"), F.coalesce(c("parent"), F.lit("root"))), before))
-    rows = rows.withColumn("starts", F.count(F.when(c("begins"), 1)).over(upto)).withColumn("ors", F.count(F.when(c("is_or"), 1)).over(upto))
-    head = c("is_or") & (F.coalesce(c("starts") - last(F.when(c("is_or"), c("starts")), before), F.lit(2)) > 1)
-    rows = rows.withColumn("or_name", last(F.when(head, F.concat(c("parent_before"), F.lit(".or"), c("ors").cast("string")))))
-    rows = rows.withColumn("or_group", F.when(c("is_or") | (c("begins") & c("pending") & c("creates")), c("or_name"))).withColumn("path", F.coalesce("unit_before", "path"))
-    return rows.select(*lines.columns, "kind", "token", "region", "path", "parent", "is_or", "is_option", "or_group", "creates", F.col("t_marks").cast("int").alias("marks"), F.upper("t_option").alias("option"))
+    unit_before, or_before = lines.last(begins, before=True), lines.last(is_or, before=True)
+    started, ors = np.cumsum(begins), np.cumsum(is_or)
+    heads = np.flatnonzero(is_or & ((or_before < 0) | (started - started[or_before] > 1)))
+    numbers = (ors - (ors - is_or)[lines.start])[heads]
+    names = pc.binary_join_element_wise(pc.fill_null(paths.of(parent[unit_before[heads]]), "root"), pc.cast(pa.array(numbers), pa.string()), ".or")
+    different = pc.unique(names).sort() if len(heads) else names
+    rank = np.full(n, n)
+    rank[heads] = flag(pc.index_in(names, different))
+    names_group = np.zeros(n, bool)
+    names_group[heads] = True
+    head_at = lines.last(names_group)
+    or_group = np.where((is_or | (begins & pending & paths.new)) & (head_at >= 0), rank[head_at], n)
 
+    # lines by unit: a path names one in its document
+    began = np.flatnonzero(begins)
+    if len(began) == 0:
+        return None
+    unit = np.full(n, -1)
+    unit[began] = np.unique(lines.keys(began, paths.of(began)), return_inverse=True)[1]
+    at = np.where(is_or, unit_before, np.where(plain, own, -1))
+    rows = np.flatnonzero(at >= 0)
+    rows = rows[np.argsort(unit[at[rows]], kind="stable")]
+    starts = _starts(unit[at[rows]])
+    line = ~is_or[rows]
+    first, last = rows[starts], np.maximum.reduceat(np.where(line, rows, -1), starts)
+    earliest = lambda where: np.minimum.reduceat(np.where(where, rows, n), starts)
+    page = flag(pc.fill_null(pc.cast(column["page"], pa.int64()), NO_PAGE))
+    page_start, page_end = page[first], np.maximum.reduceat(np.where(line & (page[rows] != NO_PAGE), page[rows], -NO_PAGE), starts)
 
-def _rolled_up(found: DataFrame, doc: str, kind: str) -> DataFrame:
-    """Units of a kind with marks and pages from their parts: every unit goes to its own label and, as a part, to its parent's."""
-    c = F.col
-    own = F.struct(*(x for x in found.columns if x != doc))
-    part = F.struct("first_line", F.coalesce("or_group", "label_path").alias("g"), "attemptable", c("marks").isNotNull().alias("marked"), "page_start", "page_end")
-    kinds = {"own": found.select(own.alias("x")).schema["x"].dataType, "part": found.select(part.alias("x")).schema["x"].dataType}
-    pair = lambda key, one, other: F.struct(key.alias("key"), one.alias("own"), other.alias("part"))
-    both = F.array(pair(c("label_path"), own, F.lit(None).cast(kinds["part"])), pair(c("parent"), F.lit(None).cast(kinds["own"]), part))
-    rows = found.select(doc, F.explode(both).alias("x")).where("x.key is not null").groupBy(doc, "x.key").agg(F.first("x.own", ignorenulls=True).alias("own"), F.collect_list("x.part").alias("parts"))
-    rows = rows.select(doc, "own.*", "parts")
-    best = lambda g: F.array_max(F.transform(F.filter("parts", lambda p: p["g"] == g), lambda p: p["attemptable"]))
-    total = F.aggregate(F.array_distinct(F.transform("parts", lambda p: p["g"])), F.lit(0), lambda n, g: n + best(g))
-    has = (c("kind") == kind) & (F.size("parts") > 0)
-    summed = has & F.forall("parts", lambda p: p["marked"])
-    new = {
-        "marks": F.when(summed, total).otherwise(c("marks")), "marks_source": F.when(summed, "summed").otherwise(c("marks_source")), "attemptable": F.when(has, total).otherwise(c("attemptable")), "gradable": c("gradable") & ~has,
-        "page_start": F.when(has, F.least("page_start", F.array_min("parts")["page_start"])).otherwise(c("page_start")), "page_end": F.when(has, F.greatest("page_end", F.array_max("parts")["page_end"])).otherwise(c("page_end")),
+    def texts(where: np.ndarray) -> pa.Array:
+        ends = np.cumsum(np.add.reduceat(where.astype(np.int64), starts))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), column["text"].take(pa.array(rows[where])))
+
+    kinds, above, mcq = kind[first], parent[first], kind[first] == MCQ
+    above = np.where(above >= 0, unit[above], -1)
+    given = flag(column["marks"].is_valid())
+    marks_at = earliest(line & given[rows])
+    explicit = marks_at < n
+    marks = np.where(explicit, flag(pc.fill_null(column["marks"], 0)).astype(np.int64)[np.minimum(marks_at, n - 1)], np.where(mcq, profile.mcq_marks, 0))
+    marked, source = explicit | mcq, np.where(explicit, 0, np.where(mcq, 1, -1))
+    attemptable, gradable = marks.copy(), kinds != CASE
+    or_of = np.minimum.reduceat(or_group[rows], starts)
+
+    # marks and pages from a unit's parts; these are of deeper kinds, so they are done
+    choice = np.where(or_of < n, or_of, n + 1 + np.arange(len(first)))
+    for level in (PART, QUESTION, CASE):
+        of = np.flatnonzero((above >= 0) & (kinds[above] == level))
+        if len(of) == 0:
+            continue
+        of = of[np.lexsort((choice[of], above[of]))]
+        choices, whole = _starts(above[of], choice[of]), _starts(above[of])
+        up = above[of][whole]
+        total = np.add.reduceat(np.maximum.reduceat(attemptable[of], choices), np.searchsorted(choices, whole))
+        summed = np.logical_and.reduceat(marked[of], whole)
+        page_start[up] = np.minimum(page_start[up], page_start[unit[np.minimum.reduceat(first[of], whole)]])
+        page_end[up] = np.maximum(page_end[up], page_end[unit[np.maximum.reduceat(first[of], whole)]])
+        marks[up], source[up], marked[up] = np.where(summed, total, marks[up]), np.where(summed, 2, source[up]), summed | marked[up]
+        attemptable[up], gradable[up] = total, False
+
+    correct = earliest(is_option[rows] & ~asks[rows])
+    pages = lambda x: pc.cast(pa.array(x, mask=np.abs(x) == NO_PAGE), column["page"].type)
+    ints = lambda x, mask=None: pa.array(x.astype(np.int32), pa.int32(), mask=mask)
+    named = lambda values, x: _taken(pa.array(values, pa.string()), x)
+    out = {
+        "doc": t.column(0).take(pa.array(first)), "label_path": paths.of(first), "kind": named(LEVELS, kinds), "display_label": _taken(labels, paths.slot[first]), "parent": paths.of(parent[first]),
+        "page_start": pages(page_start), "page_end": pages(page_end), "first_line": column["n"].take(pa.array(first)), "last_line": column["n"].take(pa.array(last)),
+        "marks": ints(marks, ~marked), "marks_source": named(("explicit", "mcq_default", "summed"), source), "attemptable": ints(attemptable), "or_group": _taken(different, np.where(or_of < n, or_of, -1)), "gradable": pa.array(gradable),
+        "question_text": pc.binary_join(texts(line & asks[rows]), "\n"), "answer_text": pc.binary_join(texts(line & ~asks[rows]), "\n"), "options": texts(is_option[rows] & asks[rows]),
+        "correct_option": token(np.where(correct < n, correct, -1), "option"),
     }
-    return rows.select(doc, *(new[x].alias(x) if x in new else x for x in found.columns if x != doc))
+    return pa.RecordBatch.from_pydict(out)
+
+
+def _whole(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that none ends within a document."""
+    held: list[pa.RecordBatch] = []
+    one = lambda: pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    for batch in batches:
+        starts = np.flatnonzero(batch.column(batch.schema.get_field_index("state")).to_numpy(zero_copy_only=False) & FIRST)
+        if len(starts):
+            held.append(batch.slice(0, starts[-1]))
+            if sum(b.num_rows for b in held):
+                yield one()
+            held, batch = [], batch.slice(starts[-1])
+        held.append(batch)
+    if sum(b.num_rows for b in held):
+        yield one()
 
 
 def units(lines: DataFrame, profile: Profile = Profile(), doc: str = "doc") -> DataFrame:
@@ -158,24 +288,29 @@ def units(lines: DataFrame, profile: Profile = Profile(), doc: str = "doc") -> D
     A label that begins again is a unit of its own (.repeatN, or .altN after an OR) while questions are read; among
     answers it is the unit that it names.  Marks of a unit whose parts all have them are the sum over its OR groups of
     their greatest.  An empty table gives no units.  Option patterns are tried on lines that begin nothing.
+    A task holds a batch of lines, or one document where that is longer.
     """
-    rows = located(lines.withColumn("text", F.coalesce("text", F.lit(""))), profile, doc).where("path is not null and path <> ''")
-    line = ~F.col("is_or")
-    at = lambda value: F.min_by(value, F.when(line, F.col("n")))
-    texts = lambda where: F.transform(F.array_sort(F.collect_list(F.when(where, F.struct("n", "text")))), lambda x: x["text"])
-    found = rows.groupBy(doc, F.col("path").alias("label_path")).agg(
-        at("kind").alias("kind"), at("token").alias("display_label"), at("parent").alias("parent"), at("page").alias("page_start"), F.max(F.when(line, F.col("page"))).alias("page_end"),
-        F.min(F.when(line, F.col("n"))).alias("first_line"), F.max(F.when(line, F.col("n"))).alias("last_line"), F.min_by("marks", F.when(line & F.col("marks").isNotNull(), F.col("n"))).alias("marks"),
-        F.min("or_group").alias("or_group"), texts(line & (F.col("region") == "question")).alias("asked"), texts(line & (F.col("region") == "answer")).alias("answered"),
-        texts(F.col("is_option") & (F.col("region") == "question")).alias("options"), F.min_by("option", F.when(F.col("is_option") & (F.col("region") == "answer"), F.col("n"))).alias("correct_option"),
-    )
-    mcq = F.col("kind") == "mcq"
-    found = found.withColumn("marks_source", F.when(mcq & F.col("marks").isNull(), "mcq_default").when(F.col("marks").isNotNull(), "explicit"))
-    found = found.withColumn("marks", F.when(mcq & F.col("marks").isNull(), profile.mcq_marks).otherwise(F.col("marks"))).withColumn("attemptable", F.coalesce("marks", F.lit(0))).withColumn("gradable", F.col("kind") != "case")
-    for kind in ("part", "question", "case"):  # a unit's parts are of deeper kinds, so they are done
-        found = _rolled_up(found, doc, kind)
-    asked, answered = (F.array_join(c, "\n") for c in ("asked", "answered"))
+    c = F.col
+    # a window shuffles only lines that aren't dealt by document yet, and leaves them in order
+    first = F.row_number().over(Window.partitionBy(doc).orderBy("n")) == 1
+    rows = lines.select(doc, "n", "page", F.coalesce("text", F.lit("")).alias("text")).withColumn("__first", first)
+    names = (*HEADS, "part", "subpart", "mcq", "option", "marks")
+    rows = rows.withColumns({f"t_{k}": F.nullif(F.regexp_extract("text", getattr(profile, k), 1), F.lit("")) for k in names})
+    has = lambda k: c(f"t_{k}").isNotNull()
+    head = reduce(lambda a, k: a.when(has(k), HEADS.index(k) + 1), HEADS[1:], F.when(has(HEADS[0]), 1)).otherwise(0)
+    state = head + F.when(has("subpart"), HAS_SUBPART).otherwise(0) + F.when(c("__first"), FIRST).otherwise(0)
+    # a line needs the token of its head only, and a part's only if it isn't a subpart
+    major, minor = F.coalesce(*(c(f"t_{k}") for k in HEADS)), F.lower(F.coalesce("t_subpart", "t_part"))
+    rows = rows.select(doc, "n", "page", "text", state.alias("state"), major.alias("major"), minor.alias("minor"), c("t_mcq").alias("mcq"), F.upper("t_option").alias("option"), c("t_marks").cast("int").alias("marks"))
+
+    def read(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _whole(batches):
+            if (found := _units(batch, profile)) is not None:
+                yield found
+
+    kind = {f.name: f.dataType.simpleString() for f in lines.schema}
+    found = rows.mapInArrow(read, f"doc {kind[doc]}, label_path string, kind string, display_label string, parent string, page_start {kind['page']}, page_end {kind['page']}, first_line {kind['n']}, last_line {kind['n']}, marks int, marks_source string, attemptable int, or_group string, gradable boolean, question_text string, answer_text string, options array<string>, correct_option string")
     return found.select(
-        doc, "label_path", "kind", "display_label", "parent", "page_start", "page_end", "first_line", "last_line", "marks", "marks_source", "attemptable", "or_group", "gradable",
-        F.col("label_path").rlike(r"\.repeat\d+$").alias("repeated"), asked.alias("question_text"), answered.alias("answer_text"), "options", "correct_option", F.sha2(F.concat(asked, F.lit("\n"), answered), 256).alias("content_digest"),
+        c("doc").alias(doc), "label_path", "kind", "display_label", "parent", "page_start", "page_end", "first_line", "last_line", "marks", "marks_source", "attemptable", "or_group", "gradable",
+        F.col("label_path").rlike(r"\.repeat\d+$").alias("repeated"), "question_text", "answer_text", "options", "correct_option", F.sha2(F.concat("question_text", F.lit("\n"), "answer_text"), 256).alias("content_digest"),
     )

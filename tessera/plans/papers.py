@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from tessera.operators import segmentation as G
 from tessera.plans.registry import query
-from tessera.sources.tables import table
+from tessera.sources.tables import partitions, table
 
 PLACE = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag", "l_linestatus", "l_shipdate")
 
 
 def paper_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc, n, page, text: an order line asks a question in parts, some with an alternative, a subpart or an answer."""
-    rows = table(spark, sf_dir, "lineitem").withColumn("ln", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*PLACE)))
+    lines = table(spark, sf_dir, "lineitem").repartition(partitions(spark, sf_dir, "lineitem"), "l_orderkey")
+    rows = lines.withColumn("ln", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*PLACE)))
     marks = lambda c: F.concat(F.lit("("), F.pmod(F.col(c).cast("long"), F.lit(9)).cast("string"), F.lit(" marks)"))
     either, answered = F.col("l_linestatus") == "F", F.col("l_returnflag") != "N"
     text = F.array(

@@ -178,5 +178,35 @@ def test_random_papers(spark, sectioned):
     compare(spark, rows, G.Profile(sectioned=sectioned))
 
 
+def test_documents_over_many_batches(spark):
+    key, old = "spark.sql.execution.arrow.maxRecordsPerBatch", spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rows = [(d, n, n // 6 + 1, t) for d in range(7) for n, t in enumerate(PAPER.split("\n")[: 40 - 5 * d])] + [(9, 0, 1, "no unit")]
+    try:
+        for size in (1, 3, 37):
+            spark.conf.set(key, str(size))
+            compare(spark, rows, G.Profile())
+    finally:
+        spark.conf.set(key, old)
+
+
+def test_a_line_that_several_patterns_match(spark):
+    profile = G.Profile(mcq=r"^Question (\d+) x\s*$|^(?:\d+)\.\s", part=r"^\(([a-iA-D])\)", option=r"^\(([A-Di])\)\s")
+    rows = [(1, n, 1, t) for n, t in enumerate(["Question 1 x", "(i) sub", "(A) part", "Case Scenario 2 x", "Question 4 x", "(i) option ", "(A) option", "Question 5 y", "(i) sub", "(b) part", "Answer", "Question 4 x", "(A) right"])]
+    got = {r["label_path"]: (r["kind"], r["options"], r["correct_option"]) for r in G.units(spark.createDataFrame(rows, LINES), profile).collect()}
+    want = {"Q1": "question", "Q1.i": "subpart", "Q1.a": "part", "CS2": "case", "CS2.M4": "mcq", "CS2.Q5": "question", "CS2.Q5.i": "subpart", "CS2.Q5.b": "part", "CS2.M4.repeat2": "mcq"}
+    assert {k: v[0] for k, v in got.items()} == want and got["CS2.M4"][1] == ["(i) option ", "(A) option"]
+
+
+def test_lines_are_sorted_once_in_partitions_by_the_files(spark, sf_dir, monkeypatch):
+    from tessera.plans import papers
+    from tessera.sources import tables
+
+    monkeypatch.setattr(tables, "PARTITION_BYTES", 4096)
+    plan = papers.d06_paper_units(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    counts = [int(c) for c in re.findall(r"hashpartitioning\([^\n]*?, (\d+)\)", plan)]
+    assert counts == [tables.partitions(spark, sf_dir, "lineitem")] and counts[0] > 4
+    assert len(re.findall(r"\bSort \[", plan)) == 2  # an order's lines, then the lines of its text
+
+
 def test_no_lines(spark):
     assert G.units(spark.createDataFrame([], LINES)).count() == 0
