@@ -9,7 +9,7 @@ from tessera.operators import gates as G
 from tessera.operators import readiness as R
 from tessera.operators.windows import latest
 from tessera.plans.registry import query
-from tessera.sources.tables import table
+from tessera.sources.tables import partitions, table
 
 LINES = "SELECT l_orderkey, l_linenumber, CASE WHEN l_returnflag = 'R' THEN 'needs_review' ELSE 'matched' END AS outcome, l_linestatus = 'O' AS excluded, CASE WHEN l_discount > 0.09 THEN 'proposed' ELSE 'reviewed' END AS allocation, CASE WHEN l_quantity < 49 THEN l_quantity END AS marks FROM lineitem"
 
@@ -115,10 +115,18 @@ def n33_readiness_blockers(spark: SparkSession, sf_dir: str) -> DataFrame:
     papers = nation.select(F.col("n_nationkey").alias("paper_id"), F.lit("s2023").alias("scheme_id"), (F.col("n_regionkey") != 3).alias("is_current"))
     releases = region.select(F.col("r_regionkey").alias("version_id"), F.when(F.col("r_regionkey") == 3, "draft").otherwise("approved").alias("status"), F.when(F.col("r_regionkey") != 4, "reviewer").alias("approved_by"), F.md5("r_name").alias("manifest_hash"))
     nodes = part.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("version_id"), F.col("p_partkey").alias("node_id"), F.col("p_partkey").alias("descriptor_id"), F.md5("p_name").alias("descriptor_hash"), (F.col("p_size") > 5).alias("eligible"), F.md5("p_brand").alias("source_hash"))
-    pins = line.groupBy("l_orderkey", "l_partkey").agg(F.bool_or(F.col("l_returnflag") == "R").alias("old"), F.bool_or(F.col("l_quantity") > 45).alias("moved")).join(part.hint("merge"), F.col("l_partkey") == F.col("p_partkey"))
-    pin = F.struct(F.col("l_partkey").alias("node_id"), F.col("l_partkey").alias("descriptor_id"), F.when(F.col("old"), "old").otherwise(F.md5("p_name")).alias("descriptor_hash"), F.when(F.col("moved"), "old").otherwise(F.md5("p_brand")).alias("source_hash"))
-    candidates = pins.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.array_sort(F.collect_list(pin)).alias("candidates"))
-    rows = orders.join(candidates.hint("merge"), "o_orderkey", "left").join(home.hint("merge"), F.col("o_custkey") == F.col("c_custkey"), "left").join(region, F.col("version_id") == F.col("r_regionkey"), "left")
+    n = partitions(spark, sf_dir, "lineitem")
+    old, moved = (F.when(pinned, bit).otherwise(0) for pinned, bit in ((F.col("l_returnflag") == "R", 1), (F.col("l_quantity") > 45, 2)))
+    pins = line.where("l_orderkey is not null").select("l_orderkey", "l_partkey", (old + moved).alias("changed")).repartition(n, "l_partkey")
+    pins = pins.groupBy("l_orderkey", "l_partkey").agg(F.bit_or("changed").alias("changed")).join(part.hint("merge"), F.col("l_partkey") == F.col("p_partkey"))
+    owned = orders.join(home.hint("merge"), F.col("o_custkey") == F.col("c_custkey"), "left").join(region, F.col("version_id") == F.col("r_regionkey"), "left")
+    order, pin = (F.struct(*names) for names in (("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority", "o_totalprice", "c_name", "c_nationkey", "version_id", "r_name"), ("l_partkey", "changed", "p_name", "p_brand")))
+    # an order and its pins meet once, in one list, which every rule below reads
+    met = owned.select("o_orderkey", order.alias("own")).unionByName(pins.select(F.col("l_orderkey").alias("o_orderkey"), pin.alias("pin")), allowMissingColumns=True).repartition(n, "o_orderkey")
+    met = met.groupBy("o_orderkey").agg(F.collect_list(F.struct("own", "pin")).alias("met"))
+    present = lambda name: F.transform(F.filter("met", lambda x: x[name].isNotNull()), lambda x: x[name])
+    candidate = lambda x: F.struct(x["l_partkey"].alias("node_id"), x["l_partkey"].alias("descriptor_id"), F.when(x["changed"].bitwiseAND(1) > 0, "old").otherwise(F.md5(x["p_name"])).alias("descriptor_hash"), F.when(x["changed"].bitwiseAND(2) > 0, "old").otherwise(F.md5(x["p_brand"])).alias("source_hash"))
+    rows = met.select(F.inline(present("own")), F.col("met")).withColumn("candidates", F.array_sort(F.transform(present("pin"), candidate)))
     extraction = F.when(F.col("o_orderstatus") == "P", -1).otherwise(F.col("o_custkey"))
     context = F.when(price < 20000, "old").otherwise(F.col("o_orderpriority"))
     digest = F.md5(F.upper("c_name"))
